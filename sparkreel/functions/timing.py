@@ -34,6 +34,13 @@ def centisecond_duration(start_ms: Column, end_ms: Column) -> Column:
     return (F.round((end_ms - start_ms) / F.lit(10.0)) * 10).cast("bigint")
 
 
+def fixed_seconds(ms: Column, digits: int) -> Column:
+    """Milliseconds printed as seconds with one or two decimals, halves rounded up."""
+    scale = 10**digits
+    units = F.floor((ms + 500 // scale) / (1000 // scale))
+    return F.format_string(f"%d.%0{digits}d", F.floor(units / scale), units % scale)
+
+
 def overlap_ratio(
     start_a: Column, end_a: Column, start_b: Column, end_b: Column, *, rounded: bool = False
 ) -> Column:

@@ -66,12 +66,12 @@ def candidate_counts(sources: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def preview(content: DataFrame) -> DataFrame:
     """One printable line per candidate."""
-    start, end = (timing.seconds(F.col(name)) for name in ("start_ms", "end_ms"))
+    start, end = (timing.fixed_seconds(F.col(name), 1) for name in ("start_ms", "end_ms"))
     return content.select(
         "source_id",
         "candidate_id",
         F.format_string(
-            "%d: %.1fs -> %.1fs | %s...",
+            "%d: %ss -> %ss | %s...",
             "candidate_id", start, end, F.substring("transcript_text", 1, PREVIEW_LENGTH),
         ).alias("line"),
     )

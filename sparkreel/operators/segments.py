@@ -103,9 +103,9 @@ def transcript_duration(segments: DataFrame) -> DataFrame:
 
 def tail_scan(segments: DataFrame, start_seconds: float) -> DataFrame:
     """Segments from a time on, as printable lines."""
-    start, end = (timing.seconds(F.col(name)) for name in ("start_ms", "end_ms"))
+    start, end = (timing.fixed_seconds(F.col(name), 2) for name in ("start_ms", "end_ms"))
     return segments.filter(F.col("start_ms") >= timing.to_ms(start_seconds)).select(
-        "source_id", "idx", F.format_string("%.2f -> %.2f: %s", start, end, "text").alias("line")
+        "source_id", "idx", F.format_string("%s -> %s: %s", start, end, "text").alias("line")
     )
 
 

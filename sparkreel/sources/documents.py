@@ -1,20 +1,25 @@
 """Stage documents: one nested JSON document per project and stage, read into flat tables.
 
 A document is one file, or one line of a file (``per_line=True``). Each comes with ``project_id``:
-the name of the directory ``project_id=…`` or else the path of its file. Fields are coerced one by
+the directory ``project_id=…`` it lies in, else the identity of the source it names, else its path. Fields are coerced one by
 one, so that a number written as text still counts; a document that cannot be read yields no rows
 here and one row in ``corrupt_documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
+from sparkreel.functions.identity import source_identity
+from sparkreel.functions.text import strip
 from sparkreel.operators.responses import (
     TEXT_FIELDS, as_text, field, kind_of, stored_packaging_error,
 )
+from sparkreel.operators.segments import number_rows
 
 # The fields a document and its items must have, by kind of document.
 REQUIRED = {
@@ -40,20 +45,25 @@ TEXTS = ("text", "transcript_text", "language", "source_type", "location", "sour
 def read_documents(spark: SparkSession, path: str, *, per_line: bool = False) -> DataFrame:
     """``project_id, raw, document``; ``document`` is NULL where the JSON is broken."""
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not per_line)
-    file = F.col("_metadata.file_path")
-    named = F.regexp_extract(file, "project_id=([^/]+)/", 1)
-    project = F.when(named != "", F.try_url_decode(named)).otherwise(file)
-    return with_documents(
-        rows.select(project.alias("project_id"), F.col("value").alias("raw")).filter(
-            F.trim("raw") != ""
+    document = F.col("document")
+    location = F.coalesce(
+        field(document, "source.location", "string"), field(document, "location", "string")
+    )
+    directory = F.regexp_extract("file", "project_id=([^/]+)/", 1)
+    project = F.when(directory != "", F.try_url_decode(directory)).otherwise(
+        F.coalesce(source_identity(location)["project_id"], F.col("file"))
+    )
+    return (
+        rows.filter(F.trim("value") != "")
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("value").alias("raw"),
+            F.try_parse_json("value").alias("document"),
         )
+        .select(project.alias("project_id"), "raw", "document")
     )
 
 
-def with_documents(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("document", F.try_parse_json("raw"))
-
-
 def _readable(value: Column, name: str) -> Column:
     if name in INTEGERS:
         return field(value, name, "bigint").isNotNull()
@@ -62,6 +72,10 @@ def _readable(value: Column, name: str) -> Column:
     return field(value, name, "double").isNotNull()
 
 
+def _unreadable(name: str) -> Callable[[Column], Column]:
+    return lambda item: ~_readable(item, name)
+
+
 def _items(kind: str) -> Column:
     return F.coalesce(
         field(F.col("document"), ITEMS[kind][0], "array<variant>"),
@@ -85,10 +99,8 @@ def document_error(kind: str) -> Column:
             )
     if kind in ITEMS:
         for name in ITEMS[kind][1]:
-            error = error.when(
-                F.exists(_items(kind), lambda item, name=name: ~_readable(item, name)),
-                F.lit(f"bad {ITEMS[kind][0]}.{name}"),
-            )
+            unreadable = F.exists(_items(kind), _unreadable(name))
+            error = error.when(unreadable, F.lit(f"bad {ITEMS[kind][0]}.{name}"))
     return error
 
 
@@ -228,9 +240,6 @@ def read_packaging(documents: DataFrame) -> DataFrame:
 
 def normalize_segments(raw: DataFrame, position: str = "raw_pos") -> DataFrame:
     """Recognizer rows (seconds, untrimmed text) as segments numbered from 0 in each source."""
-    from sparkreel.functions.text import strip
-    from sparkreel.operators.segments import number_rows
-
     return number_rows(raw, position, "idx").select(
         "source_id",
         "idx",

@@ -88,3 +88,114 @@ def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         " WHEN 4 THEN concat('https://www.youtube.com/playlist?list=', vid)"
         " ELSE url END AS location",
     )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source per document, titles partly missing."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS source_id",
+        "'local' AS source_type",
+        "concat('/videos/', doc_id, '.mp4') AS location",
+        "CASE WHEN lang = 'en' THEN concat('Talk ', source) WHEN lang = 'fr' THEN '' END AS title",
+        "lang AS language",
+    )
+
+
+def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognizer rows: positions with gaps, times in seconds, text not trimmed."""
+    return segments(spark, sf_dir).selectExpr(
+        "source_id",
+        "idx * 3 + 5 AS raw_pos",
+        "CAST(start_ms AS DOUBLE) / 1000D AS start",
+        "CAST(end_ms AS DOUBLE) / 1000D AS end",
+        "concat('  ', text, ' ') AS text",
+    )
+
+
+def muted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments whose French texts hold nothing but blanks."""
+    languages = table(spark, sf_dir, "documents").selectExpr("doc_id AS source_id", "lang")
+    return segments(spark, sf_dir).join(languages, "source_id").selectExpr(
+        "source_id", "idx", "start_ms", "end_ms",
+        "CASE WHEN lang = 'fr' THEN regexp_replace(text, '[^ ]', '') ELSE text END AS text",
+    )
+
+
+def responses(scored: DataFrame) -> DataFrame:
+    """A scorer's answer per candidate, some of them broken in one way or another."""
+    return scored.selectExpr(
+        "source_id",
+        "candidate_id",
+        "concat('{\"candidate_id\":', candidate_id, ',\"score\":', score, ',\"reason\":\"r',"
+        " candidate_id, '\",\"suggested_title\":null}') AS item",
+        "concat('{\"candidate_id\":\"', candidate_id, '\",\"score\":\"', score, '\"}') AS quoted",
+    ).selectExpr(
+        "source_id",
+        "candidate_id",
+        "CASE candidate_id % 8"
+        " WHEN 0 THEN concat('[', item)"
+        " WHEN 1 THEN item"
+        " WHEN 2 THEN '[{\"candidate_id\":2,\"score\":11}]'"
+        " WHEN 3 THEN '[{\"score\":5.5}]'"
+        " WHEN 4 THEN concat('[', quoted, ',', item, ']')"
+        " WHEN 5 THEN '[]'"
+        " ELSE concat('[', item, ']') END AS raw",
+    )
+
+
+PACKAGING_JSON = (
+    "concat('{\"clip_id\":', clip_id, ',\"title\":', IF(CASE_OF_ROW = 0, '\"  \"', IF(CASE_OF_ROW = 5, '12',"
+    " concat('\"Title ', clip_id, '\"'))), IF(CASE_OF_ROW = 2, '', ',\"hook\":\"Look\"'),"
+    " ',\"caption\":\"C\",\"description\":\"D\",\"thumbnail_text\":\" Part ', clip_id,"
+    " ' \",\"content_angle\":\"story\",\"hashtags\":', CASE CASE_OF_ROW WHEN 1 THEN '[\"a\",3]'"
+    " WHEN 3 THEN '[]' WHEN 6 THEN '\"a\"' ELSE '[\"a\",\"b\"]' END, IF(CASE_OF_ROW = 4, '', '}'))"
+)
+
+
+def packaging_responses(clips: DataFrame) -> DataFrame:
+    """A packager's answer per clip, some of them broken."""
+    case = "(source_id + clip_id) % 8"
+    return clips.selectExpr(
+        "source_id", "clip_id", PACKAGING_JSON.replace("CASE_OF_ROW", case) + " AS raw"
+    )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as failed attempts with an error message each."""
+    messages = [
+        "HTTP 429 RESOURCE_EXHAUSTED", "503 UNAVAILABLE", "Request timed out", "Video is private",
+        "File is corrupt", "Unable to download webpage", "Connection reset by peer",
+        "Network unreachable", "Unknown problem",
+    ]
+    cases = " ".join(f"WHEN {at} THEN '{text}'" for at, text in enumerate(messages))
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        f"concat(CASE event_id % {len(messages)} {cases} END, ' during ', event_type) AS message",
+    )
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS project_id")
+
+
+def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages each project has, read off what the other tables know about its document."""
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    pages = table(spark, sf_dir, "pages")
+    parts = [
+        documents.selectExpr("doc_id AS project_id", "'source' AS stage"),
+        documents.filter("lang <> 'es'").selectExpr("doc_id", "'audio'"),
+        documents.filter("lang <> 'de'").selectExpr("doc_id", "'transcript'"),
+        documents.filter("n_chars >= 400").selectExpr("doc_id", "'candidates'"),
+        labels.selectExpr("doc_id", "'evaluations'"),
+        labels.filter("quality = 1").selectExpr("doc_id", "'clip_plan'"),
+        labels.filter("toxic = 0").selectExpr("doc_id", "'captions'"),
+        pages.join(documents, F.col("page_id") == F.col("doc_id")).selectExpr(
+            "doc_id", "'packaging'"
+        ),
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
