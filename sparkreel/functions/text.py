@@ -27,9 +27,15 @@ def has_text(text: Column) -> Column:
     return F.coalesce(strip(text) != "", F.lit(False))
 
 
-def words(text: Column) -> Column:
-    """Whitespace-separated words; blank text gives an empty array."""
-    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda word: word != "")
+def single_spaced(text: Column) -> Column:
+    """Words parted by one space each, none around them."""
+    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+
+
+def word_count(spaced: Column) -> Column:
+    """Words of a single-spaced text."""
+    gaps = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+    return F.when(spaced == "", F.lit(0)).otherwise(gaps + 1)
 
 
 def or_default(text: Column, default: Column) -> Column:

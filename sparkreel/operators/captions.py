@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
-from sparkreel.functions.text import escape_dialogue, strip, words
+from sparkreel.functions.text import escape_dialogue, single_spaced, strip, word_count
 
 # Clips and segments meet in tiles of this length.
 TILE_MS = 300_000
@@ -126,43 +126,41 @@ def clip_relative(pairs: DataFrame) -> DataFrame:
     )
 
 
-_CHUNKS = "array<struct<text:string,first_word:int,words:int>>"
+def packing_pattern(max_words: int, max_characters: int) -> str:
+    """Matches one chunk at the end of the previous one: as many words as fit, at least one."""
+    if max_words < 1 or max_characters < 1:
+        raise ValueError("a chunk must hold at least one word and one character")
+    word = "[^ ]++"
+    fitting = rf"(?:{word} ){{0,{max_words - 1}}}{word}(?<=\G.{{1,{max_characters}}})"
+    return rf"(?:{fitting}|{word})(?: |$)"
 
 
 def chunked(text: Column, max_words: int, max_characters: int) -> Column:
     """Text packed into chunks: ``array<struct(text, first_word, words)>``.
 
     A chunk ends when it has ``max_words`` words or the next word would not fit; a word longer
-    than a whole chunk stands alone.
+    than a whole chunk stands alone. One regular expression packs the text, then only the chunks
+    are folded to count the words before each.
     """
+    pieces = F.transform(
+        F.regexp_extract_all(
+            single_spaced(text), F.lit(packing_pattern(max_words, max_characters)), F.lit(0)
+        ),
+        lambda piece: F.rtrim(piece),
+    )
     empty = F.struct(
-        F.array().cast(_CHUNKS).alias("done"),
-        F.lit("").alias("text"), F.lit(0).alias("first_word"), F.lit(0).alias("words"),
+        F.array().cast("array<struct<text:string,first_word:int,words:int>>").alias("done"),
+        F.lit(0).alias("seen"),
     )
 
-    def with_open(state: Column) -> Column:
-        return F.when(
-            state["words"] > 0,
-            F.array_append(
-                state["done"],
-                F.struct(state["text"].alias("text"), state["first_word"].alias("first_word"),
-                         state["words"].alias("words")),
-            ),
-        ).otherwise(state["done"])
-
-    def add(state: Column, word: Column) -> Column:
-        joined = F.concat(state["text"], F.lit(" "), word)
-        closes = (state["words"] >= max_words) | (F.length(joined) > max_characters)
-        fresh = (state["words"] == 0) | closes
-        return F.struct(
-            F.when(fresh, with_open(state)).otherwise(state["done"]).alias("done"),
-            F.when(fresh, word).otherwise(joined).alias("text"),
-            F.when(fresh, state["first_word"] + state["words"]).otherwise(state["first_word"])
-            .alias("first_word"),
-            F.when(fresh, F.lit(1)).otherwise(state["words"] + 1).alias("words"),
-        )
+    def add(state: Column, piece: Column) -> Column:
+        count = word_count(piece)
+        chunk = F.struct(piece.alias("text"), state["seen"].alias("first_word"),
+                         count.alias("words"))
+        return F.struct(F.array_append(state["done"], chunk).alias("done"),
+                        (state["seen"] + count).alias("seen"))
 
-    return F.aggregate(words(text), empty, add, with_open)
+    return F.aggregate(pieces, empty, add, lambda state: state["done"])
 
 
 def caption_chunks(rows: DataFrame, options: CaptionOptions = DEFAULTS) -> DataFrame:
@@ -179,7 +177,7 @@ def time_captions(rows: DataFrame, options: CaptionOptions = DEFAULTS) -> DataFr
 
     Each row's chunks carry the words before them, so the times need no window function.
     """
-    total = F.size(words(F.col("text")))
+    total = word_count(single_spaced(F.col("text")))
     chunks = caption_chunks(rows.withColumn("total_words", total), options)
     start = timing.seconds(F.col("start_ms"))
     length = timing.seconds(F.col("end_ms")) - start

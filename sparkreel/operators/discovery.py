@@ -224,18 +224,14 @@ def window_ends(segments: DataFrame, options: DiscoveryOptions = DEFAULTS) -> Da
     past_target = along.rangeBetween(options.target_ms, options.max_ms)
     in_range = along.rangeBetween(options.min_ms, options.max_ms)
     reached = along.rangeBetween(0, options.max_ms)
-    ranked = (
-        points.withColumn("low", top(F.col("t") + F.col("bonus")).over(up_to_target))
-        .withColumn("high", top(F.col("bonus") - F.col("t")).over(past_target))
-        .withColumn(
-            "latest",
-            F.max(F.when(an_end, F.struct("idx", F.col("t").alias("end_ms")))).over(in_range),
-        )
-        .withColumn(
-            "text_idx", F.min(F.when(an_end & F.col("has_text"), F.col("idx"))).over(reached)
-        )
-        .filter("is_start")
-    )
+    latest = F.max(F.when(an_end, F.struct("idx", F.col("t").alias("end_ms"))))
+    ranked = points.select(
+        "source_id", "idx", "start_ms", "is_start",
+        top(F.col("t") + F.col("bonus")).over(up_to_target).alias("low"),
+        top(F.col("bonus") - F.col("t")).over(past_target).alias("high"),
+        latest.over(in_range).alias("latest"),
+        F.min(F.when(an_end & F.col("has_text"), F.col("idx"))).over(reached).alias("text_idx"),
+    ).filter("is_start")
     low_score = F.col("low.rank") - F.col("start_ms") - options.target_ms
     high_score = F.col("high.rank") + F.col("start_ms") + options.target_ms
 
@@ -387,11 +383,8 @@ def tail_bounds(
         .join(first_run, ["source_id", "run"])
         .filter(F.col("start_ms") >= F.col("covered_ms"))
         .groupBy("source_id")
-        .agg(F.min(F.struct("idx", "start_ms")).alias("first"))
-        .select(
-            "source_id",
-            F.col("first.idx").alias("tail_idx"),
-            F.col("first.start_ms").alias("tail_start_ms"),
+        .agg(
+            F.min("idx").alias("tail_idx"), F.min_by("start_ms", "idx").alias("tail_start_ms")
         )
     )
     bucket = F.floor(F.col("tail_start_ms") / max_ms)
@@ -405,17 +398,11 @@ def tail_bounds(
         )
         .groupBy("source_id", "tail_idx", "tail_start_ms")
         .agg(
-            F.max(F.struct("idx", "end_ms")).alias("last"),
+            F.max("idx").alias("end_idx"),
+            F.max_by("end_ms", "idx").alias("end_ms"),
             F.bool_or("has_text").alias("has_text"),
         )
-        .select(
-            "source_id",
-            F.col("tail_idx").alias("start_idx"),
-            F.col("tail_start_ms").alias("start_ms"),
-            F.col("last.idx").alias("end_idx"),
-            F.col("last.end_ms").alias("end_ms"),
-            "has_text",
-        )
+        .withColumnsRenamed({"tail_idx": "start_idx", "tail_start_ms": "start_ms"})
     )
 
 

@@ -13,51 +13,53 @@ WORDS_PER_SEGMENT = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; one too small to occupy every core as it lies is spread over them.
+
+    A scan with fewer splits than cores holds less than a split's size per core, so only small
+    tables are shuffled here.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten words per segment, 350 ms per word, pauses between 0 and 1.35 s on a 50 ms grid."""
-    words = F.split(
-        F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f]+", " ")), " "
-    )
-    rows = (
-        table(spark, sf_dir, "documents")
-        .select(F.col("doc_id").alias("source_id"), words.alias("words"))
-        .select(
-            "source_id",
-            "words",
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(0), F.expr("(size(words) - 1) div 10")),
-                    lambda i: F.slice("words", (i * 10 + 1).cast("int"), F.lit(10)),
-                )
-            ).alias("pos", "chunk"),
-        )
+    blank = "[ \\t\\n\\r\\f]"
+    word = blank.replace("[", "[^")
+    ten = F.lit(f"(?:{word}++{blank}*+){{1,{WORDS_PER_SEGMENT}}}")
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("source_id"),
+        F.posexplode(F.regexp_extract_all("text", ten, F.lit(0))).alias("pos", "chunk"),
+    ).select(
+        "source_id",
+        F.col("pos").cast("bigint").alias("idx"),
+        F.trim(F.regexp_replace("chunk", f"{blank}+", " ")).alias("text"),
     )
-    # Sums over all earlier segments in closed form: pauses repeat every ten segments, and in
-    # every eleventh source each ninth segment lasts 100 s.
+    # Sums over all earlier segments in closed form: pauses repeat every ten segments (one row of
+    # prefix sums per first pause), and in every eleventh source each ninth segment lasts 100 s.
+    pauses = [
+        150 * sum((first + 13 * k) % 10 for k in range(1, last + 1))
+        for first in range(10) for last in range(10)
+    ]
     return rows.selectExpr(
-        "source_id",
-        "CAST(pos AS BIGINT) AS idx",
-        "chunk",
-        "IF(source_id % 11 = 0, 1, 0) AS slow",
-    ).selectExpr(
         "source_id",
         "idx",
-        "chunk",
-        "CASE WHEN slow = 1 AND idx % 9 = 8 THEN 100000L ELSE 350L * size(chunk) END AS dur_ms",
-        "3500L * (idx - slow * (idx div 9)) + 100000L * slow * (idx div 9) AS earlier_ms",
-        "CASE WHEN source_id % 13 = 0 THEN 150L * idx ELSE"
-        " 6750L * (idx div 10)"
-        " + 150L * aggregate(sequence(0L, idx % 10), 0L, (sum, k) -> sum + (source_id * 7 + k * 13) % 10)"
-        " - 150L * ((source_id * 7) % 10) END AS pauses_ms",
+        "text",
+        "IF(source_id % 11 = 0, idx div 9, 0L) AS slow",
+        "CASE WHEN source_id % 11 = 0 AND idx % 9 = 8 THEN 100000L"
+        " ELSE 350L * (1 + length(text) - length(replace(text, ' ', ''))) END AS dur_ms",
+        "CASE WHEN source_id % 13 = 0 THEN 150L * idx ELSE 6750L * (idx div 10) + "
+        f"array({', '.join(map(str, pauses))})[source_id * 7 % 10 * 10 + idx % 10] END"
+        " AS pauses_ms",
     ).selectExpr(
         "source_id",
         "idx",
-        "earlier_ms + pauses_ms AS start_ms",
-        "earlier_ms + pauses_ms + dur_ms AS end_ms",
-        "array_join(chunk, ' ') AS text",
+        "3500L * (idx - slow) + 100000L * slow + pauses_ms AS start_ms",
+        "3500L * (idx - slow) + 100000L * slow + pauses_ms + dur_ms AS end_ms",
+        "text",
     )
 
 
