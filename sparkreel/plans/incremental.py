@@ -12,6 +12,7 @@ from sparkreel.operators.captions import captions
 from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions, discover_candidates
 from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
 from sparkreel.operators.planning import PlanningOptions, plan_clips
+from sparkreel.plans.lineage import cut_lineage
 from sparkreel.sources.stage_tables import (
     commit_projects, committed_projects, next_batch, read_stage, write_rows, write_stage,
 )
@@ -77,9 +78,13 @@ def run_missing_stages(
     makers = {"candidates": make_candidates, "clip_plan": make_clips, "captions": make_captions}
     for before, stage in zip(STAGES, STAGES[1:]):
         fresh = fresh_stages(spark, root).withColumnRenamed("project_id", "source_id")
-        wanted = (
-            fresh.filter(F.col("stage") == before)
-            .join(fresh.filter(F.col("stage") == stage), "source_id", "left_anti")
+        # Ids only; written out because every step below reads them again.
+        wanted = cut_lineage(
+            fresh.groupBy("source_id")
+            .agg(F.collect_set("stage").alias("stages"))
+            .filter(
+                F.array_contains("stages", before) & ~F.array_contains("stages", stage)
+            )
             .select("source_id")
         )
         if wanted.isEmpty():

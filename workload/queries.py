@@ -42,15 +42,37 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 # ---- inputs ---------------------------------------------------------------------------------
 
 
+def choose_clips(candidates: DataFrame) -> DataFrame:
+    return planning.plan_clips(
+        candidates, fx.evaluations(candidates),
+        candidates_per_source=discovery.DEFAULTS.max_candidates,
+    )
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
-    """The derived tables of one scale factor."""
+    """The derived tables of one scale factor.
+
+    Transcripts and the stages made from them are written to shared storage once per session, as
+    a run would keep them in stage tables; queries read back only the columns they need.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = self.folder()
+            make().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @property
     def segments(self) -> DataFrame:
-        return fx.segments(self.spark, self.sf_dir)
+        return self._stored("segments", lambda: fx.segments(self.spark, self.sf_dir))
 
     @property
     def sources(self) -> DataFrame:
@@ -58,7 +80,9 @@ class Inputs:
 
     @property
     def candidates(self) -> DataFrame:
-        return discovery.discover_candidates(self.segments)
+        return self._stored(
+            "candidates", lambda: discovery.discover_candidates(self.segments)
+        )
 
     @property
     def windows(self) -> DataFrame:
@@ -70,15 +94,13 @@ class Inputs:
 
     @property
     def clips(self) -> DataFrame:
-        candidates = self.candidates
-        return planning.plan_clips(
-            candidates, fx.evaluations(candidates),
-            candidates_per_source=discovery.DEFAULTS.max_candidates,
-        )
+        return self._stored("clips", lambda: choose_clips(self.candidates))
 
     @property
     def content(self) -> DataFrame:
-        return content_ops.build_candidates(self.candidates, self.segments)
+        return self._stored(
+            "content", lambda: content_ops.build_candidates(self.candidates, self.segments)
+        )
 
     @property
     def captions(self) -> DataFrame:
@@ -324,9 +346,7 @@ over(
               54 AS font_size, count(k.idx) AS captions, min(k.start_time) AS first_start
        FROM clips c LEFT JOIN captions k USING (source_id, clip_id)
        GROUP BY c.source_id, c.clip_id""",
-)(lambda t: (lambda clips: caption_ops.edit_plans(
-    clips, caption_ops.captions(clips, t.segments)
-))(t.clips).select(
+)(lambda t: caption_ops.edit_plans(t.clips, t.captions).select(
     "source_id", "clip_name", "composition.canvas.width", "composition.canvas.height",
     F.col("composition.background.blur_radius").alias("blur"),
     F.col("composition.background.brightness").alias("brightness"),
@@ -439,11 +459,11 @@ over(
                 AS thumbnail_text, (c.end_ms - c.start_ms) / 1000 AS duration
        FROM packaged p JOIN clips c USING (source_id, clip_id)
        WHERE (p.source_id + p.clip_id) % 8 IN (3, 7)""",
-)(lambda t: (lambda clips: providers.read_packaging_responses(fx.packaging_responses(clips))
+)(lambda t: providers.read_packaging_responses(fx.packaging_responses(t.clips))
   .filter(F.size("errors") == 0).select("source_id", "clip_id", "thumbnail_text")
-  .join(clips, ["source_id", "clip_id"])
+  .join(t.clips, ["source_id", "clip_id"])
   .select("source_id", "clip_id", "thumbnail_text",
-          timing.seconds(F.col("end_ms") - F.col("start_ms")).alias("duration")))(t.clips))
+          timing.seconds(F.col("end_ms") - F.col("start_ms")).alias("duration")))
 over(
     "stage_semi_anti",
     """SELECT project_id, 'scored' AS side FROM stages WHERE stage = 'candidates'
@@ -458,7 +478,8 @@ over(
 
 # ---- aggregations -----------------------------------------------------------------------------
 
-over("build_candidate", "SELECT * FROM content")(lambda t: t.content)
+over("build_candidate", "SELECT * FROM content")(
+    lambda t: content_ops.build_candidates(t.candidates, t.segments))
 over(
     "candidate_counts",
     """SELECT s.source_id, count(c.candidate_id) AS total_candidates
@@ -512,8 +533,7 @@ over(
           || ',Default,,0,0,0,,' || {ESCAPED} || chr(10), '' ORDER BY idx, chunk_idx), '')
           AS document
         FROM clips c LEFT JOIN captions k USING (source_id, clip_id) GROUP BY 1, 2""",
-)(lambda t: (lambda clips: caption_ops.subtitle_documents(
-    clips, caption_ops.captions(clips, t.segments)))(t.clips))
+)(lambda t: caption_ops.subtitle_documents(t.clips, t.captions))
 over(
     "returned_ids",
     """SELECT source_id, (response_candidate_id - 1) // 40 + 1 AS batch,
@@ -576,7 +596,8 @@ over(
 
 # ---- folds ------------------------------------------------------------------------------------
 
-over("discover_candidates", "SELECT * FROM candidates")(lambda t: t.candidates)
+over("discover_candidates", "SELECT * FROM candidates")(
+    lambda t: discovery.discover_candidates(t.segments))
 over("near_dup_suppression", "SELECT * FROM candidates_loose")(
     lambda t: discovery.discover_candidates(
         t.segments, discovery.DiscoveryOptions(overlap_threshold=0.5, boundary_tolerance=20.0)))
@@ -584,7 +605,16 @@ over("tail_candidate", "SELECT * FROM candidates WHERE origin = 'tail'")(
     lambda t: t.candidates.filter("origin = 'tail'"))
 over("whole_transcript_fallback", "SELECT * FROM candidates WHERE origin = 'whole'")(
     lambda t: t.candidates.filter("origin = 'whole'"))
-over("plan_clips", "SELECT * FROM clips")(lambda t: t.clips)
+over("plan_clips", "SELECT * FROM clips")(lambda t: choose_clips(t.candidates))
+
+
+@query("clips_of_transcripts", "SELECT * FROM clips")
+def clips_of_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From documents to clips in one plan, nothing stored on the way."""
+    return choose_clips(discovery.discover_candidates(fx.segments(spark, sf_dir)))
+
+
+
 over("plan_clips_in_blocks", "SELECT * FROM clips")(
     lambda t: planning.plan_clips(t.candidates, t.evaluations, block=8))
 over(
@@ -599,10 +629,9 @@ over(
 
 over("rank_evaluations", "SELECT * FROM evaluations ORDER BY source_id, score DESC, eval_pos")(
     lambda t: planning.rank_evaluations(t.evaluations))
-over("max_clips_per_source", "SELECT * FROM clips_few")(lambda t: (
-    lambda candidates: planning.plan_clips(
-        candidates, fx.evaluations(candidates), planning.PlanningOptions(max_clips=3),
-        candidates_per_source=40))(t.candidates))
+over("max_clips_per_source", "SELECT * FROM clips_few")(lambda t: planning.plan_clips(
+    t.candidates, t.evaluations, planning.PlanningOptions(max_clips=3),
+    candidates_per_source=40))
 over("max_candidates_per_source", "SELECT * FROM candidates_few")(
     lambda t: discovery.discover_candidates(
         t.segments, discovery.DiscoveryOptions(max_candidates=5)))
