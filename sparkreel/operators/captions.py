@@ -131,7 +131,9 @@ def packing_pattern(max_words: int, max_characters: int) -> str:
     if max_words < 1 or max_characters < 1:
         raise ValueError("a chunk must hold at least one word and one character")
     word = "[^ ]++"
-    fitting = rf"(?:{word} ){{0,{max_words - 1}}}{word}(?<=\G.{{1,{max_characters}}})"
+    # Naming a character beyond 16 bits makes the look-behind count whole characters.
+    character = "[\\x00-\U0010ffff]"
+    fitting = rf"(?:{word} ){{0,{max_words - 1}}}{word}(?<=\G{character}{{1,{max_characters}}})"
     return rf"(?:{fitting}|{word})(?: |$)"
 
 
