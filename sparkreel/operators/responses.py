@@ -128,8 +128,14 @@ def missing_fields(raw: Column) -> Column:
 
 def packaging_errors(raw: Column) -> Column:
     """Everything wrong with a packaging response; an empty array means valid."""
-    document = F.try_parse_json(raw)
-    absent = missing_fields(raw)
+    # Bound to a lambda variable, the document is parsed once for all the checks.
+    return F.transform(
+        F.array(F.try_parse_json(raw)),
+        lambda document: _packaging_errors(document, missing_fields(raw)),
+    )[0]
+
+
+def _packaging_errors(document: Column, absent: Column) -> Column:
 
     def text_error(name: str) -> Column:
         kind = kind_of(document, name)
@@ -139,9 +145,12 @@ def packaging_errors(raw: Column) -> Column:
         )
 
     tags = kind_of(document, "hashtags")
-    tag_count = F.size(field(document, "hashtags", "array<variant>"))
+    odd_tag = F.exists(
+        field(document, "hashtags", "array<variant>"),
+        lambda tag: F.coalesce(F.schema_of_variant(tag), F.lit("VOID")) != "STRING",
+    )
     tag_error = F.when(~tags.startswith("ARRAY"), "hashtags must be a list").when(
-        (tags != "ARRAY<STRING>") & (tag_count > 0), "every hashtag must be a string"
+        odd_tag, "every hashtag must be a string"
     )
     found = F.array_compact(
         F.array(

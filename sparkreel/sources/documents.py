@@ -72,20 +72,30 @@ def _readable(value: Column, name: str) -> Column:
     return field(value, name, "double").isNotNull()
 
 
-def _unreadable(name: str) -> Callable[[Column], Column]:
-    return lambda item: ~_readable(item, name)
-
-
-def _items(kind: str) -> Column:
+def _items(document: Column, kind: str) -> Column:
     return F.coalesce(
-        field(F.col("document"), ITEMS[kind][0], "array<variant>"),
-        F.array().cast("array<variant>"),
+        field(document, ITEMS[kind][0], "array<variant>"), F.array().cast("array<variant>")
     )
 
 
-def document_error(kind: str) -> Column:
-    """Why a document of that kind cannot be loaded, NULL if it can."""
-    document = F.col("document")
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is mentioned."""
+    return F.transform(F.array(value), lambda bound: use(bound))[0]
+
+
+def _item_error(items: Column, kind: str) -> Column:
+    def wrong(item: Column) -> Column:
+        error = F.lit(None).cast("string")
+        for name in reversed(ITEMS[kind][1]):
+            message = F.lit(f"bad {ITEMS[kind][0]}.{name}")
+            error = F.when(~_readable(item, name), message).otherwise(error)
+        return error
+
+    errors = F.filter(F.transform(items, lambda item: wrong(item)), lambda e: e.isNotNull())
+    return F.get(errors, F.lit(0))
+
+
+def _error(document: Column, kind: str) -> Column:
     if kind == "packaging":
         return stored_packaging_error(document)
     error = F.when(document.isNull(), F.lit("invalid JSON"))
@@ -93,17 +103,20 @@ def document_error(kind: str) -> Column:
         error = error.when(~_readable(document, name), F.lit(f"missing {name}"))
     if kind != "source":
         for name in REQUIRED["source"]:
-            error = error.when(
-                field(document, f"source.{name}", "variant").isNull(),
-                F.lit(f"missing source.{name}"),
-            )
+            absent = field(document, f"source.{name}", "variant").isNull()
+            error = error.when(absent, F.lit(f"missing source.{name}"))
     if kind in ITEMS:
-        for name in ITEMS[kind][1]:
-            unreadable = F.exists(_items(kind), _unreadable(name))
-            error = error.when(unreadable, F.lit(f"bad {ITEMS[kind][0]}.{name}"))
+        error = error.otherwise(
+            _once(_items(document, kind), lambda items: _item_error(items, kind))
+        )
     return error
 
 
+def document_error(kind: str) -> Column:
+    """Why a document of that kind cannot be loaded, NULL if it can."""
+    return _once(F.col("document"), lambda document: _error(document, kind))
+
+
 def corrupt_documents(documents: DataFrame, kind: str) -> DataFrame:
     """Documents that cannot be loaded, with the reason."""
     return (
@@ -146,7 +159,7 @@ def read_transcripts(documents: DataFrame) -> DataFrame:
         "project_id",
         field(document, "duration", "double").alias("duration"),
         as_text(document, "language").alias("language"),
-        F.size(_items("transcript")).cast("bigint").alias("segments"),
+        F.size(_items(document, "transcript")).cast("bigint").alias("segments"),
     )
 
 
@@ -161,7 +174,7 @@ def _segment_fields(value: Column) -> list[Column]:
 
 def _exploded(documents: DataFrame, kind: str) -> DataFrame:
     return _loadable(documents, kind).select(
-        "project_id", F.posexplode(_items(kind)).alias("pos", "item")
+        "project_id", F.posexplode(_items(F.col("document"), kind)).alias("pos", "item")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -179,12 +192,12 @@ def read_candidates(documents: DataFrame) -> DataFrame:
         field(item, "segments", "array<variant>"), F.array().cast("array<variant>")
     )
     total = F.coalesce(
-        field(F.col("document"), "total_candidates", "bigint"), F.size(_items("candidates"))
+        field(F.col("document"), "total_candidates", "bigint"), F.size(_items(F.col("document"), "candidates"))
     )
     return (
         _loadable(documents, "candidates")
         .select("project_id", total.cast("bigint").alias("total_candidates"),
-                F.posexplode(_items("candidates")).alias("pos", "item"))
+                F.posexplode(_items(F.col("document"), "candidates")).alias("pos", "item"))
         .select(
             "project_id",
             "total_candidates",
