@@ -14,7 +14,7 @@ from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
 from sparkreel.operators.planning import PlanningOptions, plan_clips
 from sparkreel.plans.lineage import cut_lineage
 from sparkreel.sources.stage_tables import (
-    commit_projects, committed_projects, next_batch, read_stage, write_rows, write_stage,
+    commit_projects, commits, next_batch, read_stage, write_rows, write_stage,
 )
 
 STAGES = ["transcript", "candidates", "evaluations", "clip_plan", "captions"]
@@ -23,11 +23,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def fresh_stages(spark: SparkSession, root: str) -> DataFrame:
     """``project_id, stage`` of what is stored and not older than anything it was made from."""
-    stored = spark.createDataFrame([], "source_id bigint, stage string, batch int")
-    for stage in STAGES:
-        done = committed_projects(spark, root, stage)
-        if done is not None:
-            stored = stored.unionByName(done.withColumn("stage", F.lit(stage)))
+    stored = commits(spark, root, STAGES)
+    if stored is None:
+        return spark.createDataFrame([], "project_id bigint, stage string")
     batches = stored.groupBy("source_id").agg(
         *[F.max(F.when(F.col("stage") == stage, F.col("batch"))).alias(stage) for stage in STAGES]
     )

@@ -8,6 +8,8 @@ directories grows with batches, not with projects.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +50,24 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def commits(
+    spark: SparkSession, root: str, stages: list[str], key: str = KEY
+) -> DataFrame | None:
+    """Every commit of the stages as ``key, batch, stage``; None before the first."""
+    found = [
+        written.select(key, "batch", F.lit(stage).alias("stage"))
+        for stage, written in ((stage, _read(spark, f"{root}/{stage}/projects")) for stage in stages)
+        if written is not None
+    ]
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def committed_projects(
     spark: SparkSession, root: str, stage: str, key: str = KEY
 ) -> DataFrame | None:
     """Projects a stage is stored for, each with its newest batch; None before the first write."""
-    written = _read(spark, f"{root}/{stage}/projects")
-    if written is None:
-        return None
-    return written.groupBy(key).agg(F.max("batch").alias("batch"))
+    written = commits(spark, root, [stage], key)
+    return None if written is None else written.groupBy(key).agg(F.max("batch").alias("batch"))
 
 
 def read_stage(spark: SparkSession, root: str, stage: str, key: str = KEY) -> DataFrame | None:
@@ -69,9 +81,6 @@ def read_stage(spark: SparkSession, root: str, stage: str, key: str = KEY) -> Da
 
 def next_batch(spark: SparkSession, root: str, stages: list[str]) -> int:
     """A number above every committed batch of the stages: later work counts as newer."""
-    newest = [
-        written.agg(F.max("batch")).first()[0]
-        for written in (_read(spark, f"{root}/{stage}/projects") for stage in stages)
-        if written is not None
-    ]
-    return max((batch for batch in newest if batch is not None), default=-1) + 1
+    written = commits(spark, root, stages)
+    newest = None if written is None else written.agg(F.max("batch")).first()[0]
+    return 0 if newest is None else newest + 1
