@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,13 +18,17 @@ from sparkreel.operators.responses import (
 Responder = Callable[[str, str], str]
 
 
-def _respond(
-    frames: Iterator[pd.DataFrame], respond: Responder, title: str, payload: str
-) -> Iterator[pd.DataFrame]:
-    """Runs a responder over the requests of one partition."""
-    for frame in frames:
-        raw = [respond(t, p) for t, p in zip(frame[title], frame[payload], strict=True)]
-        yield frame.drop(columns=[title, payload]).assign(raw=raw)
+def _asking(
+    respond: Responder, title: str, payload: str
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Runs a responder over the requests of a partition, one Arrow batch at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            raw = [respond(t, p) for t, p in zip(frame[title], frame[payload], strict=True)]
+            yield frame.drop(columns=[title, payload]).assign(raw=raw)
+
+    return run
 
 
 def score_requests(
@@ -67,7 +70,7 @@ def score_candidates(
         responses = scorer(content).withColumn("batch", F.lit(1).cast("bigint"))
     else:
         responses = score_requests(content, sources, batch_size).mapInPandas(
-            partial(_respond, respond=scorer, title="title", payload="payload"),
+            _asking(scorer, "title", "payload"),
             "source_id bigint, batch bigint, raw string",
         )
     position = (F.col("batch") - 1) * batch_size + F.col("item_pos") + 1
@@ -134,7 +137,7 @@ def package_clips(
         return read_packaging_responses(packager(requests))
     return read_packaging_responses(
         requests.mapInPandas(
-            partial(_respond, respond=packager, title="title", payload="payload"),
+            _asking(packager, "title", "payload"),
             "source_id bigint, clip_id bigint, raw string",
         )
     )

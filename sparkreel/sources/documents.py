@@ -242,7 +242,13 @@ def read_clip_plans(documents: DataFrame) -> DataFrame:
 def read_packaging(documents: DataFrame) -> DataFrame:
     """Stored publishing metadata, everything read as text."""
     document = F.col("document")
-    tags = field(document, "hashtags", "array<string>")
+    # A text in place of the list reads as its characters; nulls read ``None``.
+    tags = F.transform(
+        F.when(kind_of(document, "hashtags") == "STRING",
+               F.regexp_extract_all(field(document, "hashtags", "string"), F.lit("(?s)."), F.lit(0)))
+        .otherwise(field(document, "hashtags", "array<string>")),
+        lambda tag: F.coalesce(tag, F.lit("None")),
+    )
     return _loadable(documents, "packaging").select(
         "project_id",
         field(document, "clip_id", "bigint").alias("clip_id"),

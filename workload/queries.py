@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -824,21 +823,31 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_tables.read_stage(spark, f"{root}/tables", "clip_plan")
 
 
-def _answer_scores(title: str, payload: str) -> str:
-    return json.dumps([
-        {"candidate_id": item["candidate_id"], "score": item["candidate_id"] * 13 % 101 / 10,
-         "reason": title}
-        for item in json.loads(payload)
-    ])
+def _scoring() -> providers.Responder:
+    def answer(title: str, payload: str) -> str:
+        import json
 
+        return json.dumps([
+            {"candidate_id": item["candidate_id"], "score": item["candidate_id"] * 13 % 101 / 10,
+             "reason": title}
+            for item in json.loads(payload)
+        ])
 
-def _answer_packaging(title: str, payload: str) -> str:
-    request = json.loads(payload)
-    return json.dumps({
-        "title": title, "hook": f"{request['duration']}", "caption": request["title"],
-        "description": "d", "thumbnail_text": "t", "content_angle": "story",
-        "hashtags": [str(request["clip_id"])],
-    })
+    return answer
+
+
+def _packaging() -> providers.Responder:
+    def answer(title: str, payload: str) -> str:
+        import json
+
+        request = json.loads(payload)
+        return json.dumps({
+            "title": title, "hook": f"{request['duration']}", "caption": request["title"],
+            "description": "d", "thumbnail_text": "t", "content_angle": "story",
+            "hashtags": [str(request["clip_id"])],
+        })
+
+    return answer
 
 
 over(
@@ -848,7 +857,7 @@ over(
               coalesce(nullif(s.title, ''), 'Unknown') AS reason,
               CAST(NULL AS VARCHAR) AS suggested_title, CAST(NULL AS VARCHAR) AS error
        FROM content c JOIN sources s USING (source_id)""",
-)(lambda t: providers.score_candidates(t.content, _answer_scores, sources=t.sources))
+)(lambda t: providers.score_candidates(t.content, _scoring(), sources=t.sources))
 over(
     "package_clips",
     """SELECT c.source_id, c.clip_id, coalesce(nullif(s.title, ''), s.location) AS title,
@@ -856,7 +865,7 @@ over(
               coalesce(nullif(c.title, ''), 'None') AS caption,
               CAST(c.clip_id AS VARCHAR) AS hashtags
        FROM clips c JOIN sources s USING (source_id)""",
-)(lambda t: providers.package_clips(t.clips, t.content, _answer_packaging, t.sources).select(
+)(lambda t: providers.package_clips(t.clips, t.content, _packaging(), t.sources).select(
     "source_id", "clip_id", "title", "hook", "caption",
     F.array_join("hashtags", ",").alias("hashtags")))
 over(
