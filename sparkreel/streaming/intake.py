@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkreel.operators.segments import with_text_flag
 from sparkreel.plans.incremental import STAGES, Scorer, run_missing_stages
 from sparkreel.schemas import SEGMENTS
 from sparkreel.sources.stage_tables import next_batch, write_stage
@@ -29,7 +30,9 @@ def run_incremental(
     def take_in(segments: DataFrame, _: int) -> None:
         session = segments.sparkSession
         batch = next_batch(session, root, STAGES)
-        write_stage(segments, segments.select("source_id"), root, "transcript", batch)
+        # The flag is stored so that discovery need not read the text.
+        flagged = with_text_flag(segments)
+        write_stage(flagged, segments.select("source_id"), root, "transcript", batch)
         run_missing_stages(session, root, scorer)
 
     query = (

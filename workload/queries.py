@@ -71,7 +71,11 @@ class Inputs:
 
     @property
     def segments(self) -> DataFrame:
-        return self._stored("segments", lambda: fx.segments(self.spark, self.sf_dir))
+        """With the stored text flag, which spares discovery reading the text."""
+        return self._stored(
+            "segments",
+            lambda: segment_ops.with_text_flag(fx.segments(self.spark, self.sf_dir)),
+        )
 
     @property
     def sources(self) -> DataFrame:
@@ -220,7 +224,17 @@ def write_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_tables.read_stage(spark, root, "durations")
 
 
-over("to_manifest_json")(
+over(
+    "to_manifest_json",
+    """SELECT source_id, CAST(to_json(struct_pack(
+              source := struct_pack(source_type := any_value(s.source_type),
+                location := any_value(s.location), title := any_value(s.title)),
+              selected_clips := list(struct_pack(clip_id := c.clip_id,
+                candidate_id := c.candidate_id, snapped_start_time := c.start_ms / 1000,
+                snapped_end_time := c.end_ms / 1000, final_score := c.final_score,
+                reason := c.reason, title := c.title) ORDER BY c.clip_id))) AS VARCHAR) AS document
+       FROM clips c JOIN sources s USING (source_id) GROUP BY 1""",
+)(
     lambda t: manifests.clip_plan_documents(t.sources, t.clips)
 )
 
@@ -875,4 +889,4 @@ over(
          FROM (SELECT source_id, idx, start_ms, end_ms - CASE WHEN text LIKE '%e.%' THEN 9000
                ELSE 0 END AS end_ms, text FROM segments)) WHERE end_ms < lag_end""",
 )(lambda t: segment_ops.order_violations(t.segments.withColumn(
-    "end_ms", F.expr("end_ms - IF(text LIKE '%e.%', 9000, 0)"))))
+    "end_ms", F.expr("end_ms - IF(text LIKE '%e.%', 9000, 0)")).drop("has_text")))
