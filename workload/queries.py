@@ -21,7 +21,7 @@ from sparkreel.sources import documents as docs
 from sparkreel.sources import manifests, stage_tables
 from sparkreel.streaming.intake import run_incremental
 from workload import fixtures as fx
-from workload.oracle import ass_time, cs, near_dup, safe_name, sql, strip
+from workload.oracle import ass_time, cs, near_dup, safe_name, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
