@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkreel.llm.exact_dedup import exact_dedup
+from sparkreel.llm.jaccard_join import jaccard_components
 from sparkreel.llm.packing import pack_documents
 from sparkreel.llm.storage import table
 from sparkreel.llm.token_counts import count_tokens
@@ -52,3 +53,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=2048)
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
