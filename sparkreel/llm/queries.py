@@ -11,6 +11,7 @@ from sparkreel.llm.exact_dedup import exact_dedup
 from sparkreel.llm.jaccard_join import jaccard_components
 from sparkreel.llm.packing import pack_documents
 from sparkreel.llm.storage import table
+from sparkreel.llm.substring_dedup import digest, substring_dedup
 from sparkreel.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=2048)
 
 
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(substring_dedup(table(spark, sf_dir, "documents"), window=20))
+
+
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)

@@ -34,3 +34,24 @@ def text_of(column: str) -> Column:
 def fingerprint(*values: Column) -> list[Column]:
     """Two independent 64-bit hashes, which together name a value."""
     return [F.xxhash64(F.lit(17), *values), F.xxhash64(F.lit(91), *values)]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``: a number that names a document and orders as ``doc_id`` does.
+
+    It is ``doc_id`` where ids are unique. Otherwise rows of one id and one text share a key (they
+    are one document, listed again), other rows of an id are documents of their own in the order
+    of a hash of their text, and rows without an id come first.
+    """
+    odd = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    named = docs.withColumn("_hash", F.xxhash64(text_of("text")))
+    order = store(
+        named.select(F.col("doc_id").alias("_id"), "_hash").distinct()
+        .orderBy(F.col("_id").asc_nulls_first(), "_hash")
+        .withColumn("_key", F.monotonically_increasing_id()))
+    order = order.withColumnRenamed("_hash", "_of")
+    return named.join(
+        order, named["doc_id"].eqNullSafe(order["_id"]) & (named["_hash"] == order["_of"])
+    ).drop("_id", "_of", "_hash")
