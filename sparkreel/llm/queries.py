@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkreel.llm.exact_dedup import exact_dedup
 from sparkreel.llm.jaccard_join import jaccard_components
+from sparkreel.llm.language import fit_languages, identify_languages
 from sparkreel.llm.packing import pack_documents
 from sparkreel.llm.storage import table
 from sparkreel.llm.substring_dedup import digest, substring_dedup
 from sparkreel.llm.token_counts import count_tokens
+from sparkreel.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +40,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(VOCABULARY)).drop("text")
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the doc_id as text, modulo a number: which rows a model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Learnt from the labelled rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(remainder(5) != 0)
+    return fit_toxicity(docs, labels)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
 @query("op4_exact_dedup", r"""
 WITH hashed AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS text_sha256
@@ -61,6 +84,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(substring_dedup(table(spark, sf_dir, "documents"), window=20))
 
 
+@query("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.filter(remainder(4) != 2))
+    return identify_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
 @query("op10_jaccard_join")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
