@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkreel.llm.decontamination import find_contamination
 from sparkreel.llm.exact_dedup import exact_dedup
 from sparkreel.llm.jaccard_join import jaccard_components
 from sparkreel.llm.language import fit_languages, identify_languages
+from sparkreel.llm.line_dedup import line_dedup
 from sparkreel.llm.packing import pack_documents
 from sparkreel.llm.storage import table
 from sparkreel.llm.substring_dedup import digest, substring_dedup
@@ -51,6 +53,14 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     return fit_toxicity(docs, labels)
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select(
+        "doc_id", "n_lines", "n_removed",
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +83,31 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).drop("text")
 
 
+@query("op5_decontamination", r"""
+WITH item_words AS (
+    SELECT item_id, text, string_split(trim(regexp_replace(
+        lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+doc_words AS (
+    SELECT doc_id, string_split(trim(regexp_replace(
+        lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+items AS (
+    SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+docs AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
+shared AS (
+    SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (s)
+    GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 5 * n_shared >= 4 * n_item
+""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(

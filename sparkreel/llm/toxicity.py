@@ -1,6 +1,7 @@
 """Operator 3: toxicity by FTRL-proximal logistic regression over hashed word n-grams.
 
-Features are the words of a text, its word pairs and its pairs with one word skipped, each hashed
+Features are the words of a text (whole, and their stems of four to seven bytes, since inflected
+forms are many and each is rare), its word pairs and its pairs with one word skipped, each hashed
 to one of 2^22 numbers and counted once. Shards of the labelled rows are fitted side by side, each
 coordinate with its own learning rate and an L1 term that keeps most weights at zero; the shards'
 weights are averaged, and the few that are not zero are broadcast for scoring.
@@ -18,23 +19,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.llm.storage import store, text_of
-from sparkreel.llm.words import MARK, scramble, words_of
+from sparkreel.llm.words import MARK, scramble, stems, words_of
 
 BITS = 22
+STEMS = (4, 5, 6, 7)
 U = np.uint64
 
 
 @dataclass(frozen=True)
 class FtrlOptions:
-    """``max_rows`` bounds the labelled sample that is fitted; every other row is only scored."""
+    """``max_rows`` bounds the labelled sample that is fitted; every other row is only scored.
+
+    ``shard_rows`` is about how many of them are fitted in one task.
+    """
 
     max_rows: int = 24000
-    shards: int = 6
-    epochs: int = 4
-    alpha: float = 0.1
+    shard_rows: int = 8000
+    epochs: int = 6
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
+    l1: float = 3.0
+    l2: float = 0.0
+    least_texts: int = 3
     seed: int = 11
 
 
@@ -56,6 +62,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pair = scramble(key[:-skip], turn) + scramble(key[skip:], turn + 2)
         owners.append(owner[skip:][inside])
         buckets.append(scramble(pair[inside], turn))
+    for stem in stems(words, STEMS):
+        owners.append(owner[stem != 0])
+        buckets.append(stem[stem != 0])
     bucket = (np.concatenate(buckets) >> U(64 - BITS)).astype(np.int64)
     return np.concatenate(owners), bucket
 
@@ -69,6 +78,11 @@ def _fit(texts: list[str], labels: np.ndarray, options: FtrlOptions) -> pd.DataF
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(1, len(part)))
         rows += [np.unique(b).astype(np.int32) for b in np.split(bucket[order], cuts)]
+    seen = np.zeros(1 << BITS, np.int32)
+    for row in rows:
+        seen[row] += 1
+    # What few texts of the shard have tells nothing about others.
+    rows = [row[seen[row] >= options.least_texts] for row in rows]
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     bias = size - 1
@@ -117,9 +131,11 @@ def fit_toxicity(
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("_id", F.lit(options.seed)), "_id").limit(options.max_rows))
     # The sample is bounded by max_rows, so it may be broadcast.
+    sample = store(sample)
+    shards = max(1, -(-sample.count() // options.shard_rows))
     rows = docs.select("doc_id", text_of("text").alias("text")).join(
-        F.broadcast(store(sample)), F.col("doc_id") == F.col("_id"))
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(options.seed + 1)), options.shards)
+        F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(options.seed + 1)), shards)
     weights = (
         rows.select("doc_id", "text", "toxic", shard.alias("shard"))
         .groupBy("shard").applyInPandas(

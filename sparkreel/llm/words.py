@@ -97,3 +97,17 @@ def shingles(keys: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         total = (total + keys[i : i + n]) * _ODD[6]
     return scramble(total + U(size), 2)
+
+
+def stems(words: Words, lengths: tuple[int, ...], lower: bool = True) -> list[np.ndarray]:
+    """Hashes of the first bytes of every word, per length; 0 where a word is shorter."""
+    table = _BYTE[_LOWER] if lower else _BYTE
+    size = words.end - words.start
+    total = np.zeros(len(size), np.uint64)
+    out = []
+    for i in range(max(lengths)):
+        at = np.minimum(words.start + i, len(words.data) - 1)
+        total = total * _POWER + table[words.data[at]]
+        if i + 1 in lengths:
+            out.append(np.where(size > i, scramble(total + U(i), 4), U(0)))
+    return out
