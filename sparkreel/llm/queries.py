@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.llm.decontamination import find_contamination
 from sparkreel.llm.exact_dedup import exact_dedup
+from sparkreel.llm.extraction import extract_pages
 from sparkreel.llm.jaccard_join import jaccard_components
 from sparkreel.llm.language import fit_languages, identify_languages
 from sparkreel.llm.line_dedup import line_dedup
@@ -108,6 +109,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_extraction")
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(
