@@ -52,17 +52,21 @@ def within_duration(windows: DataFrame, options: PlanningOptions = DEFAULTS) ->
     )
 
 
-def latest_candidates(candidates: DataFrame, position: str = "candidate_id") -> DataFrame:
-    """One window per candidate id, the last given one."""
+def latest_candidates(candidates: DataFrame, position: str = "candidate_pos") -> DataFrame:
+    """One window per candidate id, the last given one.
+
+    Without a column ``position`` rows have no order; then the latest window is taken.
+    """
+    order = [name for name in (position, "start_ms", "end_ms") if name in candidates.columns]
     return (
         candidates.groupBy("source_id", "candidate_id")
-        .agg(F.max_by(F.struct("start_ms", "end_ms"), position).alias("w"))
+        .agg(F.max_by(F.struct("start_ms", "end_ms"), F.struct(*order)).alias("w"))
         .select("source_id", "candidate_id", "w.*")
     )
 
 
 def evaluated_candidates(
-    candidates: DataFrame, evaluations: DataFrame, position: str = "candidate_id"
+    candidates: DataFrame, evaluations: DataFrame, position: str = "candidate_pos"
 ) -> DataFrame:
     """Evaluations with the times of their candidates; unknown candidates fall away."""
     return evaluations.join(
@@ -104,7 +108,7 @@ def _in_rank_order(clips: DataFrame) -> DataFrame:
 
 
 def _first_block(clips: DataFrame, block: int) -> DataFrame:
-    along = Window.partitionBy("source_id").orderBy("rank", "eval_pos")
+    along = Window.partitionBy("source_id").orderBy("rank", "eval_pos", "candidate_id")
     return clips.withColumn("n", F.row_number().over(along)).filter(F.col("n") <= block).drop("n")
 
 
@@ -130,8 +134,8 @@ def _select_in_blocks(clips: DataFrame, options: PlanningOptions, block: int) ->
         rest = cut_lineage(
             rest.join(open_sources.select("source_id", "kept", "reached"), "source_id")
             .filter(
-                F.struct("rank", "eval_pos")
-                > F.struct(F.col("reached.rank"), F.col("reached.eval_pos"))
+                F.struct("rank", "eval_pos", "candidate_id")
+                > F.struct("reached.rank", "reached.eval_pos", "reached.candidate_id")
             )
             .filter(
                 ~_overlaps_any(F.col("kept"), F.col("start_ms"), F.col("end_ms"),
@@ -164,7 +168,8 @@ def plan_clips(
     """The strongest clips of each source that do not overlap heavily, numbered by rank.
 
     Evaluations are first reduced to the best one per candidate (a second one would clash with
-    itself). ``candidates_per_source`` is a known bound, such as ``max_candidates`` of discovery;
+    itself). Equal ranks go by ``eval_pos``, then by ``candidate_id``, so the order is total and
+    both ways of choosing agree. ``candidates_per_source`` is a known bound, such as ``max_candidates`` of discovery;
     when it fits one block the plan stays lazy, otherwise sources are worked off in blocks.
     """
     best = (
@@ -172,10 +177,9 @@ def plan_clips(
         .withColumn("rank", -F.col("score"))
         .groupBy("source_id", "candidate_id")
         .agg(
-            F.min_by(
+            F.min(
                 F.struct("rank", "eval_pos", "score", "reason",
-                         F.col("suggested_title").alias("title")),
-                F.struct("rank", "eval_pos"),
+                         F.col("suggested_title").alias("title"))
             ).alias("e")
         )
         .select("source_id", "candidate_id", "e.*")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
-from sparkreel.operators.candidates import BATCH_SIZE, evaluation_payloads
+from sparkreel.operators.candidates import BATCH_SIZE, batch_number, evaluation_payloads
 from sparkreel.operators.catalog import packaging_title, scoring_title
 from sparkreel.operators.responses import (
-    TEXT_FIELDS, as_text, clip_transcripts, field, packaging_errors, parse_evaluations,
+    TEXT_FIELDS, as_text, clip_transcripts, field, last_key_wins, packaging_errors,
+    parse_evaluations,
 )
+from sparkreel.plans.lineage import cut_lineage
 
 Responder = Callable[[str, str], str]
 
@@ -52,7 +54,9 @@ def score_candidates(
 
     ``scorer`` is a score Column over the candidates, or, with ``sources``, a responder
     ``(title, payload) -> raw JSON`` called per batch inside the tasks; otherwise a function from
-    candidates to ``source_id, raw`` responses.
+    candidates to ``source_id, raw`` responses, with their number in ``batch`` if they have one.
+    A response that leaves out ids it was asked for is refused: one row with ``error``. For a
+    function the answers of a source count together. ``eval_pos`` numbers a source's evaluations.
     """
     if isinstance(scorer, Column):
         score = scorer.cast("double")
@@ -67,18 +71,48 @@ def score_candidates(
             wrong.alias("error"),
         )
     if sources is None:
-        responses = scorer(content).withColumn("batch", F.lit(1).cast("bigint"))
+        responses = scorer(content)
+        if "batch" not in responses.columns:
+            # Responses without a number are taken in the order of their text.
+            along = Window.partitionBy("source_id").orderBy("raw")
+            responses = responses.withColumn("batch", F.row_number().over(along).cast("bigint"))
+        scope = ["source_id"]
     else:
         responses = score_requests(content, sources, batch_size).mapInPandas(
             _asking(scorer, "title", "payload"),
             "source_id bigint, batch bigint, raw string",
         )
-    position = (F.col("batch") - 1) * batch_size + F.col("item_pos") + 1
-    return parse_evaluations(responses).select(
-        "source_id",
-        position.cast("bigint").alias("eval_pos"),
-        "candidate_id", "score", "reason", "suggested_title", "error",
-    )
+        scope = ["source_id", "batch"]
+    # Stored, so that nobody is asked twice.
+    parsed = parse_evaluations(cut_lineage(responses))
+    left_out = _left_out(content, parsed, scope, batch_size)
+    along = Window.partitionBy("source_id").orderBy("batch", "item_pos")
+    accepted = (
+        parsed.join(left_out, scope, "left_anti")
+        .withColumn("eval_pos", F.row_number().over(along).cast("bigint")))
+    refused = left_out.join(parsed.filter("error IS NULL").select(*scope).distinct(), scope)
+    names = ["source_id", "eval_pos", "candidate_id", "score", "reason", "suggested_title", "error"]
+    nothing = F.lit(None)
+    return accepted.select(*names).unionByName(refused.select(
+        "source_id", nothing.cast("bigint").alias("eval_pos"),
+        nothing.cast("bigint").alias("candidate_id"), nothing.cast("double").alias("score"),
+        nothing.cast("string").alias("reason"), nothing.cast("string").alias("suggested_title"),
+        F.concat(F.lit("missing candidate ids: "), "ids").alias("error")))
+
+
+def _left_out(
+    content: DataFrame, parsed: DataFrame, scope: list[str], batch_size: int
+) -> DataFrame:
+    """Requests (by ``scope``) whose valid response lacks ids that were asked for, and those ids."""
+    asked = content.select(
+        "source_id", "candidate_id", batch_number(batch_size).alias("batch"))
+    given = parsed.filter("candidate_id IS NOT NULL").select(*scope, "candidate_id").distinct()
+    answered = parsed.filter("error IS NULL").select(*scope).distinct()
+    return (
+        asked.join(answered, scope, "left_semi").join(given, [*scope, "candidate_id"], "left_anti")
+        .groupBy(*scope)
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("candidate_id")),
+                                      lambda i: i.cast("string")), ",").alias("ids")))
 
 
 def package_requests(clips: DataFrame, content: DataFrame, sources: DataFrame) -> DataFrame:
@@ -110,6 +144,7 @@ def package_requests(clips: DataFrame, content: DataFrame, sources: DataFrame) -
 
 def read_packaging_responses(responses: DataFrame) -> DataFrame:
     """Valid responses as packaging rows; invalid ones carry ``errors`` and no values."""
+    last_key_wins(responses.sparkSession)
     document = F.try_parse_json("raw")
     checked = responses.withColumn("errors", packaging_errors(F.col("raw")))
     valid = F.size("errors") == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreel.functions.text import has_text, strip
@@ -33,6 +35,17 @@ PACKAGING_RETRY_MARKERS = [
 ]
 
 
+def last_key_wins(spark: SparkSession) -> None:
+    """Lets the session read JSON objects that repeat a key; the last value counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def parse_error(raw: Column) -> Column:
+    """Why text did not become a document: too large for one value, or no JSON at all."""
+    valid = F.get_json_object(raw, "$").isNotNull()
+    return F.when(valid, "document too large").otherwise("invalid JSON")
+
+
 def field(document: Column, name: str, kind: str) -> Column:
     """A field of a parsed document; NULL when absent or not readable as that type."""
     return F.try_variant_get(document, f"$.{name}", kind)
@@ -76,13 +89,14 @@ def parse_evaluations(responses: DataFrame) -> DataFrame:
     One malformed item rejects its whole response: such a response yields one row with ``error``
     and without values. ``item_pos`` is the position in the response.
     """
+    last_key_wins(responses.sparkSession)
     kept = [name for name in responses.columns if name != "raw"]
     parsed = responses.withColumn("document", F.try_parse_json("raw")).withColumn(
         "items", _items(F.col("document"))
     )
     wrong = F.filter(F.transform("items", _item_error), lambda error: error.isNotNull())
     error = (
-        F.when(F.col("document").isNull(), "invalid JSON")
+        F.when(F.col("document").isNull(), parse_error(F.col("raw")))
         .when(F.col("items").isNull(), "not an array")
         .otherwise(F.get(wrong, F.lit(0)))
     )
@@ -169,6 +183,7 @@ def _packaging_errors(document: Column, absent: Column) -> Column:
 
 def validate_packaging(responses: DataFrame) -> DataFrame:
     """Packaging responses (``raw``) with ``errors``."""
+    last_key_wins(responses.sparkSession)
     return responses.withColumn("errors", packaging_errors(F.col("raw")))
 
 
@@ -191,6 +206,7 @@ def stored_packaging_error(document: Column) -> Column:
 
 def invalid_packaging(stored: DataFrame) -> DataFrame:
     """Stored packaging (``raw``) that has to be made again, with the reason."""
+    last_key_wins(stored.sparkSession)
     return stored.withColumn(
         "error", stored_packaging_error(F.try_parse_json("raw"))
     ).filter(F.col("error").isNotNull()).drop("raw")
@@ -198,8 +214,10 @@ def invalid_packaging(stored: DataFrame) -> DataFrame:
 
 def clip_transcripts(clips: DataFrame, content: DataFrame) -> DataFrame:
     """Clips with the text of their candidate and, where that is missing or blank, the error."""
+    order = [name for name in ("candidate_pos", "start_ms", "end_ms") if name in content.columns]
+    first = F.struct(*order, "transcript_text")  # the first candidate given under an id
     texts = content.groupBy("source_id", "candidate_id").agg(
-        F.first("transcript_text").alias("transcript_text")
+        F.min_by("transcript_text", first).alias("transcript_text")
     )
     error = F.when(F.col("transcript_text").isNull(), "candidate not found").when(
         ~has_text(F.col("transcript_text")), "candidate has no text"
@@ -216,9 +234,7 @@ def unpackageable_clips(clips: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def _contains_any(message: Column, markers: list[str]) -> Column:
-    return F.exists(
-        F.array(*[F.lit(marker) for marker in markers]), lambda marker: message.contains(marker)
-    )
+    return reduce(Column.__or__, [message.contains(marker) for marker in markers])
 
 
 def _classed(message: Column, markers: dict[str, list[str]], other: str) -> Column:

@@ -58,7 +58,7 @@ def run_missing_stages(
     batch = next_batch(spark, root, STAGES)
 
     def stored(stage: str, wanted: DataFrame) -> DataFrame:
-        return read_stage(spark, root, stage).join(wanted, "source_id", "left_semi")
+        return read_stage(spark, root, stage, wanted=wanted)
 
     def make_candidates(wanted: DataFrame) -> DataFrame:
         segments = stored("transcript", wanted)

@@ -17,7 +17,7 @@ from sparkreel.functions import timing
 from sparkreel.functions.identity import source_identity
 from sparkreel.functions.text import strip
 from sparkreel.operators.responses import (
-    TEXT_FIELDS, as_text, field, kind_of, stored_packaging_error,
+    TEXT_FIELDS, as_text, field, kind_of, last_key_wins, parse_error, stored_packaging_error,
 )
 from sparkreel.operators.segments import number_rows
 
@@ -44,6 +44,7 @@ TEXTS = ("text", "transcript_text", "language", "source_type", "location", "sour
 
 def read_documents(spark: SparkSession, path: str, *, per_line: bool = False) -> DataFrame:
     """``project_id, raw, document``; ``document`` is NULL where the JSON is broken."""
+    last_key_wins(spark)
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not per_line)
     document = F.col("document")
     location = F.coalesce(
@@ -114,7 +115,8 @@ def _error(document: Column, kind: str) -> Column:
 
 def document_error(kind: str) -> Column:
     """Why a document of that kind cannot be loaded, NULL if it can."""
-    return _once(F.col("document"), lambda document: _error(document, kind))
+    error = _once(F.col("document"), lambda document: _error(document, kind))
+    return F.when(error == "invalid JSON", parse_error(F.col("raw"))).otherwise(error)
 
 
 def corrupt_documents(documents: DataFrame, kind: str) -> DataFrame:

@@ -70,12 +70,27 @@ def committed_projects(
     return None if written is None else written.groupBy(key).agg(F.max("batch").alias("batch"))
 
 
-def read_stage(spark: SparkSession, root: str, stage: str, key: str = KEY) -> DataFrame | None:
-    """Current rows of a stage; None before the first write."""
+def read_stage(
+    spark: SparkSession, root: str, stage: str, key: str = KEY, wanted: DataFrame | None = None
+) -> DataFrame | None:
+    """Current rows of a stage, all or those of ``wanted`` keys; None before the first write.
+
+    Only the batches holding them are listed and read, so a run over a few projects does not touch
+    the rows of all others.
+    """
     newest = committed_projects(spark, root, stage, key)
-    rows = _read(spark, f"{root}/{stage}/rows")
-    if newest is None or rows is None:
+    if newest is None:
         return None
+    if wanted is not None:
+        newest = newest.join(wanted.select(key).distinct(), key, "left_semi")
+    path = f"{root}/{stage}/rows"
+    # One small number per batch that is still current somewhere.
+    numbers = sorted(row[0] for row in newest.select("batch").distinct().collect())
+    if not numbers:
+        rows = _read(spark, path)
+        return None if rows is None else rows.drop("batch").limit(0)
+    rows = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(
+        *[f"{path}/batch={number}" for number in numbers])
     return rows.join(newest, [key, "batch"]).drop("batch")
 
 

@@ -2,13 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from sparkreel.operators.segments import with_text_flag
+from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions
+from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
+from sparkreel.operators.planning import PlanningOptions
+from sparkreel.operators.segments import order_violations, with_text_flag
 from sparkreel.plans.incremental import STAGES, Scorer, run_missing_stages
+from sparkreel.plans.lineage import cut_lineage
 from sparkreel.schemas import SEGMENTS
 from sparkreel.sources.stage_tables import next_batch, write_stage
 
+FILE = ["source_id", "file_time", "file"]
+
+
+def newest_transcripts(segments: DataFrame) -> DataFrame:
+    """Rows of each source's newest transcript; ``segments`` tells ``file`` and ``file_time``.
+
+    A transcript may be spread over files as long as these cover different positions. A file whose
+    positions overlap with those of a newer file of its source is an older version and left out.
+    """
+    spans = segments.groupBy(*FILE).agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
+    newer = Window.partitionBy("source_id").orderBy(F.desc("file_time"), F.desc("file"))
+    newer = newer.rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.collect_list(F.struct("low", "high")).over(newer), F.array())
+    current = spans.withColumn("seen", seen).filter(
+        ~F.exists("seen", lambda s: (s["low"] <= F.col("high")) & (s["high"] >= F.col("low"))))
+    return segments.join(current.select(*FILE), FILE, "left_semi")
+
+
+def unusable_sources(segments: DataFrame) -> DataFrame:
+    """``source_id, reason``: transcripts with gaps or repeated positions, or ends that go back."""
+    counted = segments.groupBy("source_id").agg(
+        F.count("*").alias("n"), F.countDistinct("idx").alias("places"),
+        F.min("idx").alias("low"), F.max("idx").alias("high"))
+    gaps = counted.filter(
+        "source_id IS NULL OR low IS NULL OR low <> 0 OR high <> n - 1 OR places <> n"
+    ).select("source_id", F.lit("positions are not 0 to n-1").alias("reason"))
+    back = order_violations(segments).select(
+        "source_id", F.lit("segment ends go back").alias("reason")).distinct()
+    return gaps.unionByName(back).groupBy("source_id").agg(F.min("reason").alias("reason"))
+
 
 def run_incremental(
     spark: SparkSession,
@@ -19,26 +54,39 @@ def run_incremental(
     file_format: str = "parquet",
     schema: str = SEGMENTS,
     checkpoint: str | None = None,
+    discovery: DiscoveryOptions = DEFAULTS,
+    planning: PlanningOptions = PLAN_DEFAULTS,
 ) -> None:
     """Processes all files of ``incoming`` not seen before, then stops.
 
-    A file holds whole transcripts; a transcript that comes again replaces the old one and makes
-    everything after it stale. The stream's checkpoint remembers the files, stage tables hold the
-    results; a batch repeated after a failure is written under a newer number and replaces itself.
+    The files of one transcript are to arrive together; where several versions wait, the newest is
+    taken. A transcript that comes again replaces the old one and makes everything after it stale.
+    Transcripts with gaps, repeated positions or falling ends are set aside, with the reason, under
+    ``quarantine`` and change nothing. The stream's checkpoint remembers the files, stage tables
+    hold the results; a batch repeated after a failure is written under a newer number and replaces
+    itself.
     """
 
-    def take_in(segments: DataFrame, _: int) -> None:
-        session = segments.sparkSession
+    def take_in(arrived: DataFrame, batch_id: int) -> None:
+        session = arrived.sparkSession
         batch = next_batch(session, root, STAGES)
+        newest = newest_transcripts(arrived).drop("file", "file_time")
+        bad = cut_lineage(unusable_sources(newest))
+        same = newest["source_id"].eqNullSafe(bad["source_id"])
+        if not bad.isEmpty():
+            newest.join(bad, same).drop(bad["source_id"]).write.mode("overwrite").parquet(
+                f"{root}/quarantine/batch={batch_id}")
         # The flag is stored so that discovery need not read the text.
-        flagged = with_text_flag(segments)
-        write_stage(flagged, segments.select("source_id"), root, "transcript", batch)
-        run_missing_stages(session, root, scorer)
+        flagged = with_text_flag(newest.join(bad, same, "left_anti"))
+        write_stage(flagged, flagged.select("source_id"), root, "transcript", batch)
+        run_missing_stages(session, root, scorer, discovery=discovery, planning=planning)
 
     query = (
         spark.readStream.schema(schema)
         .format(file_format)
         .load(incoming)
+        .select("*", F.col("_metadata.file_modification_time").alias("file_time"),
+                F.col("_metadata.file_path").alias("file"))
         .writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint or f"{root}/_checkpoint")
         .foreachBatch(take_in)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparkreel.operators.planning import PlanningOptions, plan_clips
+from sparkreel.operators.planning import PlanningOptions, latest_candidates, plan_clips
 from sparkreel.schemas import CANDIDATES, EVALUATIONS
 
 
@@ -67,3 +67,25 @@ def test_refuses_wrong_options():
     for wrong in ({"max_clips": 0}, {"min_duration": 0}, {"overlap_threshold": 0}):
         with pytest.raises(ValueError):
             PlanningOptions(**wrong)
+
+
+@pytest.mark.parametrize("block", [None, 1, 2, 3])
+def test_ties_across_blocks(spark, block):
+    """Equal scores at equal positions: none is lost at the border of a block."""
+    candidates = spark.createDataFrame(
+        [(s, i, i * 100_000, i * 100_000 + 50_000, 0, 3) for s in (1, 2) for i in range(1, 6)],
+        CANDIDATES)
+    evaluations = spark.createDataFrame(
+        [(s, 1, i, 9.0, "r", None) for s in (1, 2) for i in range(1, 6)], EVALUATIONS)
+    found = plan_clips(candidates, evaluations, **(
+        {"candidates_per_source": 5} if block is None else {"block": block})).collect()
+    assert sorted((r.source_id, r.clip_id, r.candidate_id) for r in found) == [
+        (s, i, i) for s in (1, 2) for i in range(1, 6)]
+
+
+def test_last_candidate_of_an_id_wins(spark):
+    rows = [(1, 1, 0, 200_000, 260_000), (1, 1, 1, 100_000, 150_000), (1, 2, 0, 300_000, 340_000)]
+    found = latest_candidates(spark.createDataFrame(
+        rows, "source_id bigint, candidate_id bigint, candidate_pos bigint, start_ms bigint, "
+              "end_ms bigint").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 100_000, 150_000), (1, 2, 300_000, 340_000)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from sparkreel.operators import providers, responses
 from sparkreel.plans import incremental, stages
 from sparkreel.schemas import SEGMENTS
 from sparkreel.sources import documents, stage_tables
+from sparkreel.streaming import intake
 from sparkreel.streaming.intake import run_incremental
 
 SOURCE = {"source_type": "local", "location": "/v/a.mp4", "title": None}
@@ -175,3 +177,76 @@ def test_column_scorer(spark):
     errors = [r.error for r in providers.score_candidates(content, F.col("s"))
               .orderBy("candidate_id").collect()]
     assert errors == [None, "score out of range"]
+
+
+def test_repeated_keys_read_the_last_value(spark):
+    rows = [(1, '[{"candidate_id": 1, "score": 5, "score": 6}]')]
+    got = responses.parse_evaluations(
+        spark.createDataFrame(rows, "source_id bigint, raw string")).collect()
+    assert [(r.error, r.score) for r in got] == [(None, 6.0)]
+
+
+def scored(spark, answers, batch_size=2):
+    content = spark.createDataFrame(
+        [(1, i, i * 1000, i * 1000 + 500, "t") for i in range(1, 5)],
+        "source_id bigint, candidate_id bigint, start_ms bigint, end_ms bigint, "
+        "transcript_text string")
+    sources = spark.createDataFrame([(1, "A", "x")], "source_id bigint, title string, location string")
+
+    def answer(title, payload):
+        asked = [item["candidate_id"] for item in json.loads(payload)]
+        return json.dumps([{"candidate_id": i, "score": 7} for i in asked if i in answers])
+
+    return providers.score_candidates(content, answer, sources=sources, batch_size=batch_size)
+
+
+def test_response_that_omits_ids_is_refused(spark):
+    got = [(r.eval_pos, r.candidate_id, r.error) for r in
+           scored(spark, {1, 2, 4}).orderBy("eval_pos").collect()]
+    assert got == [(None, None, "missing candidate ids: 3"), (1, 1, None), (2, 2, None)]
+
+
+def test_evaluations_of_a_function_are_numbered(spark):
+    content = spark.createDataFrame(
+        [(1, 1), (1, 2), (1, 3)], "source_id bigint, candidate_id bigint")
+    raws = [(1, f'[{{"candidate_id": {i}, "score": 5}}]') for i in (3, 1, 2)]
+    found = providers.score_candidates(
+        content, lambda c: spark.createDataFrame(raws, "source_id bigint, raw string"))
+    assert sorted((r.eval_pos, r.candidate_id) for r in found.collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_intake_of_versions_parts_and_gaps(spark, tmp_path):
+    def drop(source, low, high, tag):
+        rows = [(source, i, i * 10_000, i * 10_000 + 9_000, f"{tag} {i}.") for i in range(low, high)]
+        spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.parquet(
+            f"{tmp_path}/in", mode="append")
+
+    def scorer(candidates):
+        return candidates.selectExpr(
+            "source_id", "candidate_id AS eval_pos", "candidate_id", "8D AS score", "'' AS reason",
+            "CAST(NULL AS STRING) AS suggested_title")
+
+    drop(1, 0, 12, "old")
+    time.sleep(1.1)  # file times have seconds
+    drop(1, 0, 8, "new")
+    drop(2, 0, 15, "a")
+    drop(2, 15, 30, "b")
+    drop(3, 5, 9, "gap")
+    root = f"{tmp_path}/tables"
+    intake.run_incremental(spark, f"{tmp_path}/in", root, scorer)
+    stored = stage_tables.read_stage(spark, root, "transcript").collect()
+    assert sorted((r.source_id, r.idx, r.text.split()[0]) for r in stored) == (
+        [(1, i, "new") for i in range(8)]
+        + [(2, i, "a" if i < 15 else "b") for i in range(30)])
+    aside = spark.read.parquet(f"{root}/quarantine").collect()
+    assert {(r.source_id, r.reason) for r in aside} == {(3, "positions are not 0 to n-1")}
+
+
+def test_wanted_rows_come_from_their_batches_only(spark, tmp_path):
+    for batch, source in enumerate((1, 2, 3)):
+        rows = spark.createDataFrame([(source, batch)], "source_id bigint, v bigint")
+        stage_tables.write_stage(rows, rows, str(tmp_path), "transcript", batch)
+    wanted = spark.createDataFrame([(2,)], "source_id bigint")
+    rows = stage_tables.read_stage(spark, str(tmp_path), "transcript", wanted=wanted)
+    assert [tuple(r) for r in rows.select("source_id", "v").collect()] == [(2, 1)]
+    assert {f.split("batch=")[1][0] for f in rows.inputFiles() if "/rows/" in f} == {"1"}
