@@ -233,6 +233,34 @@ def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFr
     )
 
 
+def _bounded(apart: DataFrame, contents: DataFrame) -> DataFrame:
+    """Adds to the members of tiles their set sizes and how many n-grams any other member has too.
+
+    An n-gram that no other of these documents has is in no intersection. Edited copies of one
+    text mostly differ in such n-grams, so their pairs are told apart before they are formed.
+    """
+    ids = apart.select(F.col("v").alias("id")).distinct()
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), 500):
+                part = batch.iloc[begin : begin + 500]
+                sets = [np.frombuffer(m, np.int64) for m in part["members"]]
+                yield pd.DataFrame({
+                    "id": np.repeat(part["id"].to_numpy(), [len(x) for x in sets]),
+                    "gram": np.concatenate([*sets, np.zeros(0, np.int64)])})
+
+    own = contents.join(ids, "id", "left_semi").select("id", "members")
+    alone = (
+        own.mapInPandas(spread, "id long, gram long")
+        .groupBy("gram").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        .filter("n = 1").groupBy("id").agg(F.count("*").alias("alone")))
+    sizes = own.select("id", (F.length("members") / 8).cast("long").alias("n")).join(
+        alone, "id", "left").select(
+        F.col("id").alias("v"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return store(apart.join(store(sizes), "v"))
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
 ) -> DataFrame:
@@ -289,11 +317,17 @@ def jaccard_components(
         .agg(F.min("component").alias("x"), F.max("component").alias("y"))
         .filter("x <> y").select("key", F.xxhash64("key").alias("mark")))
     apart = store(members.withColumn("mark", F.xxhash64("key")).join(apart, ["key", "mark"]))
-    left = apart.select("key", F.col("v").alias("a"), F.col("component").alias("ca"))
-    right = apart.select("key", F.col("v").alias("b"), F.col("component").alias("cb"))
+    both = _bounded(apart, contents)
+    left = both.select("key", F.col("v").alias("a"), F.col("component").alias("ca"),
+                       F.col("n").alias("na"), F.col("shared").alias("sa"))
+    right = both.select("key", F.col("v").alias("b"), F.col("component").alias("cb"),
+                        F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    # The intersection is at most what each of the two shares with anyone.
+    possible = (F.least("sa", "sb") * (den + num) >= (F.col("na") + F.col("nb")) * num) & (
+        F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     rest = (
-        left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-        .join(first, ["a", "b"], "left_anti"))
+        left.join(right, "key").filter("a < b AND ca <> cb").filter(possible)
+        .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     more = store(_linked(rest, contents, num, den))
     if not more.isEmpty():
         found = components(links.unionAll(more))
