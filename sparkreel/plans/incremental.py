@@ -12,27 +12,36 @@ from sparkreel.operators.captions import captions
 from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions, discover_candidates
 from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
 from sparkreel.operators.planning import PlanningOptions, plan_clips
+from sparkreel.operators.providers import Responder, package_clips
+from sparkreel.operators.responses import TEXT_FIELDS, clip_transcripts
+from sparkreel.operators.thumbnails import thumbnail_plans
 from sparkreel.plans.lineage import cut_lineage
 from sparkreel.sources.stage_tables import (
     commit_projects, commits, next_batch, read_stage, write_rows, write_stage,
 )
 
 STAGES = ["transcript", "candidates", "evaluations", "clip_plan", "captions"]
+# Packaging follows the clip plan, beside captions.
+PACKAGED = [*STAGES[:4], "packaging", "thumbnails"]
+ALL_STAGES = [*STAGES, *PACKAGED[4:]]
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def fresh_stages(spark: SparkSession, root: str) -> DataFrame:
+def fresh_stages(
+    spark: SparkSession, root: str, chain: list[str] | None = None
+) -> DataFrame:
     """``project_id, stage`` of what is stored and not older than anything it was made from."""
-    stored = commits(spark, root, STAGES)
+    chain = chain or STAGES
+    stored = commits(spark, root, chain)
     if stored is None:
         return spark.createDataFrame([], "project_id bigint, stage string")
     batches = stored.groupBy("source_id").agg(
-        *[F.max(F.when(F.col("stage") == stage, F.col("batch"))).alias(stage) for stage in STAGES]
+        *[F.max(F.when(F.col("stage") == stage, F.col("batch"))).alias(stage) for stage in chain]
     )
     complete = F.lit(True)
     flags = []
-    for at, stage in enumerate(STAGES):
-        earlier = F.greatest(F.lit(-1), F.lit(-1), *[F.col(name) for name in STAGES[:at]])
+    for at, stage in enumerate(chain):
+        earlier = F.greatest(F.lit(-1), F.lit(-1), *[F.col(name) for name in chain[:at]])
         complete = complete & (F.col(stage) >= earlier)
         flags.append(F.when(F.coalesce(complete, F.lit(False)), F.lit(stage)))
     return batches.select(
@@ -55,7 +64,7 @@ def run_missing_stages(
     its candidates have one. Each stage reads what the one before has written, so nothing is
     computed twice and a restart goes on where the last run ended.
     """
-    batch = next_batch(spark, root, STAGES)
+    batch = next_batch(spark, root, ALL_STAGES)
 
     def stored(stage: str, wanted: DataFrame) -> DataFrame:
         return read_stage(spark, root, stage, wanted=wanted)
@@ -96,3 +105,46 @@ def run_missing_stages(
             commit_projects(complete, root, stage, batch)
         else:
             write_stage(makers[stage](wanted), wanted, root, stage, batch)
+
+
+def run_missing_packaging(
+    spark: SparkSession, root: str, packager: Responder, sources: DataFrame
+) -> None:
+    """Packages every planned clip that has no valid packaging, then plans its thumbnails.
+
+    Valid packaging made from the current clip plan is kept; clips whose packaging is missing,
+    damaged or was refused are asked for (again). Clips without text are never asked for.
+    """
+    batch = next_batch(spark, root, ALL_STAGES)
+    fresh = cut_lineage(
+        fresh_stages(spark, root, PACKAGED).withColumnRenamed("project_id", "source_id"))
+    clips = read_stage(spark, root, "clip_plan", wanted=fresh.filter("stage = 'clip_plan'"))
+    if clips is None:
+        return
+    due = clips.select("source_id", "clip_id")
+    kept = read_stage(spark, root, "packaging", wanted=fresh.filter("stage = 'packaging'"))
+    if kept is not None:
+        sound = F.col("hashtags").isNotNull()
+        for name in TEXT_FIELDS:
+            sound = sound & F.coalesce(F.trim(name) != "", F.lit(False))
+        kept = kept.filter(sound)
+        due = due.join(kept, ["source_id", "clip_id"], "left_anti")
+    touched = cut_lineage(due.select("source_id").distinct())
+    if not touched.isEmpty():
+        content = read_stage(spark, root, "candidates", wanted=touched)
+        with_text = clip_transcripts(clips.join(due, ["source_id", "clip_id"], "left_semi"), content)
+        due = with_text.filter("error IS NULL").select("source_id", "clip_id")
+        asked = clips.join(due, ["source_id", "clip_id"], "left_semi")
+        rows = package_clips(asked, content, packager, sources).filter(
+            F.size("errors") == 0).drop("errors")
+        if kept is not None:
+            rows = rows.unionByName(kept.join(touched, "source_id", "left_semi"))
+        write_stage(rows, touched, root, "packaging", batch)
+    state = fresh_stages(spark, root, PACKAGED).withColumnRenamed("project_id", "source_id")
+    wanted = cut_lineage(
+        state.filter("stage = 'packaging'").select("source_id").join(
+            state.filter("stage = 'thumbnails'").select("source_id"), "source_id", "left_anti"))
+    if not wanted.isEmpty():
+        packaging = read_stage(spark, root, "packaging", wanted=wanted)
+        plans = thumbnail_plans(packaging, read_stage(spark, root, "clip_plan", wanted=wanted))
+        write_stage(plans, wanted, root, "thumbnails", batch)

@@ -128,6 +128,15 @@ def corrupt_documents(documents: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def missing_documents(documents: DataFrame, expected: DataFrame) -> DataFrame:
+    """``project_id, error, raw`` of projects in ``expected`` without any document."""
+    return (
+        expected.select("project_id").distinct()
+        .join(documents.select("project_id"), "project_id", "left_anti")
+        .select("project_id", F.lit("artifact does not exist").alias("error"),
+                F.lit(None).cast("string").alias("raw")))
+
+
 def _loadable(documents: DataFrame, kind: str) -> DataFrame:
     return documents.filter(document_error(kind).isNull())
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
+from sparkreel.operators.responses import TEXT_FIELDS
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -84,3 +85,14 @@ def clip_plan_documents(sources: DataFrame, clips: DataFrame) -> DataFrame:
         F.col("final_score"), F.col("reason"), F.col("title"),
     )
     return _document(sources, nested, F.col("selected_clips"))
+
+
+def source_documents(sources: DataFrame) -> DataFrame:
+    """One source document per source: its type, location and title."""
+    return sources.select("source_id", F.to_json(_source(), _KEEP_NULLS).alias("document"))
+
+
+def packaging_documents(packaging: DataFrame) -> DataFrame:
+    """One packaging document per clip: ``source_id, clip_id, document``."""
+    fields = F.struct("clip_id", *TEXT_FIELDS, "hashtags")
+    return packaging.select("source_id", "clip_id", F.to_json(fields, _KEEP_NULLS).alias("document"))

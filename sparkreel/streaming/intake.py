@@ -9,7 +9,10 @@ from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions
 from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
 from sparkreel.operators.planning import PlanningOptions
 from sparkreel.operators.segments import order_violations, with_text_flag
-from sparkreel.plans.incremental import STAGES, Scorer, run_missing_stages
+from sparkreel.operators.providers import Responder
+from sparkreel.plans.incremental import (
+    ALL_STAGES, Scorer, run_missing_packaging, run_missing_stages,
+)
 from sparkreel.plans.lineage import cut_lineage
 from sparkreel.schemas import SEGMENTS
 from sparkreel.sources.stage_tables import next_batch, write_stage
@@ -56,6 +59,8 @@ def run_incremental(
     checkpoint: str | None = None,
     discovery: DiscoveryOptions = DEFAULTS,
     planning: PlanningOptions = PLAN_DEFAULTS,
+    packager: Responder | None = None,
+    sources: DataFrame | None = None,
 ) -> None:
     """Processes all files of ``incoming`` not seen before, then stops.
 
@@ -63,13 +68,16 @@ def run_incremental(
     taken. A transcript that comes again replaces the old one and makes everything after it stale.
     Transcripts with gaps, repeated positions or falling ends are set aside, with the reason, under
     ``quarantine`` and change nothing. The stream's checkpoint remembers the files, stage tables
-    hold the results; a batch repeated after a failure is written under a newer number and replaces
+    hold the results. With a ``packager`` and the table of ``sources`` clips are packaged and their
+    thumbnails planned as well. A batch repeated after a failure is written under a newer number and replaces
     itself.
     """
+    if packager is not None and sources is None:
+        raise ValueError("packaging needs the table of sources")
 
     def take_in(arrived: DataFrame, batch_id: int) -> None:
         session = arrived.sparkSession
-        batch = next_batch(session, root, STAGES)
+        batch = next_batch(session, root, ALL_STAGES)
         newest = newest_transcripts(arrived).drop("file", "file_time")
         bad = cut_lineage(unusable_sources(newest))
         same = newest["source_id"].eqNullSafe(bad["source_id"])
@@ -80,6 +88,8 @@ def run_incremental(
         flagged = with_text_flag(newest.join(bad, same, "left_anti"))
         write_stage(flagged, flagged.select("source_id"), root, "transcript", batch)
         run_missing_stages(session, root, scorer, discovery=discovery, planning=planning)
+        if packager is not None:
+            run_missing_packaging(session, root, packager, sources)
 
     query = (
         spark.readStream.schema(schema)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkreel.operators import providers, responses
 from sparkreel.plans import incremental, stages
-from sparkreel.schemas import SEGMENTS
-from sparkreel.sources import documents, stage_tables
+from sparkreel.schemas import CLIPS, SEGMENTS
+from sparkreel.sources import documents, manifests, stage_tables
 from sparkreel.streaming import intake
 from sparkreel.streaming.intake import run_incremental
 
@@ -250,3 +250,59 @@ def test_wanted_rows_come_from_their_batches_only(spark, tmp_path):
     rows = stage_tables.read_stage(spark, str(tmp_path), "transcript", wanted=wanted)
     assert [tuple(r) for r in rows.select("source_id", "v").collect()] == [(2, 1)]
     assert {f.split("batch=")[1][0] for f in rows.inputFiles() if "/rows/" in f} == {"1"}
+
+
+def test_packaging_resumes_with_what_is_missing(spark, tmp_path):
+    root, asked = str(tmp_path), f"{tmp_path}/asked"
+    clips = spark.createDataFrame(
+        [(1, i, i, i * 60_000, i * 60_000 + 30_000, 8.0, "", None) for i in (1, 2, 3)], CLIPS)
+    content = spark.createDataFrame(
+        [(1, i, i * 60_000, i * 60_000 + 30_000, "text" if i < 3 else " ") for i in (1, 2, 3)],
+        "source_id bigint, candidate_id bigint, start_ms bigint, end_ms bigint, "
+        "transcript_text string")
+    sources = spark.createDataFrame(
+        [(1, "A", "x")], "source_id bigint, title string, location string")
+    for stage, rows in (("transcript", content), ("candidates", content), ("evaluations", content),
+                        ("clip_plan", clips)):
+        stage_tables.write_stage(rows, rows, root, stage, 0)
+
+    def packager(broken):
+        def answer(title, payload):
+            clip = json.loads(payload)["clip_id"]
+            with open(asked, "a") as log:
+                log.write(f"{clip}\n")
+            good = {name: "x" for name in responses.TEXT_FIELDS} | {"hashtags": ["a"]}
+            return "{" if clip in broken else json.dumps(good)
+        return answer
+
+    incremental.run_missing_packaging(spark, root, packager({2}), sources)
+    assert [r.clip_id for r in stage_tables.read_stage(spark, root, "packaging").collect()] == [1]
+    open(asked, "w").close()
+    incremental.run_missing_packaging(spark, root, packager(set()), sources)
+    assert set(open(asked).read().split()) == {"2"}
+    for stage in ("packaging", "thumbnails"):
+        rows = stage_tables.read_stage(spark, root, stage).collect()
+        assert sorted(r.clip_id for r in rows) == [1, 2]
+
+
+def test_source_and_packaging_round_trip(spark, tmp_path):
+    sources = spark.createDataFrame(
+        [(1, "local", "/v/é.mp4", None)],
+        "source_id bigint, source_type string, location string, title string")
+    document = manifests.source_documents(sources).first().document
+    (tmp_path / "s").mkdir()
+    read = documents.read_sources(stored(spark, tmp_path / "s", document)).first()
+    assert (read.source_type, read.location, read.title) == ("local", "/v/é.mp4", None)
+    values = {name: f"{name} ü" for name in responses.TEXT_FIELDS}
+    packaging = spark.createDataFrame(
+        [(1, 7, *values.values(), ["#a", "b"])],
+        "source_id bigint, clip_id bigint, "
+        + ", ".join(f"{name} string" for name in values) + ", hashtags array<string>")
+    (tmp_path / "p").mkdir()
+    found = stored(spark, tmp_path / "p", manifests.packaging_documents(packaging).first().document)
+    row = documents.read_packaging(found).first().asDict()
+    assert row["clip_id"] == 7 and row["hashtags"] == ["#a", "b"]
+    assert {name: row[name] for name in values} == values
+    expected = spark.createDataFrame([("p",), ("q",)], "project_id string")
+    assert [tuple(r) for r in documents.missing_documents(found, expected).collect()] == [
+        ("q", "artifact does not exist", None)]
