@@ -54,7 +54,26 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     return fit_toxicity(docs, labels)
 
 
-@query("op2_line_dedup")
+# Repeated runs are diagonals: lines that match one earlier document line after line.
+@query("op2_line_dedup", r"""
+WITH whole AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM whole),
+matches AS (
+    SELECT a.doc_id, a.pos, b.doc_id AS other, a.pos - b.pos AS shift, length(a.line) AS chars
+    FROM lines a JOIN lines b ON a.line = b.line
+         AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
+runs AS (
+    SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY pos) AS run
+    FROM matches),
+gone AS (
+    SELECT DISTINCT doc_id, pos FROM (
+        SELECT *, sum(chars) OVER (PARTITION BY doc_id, other, shift, run) AS held FROM runs)
+    WHERE held >= 40)
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), ''))
+           AS kept_sha256
+FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+""")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select(
@@ -121,7 +140,29 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=2048)
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i AS start, array_to_string(w[i : i + 19], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM split)),
+repeated AS (
+    SELECT doc_id, start FROM (
+        SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, start) AS n FROM windows)
+    WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split),
+marked AS (
+    SELECT w.*, max(r.start) OVER (
+        PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS hit
+    FROM words w LEFT JOIN repeated r ON r.doc_id = w.doc_id AND r.start = w.p),
+kept AS (
+    SELECT doc_id, count(*) AS n_words, count(hit) AS n_removed,
+           string_agg(word, ' ' ORDER BY p) FILTER (WHERE hit IS NULL) AS words
+    FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+""")
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(substring_dedup(table(spark, sf_dir, "documents"), window=20))
 
@@ -135,6 +176,28 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred", "score")
 
 
-@query("op10_jaccard_join")
+@query("op10_jaccard_join", r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^ \t-\r]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM split
+          WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * s.n >= 90 * (x.n + y.n - s.n)),
+reached AS (
+    SELECT a AS doc_id, b FROM links
+    UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.b),
+lowest AS (SELECT doc_id, min(b) AS low FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+""")
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)

@@ -31,11 +31,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def fingerprint(*values: Column) -> list[Column]:
-    """Two independent 64-bit hashes, which together name a value."""
-    return [F.xxhash64(F.lit(17), *values), F.xxhash64(F.lit(91), *values)]
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds ``_key``: a number that names a document and orders as ``doc_id`` does.
 
