@@ -34,6 +34,7 @@ EVENTS_TOP = (
 )
 
 
+# Field names and defaults of captions.
 @dataclass(frozen=True)
 class CaptionOptions:
     max_words: int = 6
@@ -56,6 +57,7 @@ class CaptionOptions:
             )
 
 
+# Field names and defaults of an edit.
 @dataclass(frozen=True)
 class EditOptions:
     canvas_width: int = 1080

@@ -15,6 +15,27 @@ from sparkreel.functions.text import strip
 FRAME_POSITIONS = (0.10, 0.25, 0.40, 0.55, 0.70, 0.85)
 
 
+# What numeric options may be: the smallest value, whether it is allowed itself, the largest value.
+PERMITTED = {
+    "width": (0, False, None), "height": (0, False, None), "font_size": (0, False, None),
+    "text_stroke_width": (0, True, None), "visual_center_x": (0, True, 1),
+    "visual_center_y": (0, True, 1), "visual_scale": (0, False, None),
+    "text_width_fraction": (0, False, 1),
+}
+NOT_BLANK = ("font_name", "background_color", "background_accent_color")
+
+
+def _check(options: object) -> None:
+    for name, value in asdict(options).items():
+        if name in NOT_BLANK and not value.strip():
+            raise ValueError(f"{name} must not be empty")
+        if name in PERMITTED:
+            low, touching, high = PERMITTED[name]
+            if value < low or (value == low and not touching) or (high is not None and value > high):
+                raise ValueError(f"{name} = {value} is out of range")
+
+
+# Field names and defaults of a thumbnail's style and composition.
 @dataclass(frozen=True)
 class ThumbnailStyle:
     width: int = 1080
@@ -31,13 +52,7 @@ class ThumbnailStyle:
     text_position: str = "bottom"
 
     def __post_init__(self) -> None:
-        if min(self.width, self.height, self.font_size) <= 0 or self.text_stroke_width < 0:
-            raise ValueError("thumbnail sizes must be positive")
-        if not all(
-            text.strip()
-            for text in (self.font_name, self.background_color, self.background_accent_color)
-        ):
-            raise ValueError("thumbnail font and background colours must not be empty")
+        _check(self)
 
 
 @dataclass(frozen=True)
@@ -50,10 +65,7 @@ class ThumbnailComposition:
     text_width_fraction: float = 0.82
 
     def __post_init__(self) -> None:
-        if not (0 <= self.visual_center_x <= 1 and 0 <= self.visual_center_y <= 1):
-            raise ValueError("the visual centre must lie in the unit square")
-        if self.visual_scale <= 0 or not 0 < self.text_width_fraction <= 1:
-            raise ValueError("visual_scale and text_width_fraction must be positive")
+        _check(self)
 
 
 def frame_timestamps(
