@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
 from sparkreel.operators.segments import is_natural_start, with_pauses, with_text_flag
+from sparkreel.plans.lineage import cut_lineage
 
 # Rows of the per-source index that locates the tail: one per this many segments.
 INDEX_RUN = 1_024
@@ -265,6 +266,9 @@ def _visitable(options: DiscoveryOptions) -> Column:
     )
 
 
+# Start buckets of a tile, of which one row is looked at to find where a chain must end.
+BUCKETS_PER_TILE = 256
+
 _WINDOW = "struct<start_idx:bigint,start_ms:bigint,end_idx:bigint,end_ms:bigint>"
 
 
@@ -278,15 +282,33 @@ def _duplicate_of_any(kept: Column, window: Column, options: DiscoveryOptions) -
     )
 
 
+def near_starts(starts: DataFrame, buckets: int) -> DataFrame:
+    """Starts in the tiles of a source that hold its first ``buckets`` non-empty buckets (``place``).
+
+    The tiles are found from one row each. Whatever the source's length, no more rows meet by source
+    afterwards than those of the buckets wanted and of one more tile.
+    """
+    tile = F.floor(F.col("place") / BUCKETS_PER_TILE).alias("tile")
+    filled = starts.select("source_id", "place").distinct().groupBy("source_id", tile).agg(
+        F.count("*").alias("filled"))
+    earlier = Window.partitionBy("source_id").orderBy("tile").rowsBetween(
+        Window.unboundedPreceding, -1)
+    near = filled.withColumn("before", F.coalesce(F.sum("filled").over(earlier), F.lit(0))).filter(
+        F.col("before") < buckets).select("source_id", "tile")
+    return starts.select("*", tile).join(near, ["source_id", "tile"], "left_semi").drop("tile")
+
+
 def _chain(ends: DataFrame, options: DiscoveryOptions) -> DataFrame:
     """Greedy walk over the starts of each source: ``source_id, kept ARRAY<window>``.
 
-    Only the first ``start_buckets`` non-empty buckets of a source can matter, a limit that holds
-    before the shuffle as well, so the collected array is bounded whatever the source's length.
+    Only the first ``start_buckets`` non-empty buckets of a source can matter, so the collected
+    array is bounded whatever the source's length.
     """
-    along = Window.partitionBy("source_id").orderBy(F.floor(F.col("start_ms") / options.advance_ms))
+    starts = ends.filter(_visitable(options)).withColumn(
+        "place", F.floor(F.col("start_ms") / options.advance_ms))
+    along = Window.partitionBy("source_id").orderBy("place")
     starts = (
-        ends.filter(_visitable(options))
+        near_starts(cut_lineage(starts), options.start_buckets)
         .withColumn("bucket", F.dense_rank().over(along))
         .filter(F.col("bucket") <= options.start_buckets)
     )
@@ -413,11 +435,13 @@ def discover_candidates(
 
     A chain of natural windows that drops near-duplicates, then one window over a long uncovered
     tail, then the whole transcript where nothing was found. ``origin`` tells which. A source
-    without any text has no row (see ``unusable_transcripts``).
+    without any text has no row (see ``unusable_transcripts``). Starts and chains are computed when
+    this is called and kept in the shared folder.
     """
     index = segment_index(segments)
     empty = F.array().cast(f"array<{_WINDOW}>")
-    chained = (
+    # Both the tails and the result read the chain; it is walked once.
+    chained = cut_lineage(
         source_extents(index)
         .join(_chain(window_ends(segments, options), options), "source_id", "left")
         .withColumn("kept", F.coalesce("kept", empty))

@@ -114,17 +114,27 @@ def test_matches_plain_walk(spark, options, monkeypatch):
     assert mine == {source: found for source, found in expected.items() if found}
 
 
-def test_one_long_source_is_limited_before_the_shuffle(spark):
-    """A single source with many starts: same result, and the plan limits starts early."""
+def test_one_long_source(spark):
     rng = random.Random(5)
     rows = transcript(rng, 6000, 0.0, False)
     frame = spark.createDataFrame([(1, *row) for row in rows], SEGMENTS)
     options = DiscoveryOptions(max_candidates=5)
-    found = discover_candidates(frame, options)
     mine = [(r.start_idx, r.start_ms, r.end_ms, r.end_idx)
-            for r in found.orderBy("candidate_id").collect()]
+            for r in discover_candidates(frame, options).orderBy("candidate_id").collect()]
     assert mine == walk(rows, options)
-    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("most", [5, 40, 200])
+def test_few_starts_of_a_long_source_meet(spark, most):
+    """However many candidates are wanted: the buckets that matter, and at most one tile more."""
+    options = DiscoveryOptions(max_candidates=most)
+    starts = spark.range(60_000).selectExpr("1L AS source_id", "id DIV 3 * 2 AS place", "id")
+    near = discovery.near_starts(starts, options.start_buckets)
+    places = {r.place for r in near.collect()}
+    wanted = set(range(0, 2 * options.start_buckets, 2))
+    assert wanted <= places
+    assert len(places) <= options.start_buckets + discovery.BUCKETS_PER_TILE
+    assert near.count() == 3 * len(places)
 
 
 def test_bounds_of_ten_even_segments(spark):
