@@ -78,6 +78,22 @@ def starts_of(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return start
 
 
+# No pre-token holds a blank behind another mark, so a text may be cut there.
+_SEAM = regex.compile(r"[^\s\x1c-\x1f](?= )")
+
+
+def _cut(text: str) -> list[str]:
+    """A very long text in parts of about a chunk, none of which parts a pre-token."""
+    parts = []
+    while len(text) > 2 * CHUNK_CHARS:
+        seam = _SEAM.search(text, CHUNK_CHARS)
+        if seam is None:
+            break
+        parts.append(text[: seam.end()])
+        text = text[seam.end() :]
+    return [*parts, text]
+
+
 class Bpe:
     """A vocabulary file of the `tokenizers` library (byte-level BPE), as arrays."""
 
@@ -224,9 +240,10 @@ class Bpe:
                     owner += [i, i]
                     special += [-1, self.added[found.group()]]
                     last = found.end()
-            pieces.append(text[last:])
-            owner.append(i)
-            special.append(-1)
+            for piece in _cut(text[last:]):
+                pieces.append(piece)
+                owner.append(i)
+                special.append(-1)
         counts = np.zeros(len(pieces), np.int64)
         parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
         begin = size = 0

@@ -22,6 +22,7 @@ from sparkreel.llm.storage import store, text_of
 
 LETTERS = 512
 BLOCK = 4096
+SPAN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,11 +59,20 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _classes()[code] == LETTER
     keep = letter | np.concatenate([[True], letter[:-1]])
     symbol = np.where(code < 384, code, 384 + code % 128)
-    symbol = np.where(letter, symbol, 0)[keep].astype(np.int64)
-    if not letter.any() or len(symbol) < 3:
+    symbol = np.where(letter, symbol, 0)[keep].astype(np.int32)
+    if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique(
-        (symbol[:-2] * LETTERS + symbol[1:-1]) * LETTERS + symbol[2:], return_counts=True)
+    grams, counts = [], []
+    for begin in range(0, len(symbol) - 2, SPAN):
+        part = symbol[begin : begin + SPAN + 2]
+        found = np.unique((part[:-2] * LETTERS + part[1:-1]) * LETTERS + part[2:],
+                          return_counts=True)
+        grams.append(found[0])
+        counts.append(found[1])
+    if len(grams) == 1:
+        return grams[0].astype(np.int64), counts[0]
+    ids, back = np.unique(np.concatenate(grams), return_inverse=True)
+    return ids.astype(np.int64), np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
 def bundles(texts: list[str], options: LanguageOptions) -> np.ndarray:
