@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreel.llm.storage import keyed, store, text_of
+from sparkreel.llm.storage import keyed, small, store, text_of
 
 BROADCAST_ROWS = 200_000
 
@@ -46,11 +46,6 @@ def shingle_texts(words: Column, size: int) -> Column:
         lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])))
 
 
-def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if it has few rows; otherwise joined by shuffle."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def sketches(items: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     """``item, hash``: the smallest hashes of every item, as many as its size partition needs.
 
@@ -77,13 +72,13 @@ def contaminated(
     items = store(
         benchmark.select(F.col("item_id").cast("long"), words_of(text_of("text")).alias("words"))
         .distinct().withColumn("item", F.xxhash64("item_id", "words")))
-    probes = _small(store(sketches(items, size, threshold)))
+    probes = small(store(sketches(items, size, threshold)), BROADCAST_ROWS)
     # Words are computed once per row, then read by the lambdas.
     split = docs.select("_key", words_of(F.col("text")).alias("words"))
     hits = (
         split.select("_key", F.explode(shingle_hashes(F.col("words"), size)).alias("hash"))
         .join(probes, "hash").select("_key").distinct())
-    hits = _small(store(hits), 5 * BROADCAST_ROWS)
+    hits = small(store(hits), 5 * BROADCAST_ROWS)
 
     pieces = store(items.select(
         "item", "item_id", F.explode(shingle_texts(F.col("words"), size)).alias("shingle")))
@@ -93,7 +88,7 @@ def contaminated(
     found = (
         suspects.select("_key", "doc_id",
                         F.explode(shingle_texts(F.col("words"), size)).alias("shingle"))
-        .join(_small(pieces, BROADCAST_ROWS // 4), "shingle")
+        .join(small(pieces, BROADCAST_ROWS // 4), "shingle")
         .dropDuplicates(["_key", "item", "shingle"])
         .groupBy("_key", "doc_id", "item", "item_id").agg(F.count("*").alias("n_shared")))
     enough = F.col("n_shared") * threshold.denominator >= F.col("n_item") * threshold.numerator
@@ -123,4 +118,4 @@ def remove_contaminated(
     docs = keyed(docs)
     read = docs.select("_key", "doc_id", text_of("text").alias("text"))
     found = store(contaminated(read, benchmark, size, threshold).select("_key").distinct())
-    return docs.join(_small(found, 5 * BROADCAST_ROWS), "_key", "left_anti").select(*own)
+    return docs.join(small(found, 5 * BROADCAST_ROWS), "_key", "left_anti").select(*own)

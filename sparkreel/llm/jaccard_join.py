@@ -17,17 +17,19 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.llm.components import components
-from sparkreel.llm.storage import store, text_of
+from sparkreel.llm.storage import small, store, text_of
 from sparkreel.llm.words import scramble, shingles, words_of
 
 BITS = 1024
+BROADCAST_IDS = 500_000
 U = np.uint64
 
 
@@ -98,20 +100,31 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def _names(members: np.ndarray) -> tuple[int, int, int]:
+    """Size and 128-bit name of a set."""
+    sums = [np.add.reduce(scramble(members, turn), keepdims=True) for turn in (3, 4)]
+    return len(members), int(_signed(sums[0])[0]), int(_signed(sums[1])[0])
+
+
 def _sizes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, name_a, name_b``: size and 128-bit name of each row's set."""
+    """``doc_id, n_shingles, name_a, name_b, bits``: size, name and bitmap of each row's set."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = np.zeros((3, len(batch)), np.int64)
+            names = np.zeros((len(batch), 3), np.int64)
+            bitmaps = np.zeros((len(batch), BITS // 8), np.uint8)
             for i, members in _sets(batch, size):
-                out[0, i] = len(members)
-                out[1, i] = _signed(np.add.reduce(scramble(members, 3), keepdims=True))[0]
-                out[2, i] = _signed(np.add.reduce(scramble(members, 4), keepdims=True))[0]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": out[0],
-                                "name_a": out[1], "name_b": out[2]})
+                names[i] = _names(members)
+                bits = np.zeros(BITS, np.uint8)
+                bits[(members % U(BITS)).astype(np.int64)] = 1
+                bitmaps[i] = np.packbits(bits)
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": names[:, 0],
+                "name_a": names[:, 1], "name_b": names[:, 2],
+                "bits": list(bitmaps.view(np.int64))})
 
-    return docs.mapInPandas(name, "doc_id long, n_shingles long, name_a long, name_b long")
+    return docs.mapInPandas(
+        name, "doc_id long, n_shingles long, name_a long, name_b long, bits array<long>")
 
 
 def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -170,95 +183,73 @@ def _met(keys: DataFrame) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``id, bits, members``: bitmap and sorted hashes of the wanted documents."""
+    """``id, members``: sorted hashes of the wanted documents."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["id", "n", "name_a", "name_b", "members"]
         for batch in batches:
             rows = []
             for i, members in _sets(batch, size):
-                bits = np.zeros(BITS, np.uint8)
-                bits[(members % U(BITS)).astype(np.int64)] = 1
-                rows.append((batch["doc_id"].iloc[i], np.packbits(bits).tobytes(),
-                             members.tobytes()))
+                rows.append((batch["doc_id"].iloc[i], *_names(members), members.tobytes()))
                 if len(rows) == 500:
-                    yield pd.DataFrame(rows, columns=["id", "bits", "members"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            yield pd.DataFrame(rows, columns=["id", "bits", "members"])
+            yield pd.DataFrame(rows, columns=columns)
 
+    # Of rows that repeat an id the one with the first name counts, here as in `_info`.
     return (
-        docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
-        .mapInPandas(fetch, "id long, bits binary, members binary")
-        .groupBy("id").agg(F.min(F.struct("members", "bits")).alias("one"))
-        .select("id", "one.bits", "one.members")
+        docs.join(small(wanted, BROADCAST_IDS), docs["doc_id"] == wanted["id"], "left_semi")
+        .mapInPandas(fetch, "id long, n long, name_a long, name_b long, members binary")
+        .groupBy("id").agg(F.min(F.struct("n", "name_a", "name_b", "members")).alias("one"))
+        .select("id", "one.members")
     )
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> int:
-    """No more members are common than this: members sharing no bit with the other set are not.
+def _info(sizes: DataFrame) -> DataFrame:
+    """``id, n, bits`` of every document with n-grams."""
+    return (
+        sizes.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+        .agg(F.min(F.struct("n_shingles", "name_a", "name_b", "bits")).alias("one"))
+        .select("id", F.col("one.n_shingles").alias("n"), "one.bits"))
+
+
+def may_link(
+    bits_a: Column, bits_b: Column, size_a: Column, size_b: Column, num: int, den: int
+) -> Column:
+    """False only for pairs that cannot be linked.
 
-    A bit set in only one bitmap stands for at least one member that the other set lacks.
+    Linked sets differ in at most ``(den - num) / (den + num)`` of their summed sizes, and every bit
+    set in one bitmap only stands for at least one member that the other set lacks; so bit counts
+    bound the overlap from above.
     """
-    only_a = int(np.bitwise_count(a & ~b).sum())
-    only_b = int(np.bitwise_count(b & ~a).sum())
-    return min(size_a - only_a, size_b - only_b)
+    differ = reduce(Column.__add__, [
+        F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(BITS // 64)])
+    return (
+        (differ * (den + num) <= (size_a + size_b) * (den - num))
+        & (size_a * den >= size_b * num) & (size_b * den >= size_a * num))
 
 
-def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked."""
+def _linked(
+    pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int
+) -> DataFrame:
+    """The pairs ``a, b`` that are linked, by intersecting the sorted arrays."""
 
     @F.pandas_udf("boolean")
-    def check(bits_a: pd.Series, bits_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    def check(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
-        for x, y, p, q in zip(bits_a, bits_b, a, b, strict=True):
+        for p, q in zip(a, b, strict=True):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            most = overlap_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8),
-                                 len(p), len(q))
-            if den * most < num * (len(p) + len(q) - most):
-                out.append(False)
-                continue
             common = len(np.intersect1d(p, q, assume_unique=True))
             out.append(den * common >= num * (len(p) + len(q) - common))
         return pd.Series(out, dtype=bool)
 
-    left = contents.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"),
-                           F.col("members").alias("members_a"))
-    right = contents.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"),
-                            F.col("members").alias("members_b"))
-    size_a, size_b = F.length("members_a"), F.length("members_b")
+    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    contents = store(_contents(docs, wanted, size))
+    left = contents.select(F.col("id").alias("a"), F.col("members").alias("members_a"))
+    right = contents.select(F.col("id").alias("b"), F.col("members").alias("members_b"))
     return (
-        pairs.join(left, "a").join(right, "b")
-        .filter((size_a * den >= size_b * num) & (size_b * den >= size_a * num))
-        .filter(check("bits_a", "bits_b", "members_a", "members_b"))
-        .select("a", "b")
-    )
-
-
-def _bounded(apart: DataFrame, contents: DataFrame) -> DataFrame:
-    """Adds to the members of tiles their set sizes and how many n-grams any other member has too.
-
-    An n-gram that no other of these documents has is in no intersection. Edited copies of one
-    text mostly differ in such n-grams, so their pairs are told apart before they are formed.
-    """
-    ids = apart.select(F.col("v").alias("id")).distinct()
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for begin in range(0, len(batch), 500):
-                part = batch.iloc[begin : begin + 500]
-                sets = [np.frombuffer(m, np.int64) for m in part["members"]]
-                yield pd.DataFrame({
-                    "id": np.repeat(part["id"].to_numpy(), [len(x) for x in sets]),
-                    "gram": np.concatenate([*sets, np.zeros(0, np.int64)])})
-
-    own = contents.join(ids, "id", "left_semi").select("id", "members")
-    alone = (
-        own.mapInPandas(spread, "id long, gram long")
-        .groupBy("gram").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        .filter("n = 1").groupBy("id").agg(F.count("*").alias("alone")))
-    sizes = own.select("id", (F.length("members") / 8).cast("long").alias("n")).join(
-        alone, "id", "left").select(
-        F.col("id").alias("v"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    return store(apart.join(store(sizes), "v"))
+        pairs.join(left, "a").join(right, "b").filter(check("members_a", "members_b"))
+        .select("a", "b"))
 
 
 def jaccard_components(
@@ -299,11 +290,13 @@ def jaccard_components(
     first = of_original(of_original(first, "a"), "b").filter("a <> b")
     first = store(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                   .distinct())
-    wanted = met.select("id").distinct()
-    wanted = wanted.join(copies, "id", "left_anti")
-    contents = store(_contents(docs, wanted, size))
+    info = store(_info(sizes))
+    left = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    right = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    possible = may_link(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), num, den)
+    likely = store(first.join(left, "a").join(right, "b").filter(possible).select("a", "b"))
     same = copies.select(F.col("id").alias("a"), F.col("low").alias("b"))
-    links = store(_linked(first, contents, num, den).unionAll(same))
+    links = store(_linked(likely, docs, size, num, den).unionAll(same))
     found = components(links)
 
     # Members of a tile that are still apart: compared across components, never within one.
@@ -317,20 +310,16 @@ def jaccard_components(
         .agg(F.min("component").alias("x"), F.max("component").alias("y"))
         .filter("x <> y").select("key", F.xxhash64("key").alias("mark")))
     apart = store(members.withColumn("mark", F.xxhash64("key")).join(apart, ["key", "mark"]))
-    both = _bounded(apart, contents)
+    both = store(apart.join(info.withColumnRenamed("id", "v"), "v"))
     left = both.select("key", F.col("v").alias("a"), F.col("component").alias("ca"),
-                       F.col("n").alias("na"), F.col("shared").alias("sa"))
+                       F.col("n").alias("na"), F.col("bits").alias("x"))
     right = both.select("key", F.col("v").alias("b"), F.col("component").alias("cb"),
-                        F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    # The intersection is at most what each of the two shares with anyone.
-    possible = (F.least("sa", "sb") * (den + num) >= (F.col("na") + F.col("nb")) * num) & (
-        F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    rest = (
+                        F.col("n").alias("nb"), F.col("bits").alias("y"))
+    rest = store(
         left.join(right, "key").filter("a < b AND ca <> cb").filter(possible)
         .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = store(_linked(rest, contents, num, den))
-    if not more.isEmpty():
-        found = components(links.unionAll(more))
+    if not rest.isEmpty():
+        found = components(links.unionAll(store(_linked(rest, docs, size, num, den))))
     found = found.groupBy("id").agg(F.min("component").alias("component_id"))
     return (
         sizes.select("doc_id", "n_shingles")

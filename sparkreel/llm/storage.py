@@ -50,3 +50,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return named.join(
         order, named["doc_id"].eqNullSafe(order["_id"]) & (named["_hash"] == order["_of"])
     ).drop("_id", "_of", "_hash")
+
+
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has ``most`` rows at the most; else as it is."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
