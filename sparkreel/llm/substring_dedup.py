@@ -130,7 +130,15 @@ def repeated_windows(docs: DataFrame, window: int = 20, m: int = 6) -> DataFrame
     """
     if not 0 < m <= window or window - m + 1 >= SHIFT:
         raise ValueError("m must lie in 1..window, and window - m below 63")
-    places = store(runs(_minimisers(docs, window, m), ["minimiser"], ["doc", "place"], first=True))
+    # Counts are pre-aggregated, and the join splits frequent minimisers (`mark` follows from the
+    # key and gives both sides a shuffle of their own): one may stand in a third of all places.
+    every = _minimisers(docs, window, m)
+    mark = F.xxhash64("minimiser").alias("mark")
+    often = (
+        every.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1")
+        .select("minimiser", mark))
+    places = store(
+        every.select("*", mark).join(often, ["minimiser", "mark"], "left_semi").drop("mark"))
     strings = (
         _packed(docs, places, window).groupBy("packed")
         .agg(F.min(F.struct("doc", "place")).alias("at"), F.first("minimiser").alias("minimiser"))
