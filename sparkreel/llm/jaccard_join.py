@@ -252,6 +252,44 @@ def _linked(
         .select("a", "b"))
 
 
+def _apart(members: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
+    """``key, v, component, n, bits`` of tiles whose members are in several components.
+
+    Two members alone have been compared already.
+    """
+    placed = store(
+        members.join(found.select(F.col("id").alias("v"), "component").distinct(), "v", "left")
+        .withColumn("component", F.coalesce("component", "v")))
+    apart = (
+        placed.groupBy("key")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
+        .filter("x <> y AND m > 2").select("key", F.xxhash64("key").alias("mark")))
+    apart = store(
+        placed.withColumn("mark", F.xxhash64("key")).join(apart, ["key", "mark"], "left_semi"))
+    return store(apart.drop("mark").join(info.withColumnRenamed("id", "v"), "v"))
+
+
+def _across(
+    both: DataFrame, picked: bool, num: int, den: int
+) -> DataFrame:
+    """Pairs of a tile's members in different components that may be linked.
+
+    With ``picked`` those with one member of each tile only, chosen by hash.
+    """
+    names = ["v", "component", "n", "bits"]
+    left = both.select("key", *[F.col(x).alias("a_" + x) for x in names])
+    right = both
+    if picked:
+        one = F.max(F.struct(F.xxhash64("v", "key").alias("h"), *names)).alias("one")
+        right = both.groupBy("key").agg(one).select("key", "one.*")
+    right = right.select("key", *[F.col(x).alias("b_" + x) for x in names])
+    possible = may_link(
+        F.col("a_bits"), F.col("b_bits"), F.col("a_n"), F.col("b_n"), num, den)
+    order = "a_v <> b_v" if picked else "a_v < b_v"
+    return left.join(right, "key").filter(f"{order} AND a_component <> b_component").filter(
+        possible).select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b"))
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
 ) -> DataFrame:
@@ -299,27 +337,18 @@ def jaccard_components(
     links = store(_linked(likely, docs, size, num, den).unionAll(same))
     found = components(links)
 
-    # Members of a tile that are still apart: compared across components, never within one.
-    members = (
-        of_original(met.select("key", "id").withColumnRenamed("id", "v"), "v").distinct()
-        .join(found.select(F.col("id").alias("v"), "component"), "v", "left")
-        .withColumn("component", F.coalesce("component", "v")))
-    members = store(members)
-    apart = (
-        members.groupBy("key")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x <> y").select("key", F.xxhash64("key").alias("mark")))
-    apart = store(members.withColumn("mark", F.xxhash64("key")).join(apart, ["key", "mark"]))
-    both = store(apart.join(info.withColumnRenamed("id", "v"), "v"))
-    left = both.select("key", F.col("v").alias("a"), F.col("component").alias("ca"),
-                       F.col("n").alias("na"), F.col("bits").alias("x"))
-    right = both.select("key", F.col("v").alias("b"), F.col("component").alias("cb"),
-                        F.col("n").alias("nb"), F.col("bits").alias("y"))
-    rest = store(
-        left.join(right, "key").filter("a < b AND ca <> cb").filter(possible)
-        .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(links.unionAll(store(_linked(rest, docs, size, num, den))))
+    # Members of a tile that are still apart: first against a member picked at random in each tile,
+    # which connects most of what can be, then across the components that are left, never within.
+    members = store(of_original(
+        met.select("key", "id").withColumnRenamed("id", "v"), "v").distinct())
+    tested = first
+    for picked in (True, False):
+        pairs = _across(_apart(members, found, info), picked, num, den)
+        rest = store(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = store(links.unionAll(_linked(rest, docs, size, num, den)))
+            found = components(links)
+            tested = tested.unionAll(rest)
     found = found.groupBy("id").agg(F.min("component").alias("component_id"))
     return (
         sizes.select("doc_id", "n_shingles")
