@@ -3,7 +3,8 @@
 A document is one file, or one line of a file (``per_line=True``). Each comes with ``project_id``:
 the directory ``project_id=…`` it lies in, else the identity of the source it names, else its path. Fields are coerced one by
 one, so that a number written as text still counts; a document that cannot be read yields no rows
-here and one row in ``corrupt_documents``.
+here and one row in ``corrupt_documents``. A document too large for one parsed value is read in parts:
+what stands beside the items as one value, every item as a value of its own.
 """
 
 from __future__ import annotations
@@ -40,10 +41,24 @@ ITEMS = {
 }
 INTEGERS = ("id", "candidate_id", "clip_id")
 TEXTS = ("text", "transcript_text", "language", "source_type", "location", "source")
+BESIDE_ITEMS = (
+    "source", "duration", "language", "total_candidates", "source_type", "location", "clip_id",
+    *TEXT_FIELDS, "hashtags",
+)
+# No shorter text fills a parsed value or holds a string beyond the parser's limit.
+LARGE_BYTES = 1 << 24
+# JSON as strict as that of whole values, strings of any length.
+IN_PARTS = {
+    "columnNameOfCorruptRecord": "_broken", "maxStringLen": str(2**31 - 1),
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+}
 
 
 def read_documents(spark: SparkSession, path: str, *, per_line: bool = False) -> DataFrame:
-    """``project_id, raw, document``; ``document`` is NULL where the JSON is broken."""
+    """``project_id, raw, document, in_parts``; ``document`` is NULL where the JSON is broken.
+
+    With ``in_parts`` the whole is too large for one value, and ``document`` lacks the items.
+    """
     last_key_wins(spark)
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not per_line)
     document = F.col("document")
@@ -61,10 +76,26 @@ def read_documents(spark: SparkSession, path: str, *, per_line: bool = False) ->
             F.col("value").alias("raw"),
             F.try_parse_json("value").alias("document"),
         )
-        .select(project.alias("project_id"), "raw", "document")
+        .withColumn("in_parts", F.col("document").isNull() & (F.octet_length("raw") >= LARGE_BYTES))
+        .withColumn("document", F.when(F.col("in_parts"), _beside_items(F.col("raw")))
+                    .otherwise(F.col("document")))
+        .select(project.alias("project_id"), "raw", "document", "in_parts")
     )
 
 
+def _beside_items(raw: Column) -> Column:
+    """A document without its items, NULL where the JSON is broken."""
+    schema = ", ".join(f"{name} variant" for name in BESIDE_ITEMS) + ", _broken string"
+
+    def put_together(parts: Column) -> Column:
+        fields = F.array(*[
+            F.struct(F.lit(name).alias("key"), parts[name].alias("value")) for name in BESIDE_ITEMS])
+        present = F.filter(fields, lambda f: f["value"].isNotNull())
+        return F.when(parts["_broken"].isNull(), F.to_variant_object(F.map_from_entries(present)))
+
+    return _once(F.from_json(raw, schema, IN_PARTS), put_together)
+
+
 def _readable(value: Column, name: str) -> Column:
     if name in INTEGERS:
         return field(value, name, "bigint").isNotNull()
@@ -73,10 +104,17 @@ def _readable(value: Column, name: str) -> Column:
     return field(value, name, "double").isNotNull()
 
 
+def _parts(kind: str) -> Column:
+    """The items of a document that is read in parts, each a value of its own."""
+    return F.from_json(
+        F.col("raw"), f"{ITEMS[kind][0]} array<variant>, _broken string", IN_PARTS)
+
+
 def _items(document: Column, kind: str) -> Column:
-    return F.coalesce(
-        field(document, ITEMS[kind][0], "array<variant>"), F.array().cast("array<variant>")
-    )
+    name = ITEMS[kind][0]
+    found = F.when(F.col("in_parts"), _parts(kind)[name]).otherwise(
+        field(document, name, "array<variant>"))
+    return F.coalesce(found, F.array().cast("array<variant>"))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -107,7 +145,9 @@ def _error(document: Column, kind: str) -> Column:
             absent = field(document, f"source.{name}", "variant").isNull()
             error = error.when(absent, F.lit(f"missing source.{name}"))
     if kind in ITEMS:
-        error = error.otherwise(
+        # Items that are no list, or one that is itself too large for a value.
+        unread = F.col("in_parts") & _parts(kind)["_broken"].isNotNull()
+        error = error.when(unread, F.lit("document too large")).otherwise(
             _once(_items(document, kind), lambda items: _item_error(items, kind))
         )
     return error

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 
@@ -50,6 +51,25 @@ def test_missing_parts_default_or_go_to_quarantine(spark, tmp_path):
         "bad evaluations.candidate_id", "invalid JSON", "missing source"]
 
 
+def test_documents_beyond_one_parsed_value(spark, tmp_path):
+    words = ["é" + "long " * 6_000_000, "next " * 6_000_000]  # 150 MB in five segments
+    segments = [{"id": i, "start": i, "end": i + 1, "text": words[i % 2]} for i in range(5)]
+    segments[4]["text"] = None
+    whole = {"segments": segments + segments[:1], "source": SOURCE, "language": None, "duration": "5"}
+    text = json.dumps(whole, ensure_ascii=False)
+    assert len(text) > 128 << 20
+    bad = text.replace('"start": 3', '"start": "x"')
+    docs = stored(spark, tmp_path, text, text[:-1], bad)
+    rows = documents.read_segments(docs).select(
+        "project_id", "idx", "id", "start_ms", "end_ms", F.sha2("text", 256)).orderBy("idx").collect()
+    sha = [hashlib.sha256(w.encode()).hexdigest() for w in (*words, "None")]
+    assert [tuple(r) for r in rows] == [
+        ("p", i, s["id"], s["start"] * 1000, s["end"] * 1000, sha[k])
+        for i, (s, k) in enumerate(zip(whole["segments"], (0, 1, 0, 1, 2, 0)))]
+    errors = documents.corrupt_documents(docs, "transcript").select("error").collect()
+    assert sorted(r.error for r in errors) == ["bad segments.start", "invalid JSON"]
+
+
 def test_packaging_round_trip(spark, tmp_path):
     whole = {"clip_id": 3, "title": "t", "hook": "h", "caption": "c", "description": "d",
              "thumbnail_text": "x", "content_angle": "a", "hashtags": ["#a", "#ü"]}
