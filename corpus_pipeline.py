@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreel.llm.decontamination import remove_contaminated
-from sparkreel.llm.jaccard_join import jaccard_components
+from sparkreel.llm.jaccard_join import without_near_copies
 from sparkreel.llm.line_dedup import line_dedup
 from sparkreel.llm.packing import pack_documents
 from sparkreel.llm.queries import VOCABULARY, toxicity_model
@@ -39,9 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles the first stays."""
-    groups = jaccard_components(docs.select("doc_id", "text"), size=5, num=80, den=100)
-    later = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs, size=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.llm.components import components
-from sparkreel.llm.storage import small, store, text_of
+from sparkreel.llm.storage import keyed, small, store, text_of
 from sparkreel.llm.words import scramble, shingles, words_of
 
 BITS = 1024
@@ -107,7 +107,7 @@ def _names(members: np.ndarray) -> tuple[int, int, int]:
 
 
 def _sizes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, name_a, name_b, bits``: size, name and bitmap of each row's set."""
+    """``_key, doc_id, n_shingles, name_a, name_b, bits``: size, name, bitmap of each row's set."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,23 +119,24 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
                 bits[(members % U(BITS)).astype(np.int64)] = 1
                 bitmaps[i] = np.packbits(bits)
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": names[:, 0],
+                "_key": batch["_key"], "doc_id": batch["doc_id"].astype("Int64"),
+                "n_shingles": names[:, 0],
                 "name_a": names[:, 1], "name_b": names[:, 2],
                 "bits": list(bitmaps.view(np.int64))})
 
     return docs.mapInPandas(
-        name, "doc_id long, n_shingles long, name_a long, name_b long, bits array<long>")
+        name, "_key long, doc_id long, n_shingles long, name_a long, name_b long, bits array<long>")
 
 
 def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, keys, held = [], [], 0
-            doc_ids = batch["doc_id"].to_numpy(np.int64)
+            own = batch["_key"].to_numpy(np.int64)
             for i, members in _sets(batch, size):
                 found = tile_keys(members, num, den)
                 keys.append(found)
-                ids.append(np.full(len(found), doc_ids[i]))
+                ids.append(np.full(len(found), own[i]))
                 held += len(found)
                 if held > 1 << 18:
                     yield pd.DataFrame({"key": _signed(np.concatenate(keys)),
@@ -145,7 +146,7 @@ def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 yield pd.DataFrame({"key": _signed(np.concatenate(keys)),
                                     "id": np.concatenate(ids)})
 
-    return docs.filter("doc_id IS NOT NULL").mapInPandas(emit, "key long, id long")
+    return docs.select("_key", "text").mapInPandas(emit, "key long, id long")
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -190,15 +191,16 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             rows = []
             for i, members in _sets(batch, size):
-                rows.append((batch["doc_id"].iloc[i], *_names(members), members.tobytes()))
+                rows.append((batch["_key"].iloc[i], *_names(members), members.tobytes()))
                 if len(rows) == 500:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    # Of rows that repeat an id the one with the first name counts, here as in `_info`.
+    # Rows that share a key hold the same text; one of them is enough, here as in `_info`.
     return (
-        docs.join(small(wanted, BROADCAST_IDS), docs["doc_id"] == wanted["id"], "left_semi")
+        docs.select("_key", "text")
+        .join(small(wanted, BROADCAST_IDS), F.col("_key") == wanted["id"], "left_semi")
         .mapInPandas(fetch, "id long, n long, name_a long, name_b long, members binary")
         .groupBy("id").agg(F.min(F.struct("n", "name_a", "name_b", "members")).alias("one"))
         .select("id", "one.members")
@@ -208,7 +210,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _info(sizes: DataFrame) -> DataFrame:
     """``id, n, bits`` of every document with n-grams."""
     return (
-        sizes.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+        sizes.filter("n_shingles > 0").groupBy(F.col("_key").alias("id"))
         .agg(F.min(F.struct("n_shingles", "name_a", "name_b", "bits")).alias("one"))
         .select("id", F.col("one.n_shingles").alias("n"), "one.bits"))
 
@@ -290,30 +292,22 @@ def _across(
         possible).select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b"))
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
-) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles, component_id``.
+def _linked_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``_key, doc_id, n_shingles, component`` of each row of ``docs`` (``_key, doc_id, text``).
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct
-    n-grams of ``size`` words, of fewer words the whole sequence. Two documents are linked when
-    ``den * intersection >= num * union``; ``component_id`` is the smallest doc_id that links
-    reach. Null and empty texts have no n-grams and no links. Rows without a doc_id get no
-    component beyond null. Rows that repeat a doc_id count as one document and share its component; if
-    their texts differ, near copies are looked for with one of them (the first by its set) only. Empty tables give no rows.
+    ``component`` is the smallest key that links reach.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     sizes = store(_sizes(docs, size))
-    named = sizes.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    named = sizes.filter("n_shingles > 0")
     name = ["n_shingles", "name_a", "name_b"]
     mark = F.xxhash64(*name)
     classes = (
-        named.groupBy(*name).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+        named.groupBy(*name).agg(F.min("_key").alias("low"), F.count("*").alias("n"))
         .filter("n > 1").drop("n").withColumn("mark", mark))
     # Rows with equal sets are copies of their smallest; only that one is compared.
     copies = store(
         named.withColumn("mark", mark).join(classes, [*name, "mark"])
-        .filter("doc_id <> low").select(F.col("doc_id").alias("id"), "low").distinct())
+        .filter("_key <> low").select(F.col("_key").alias("id"), "low").distinct())
     met = store(_met(_keys(docs, size, num, den)))
     original = copies.groupBy("id").agg(F.min("low").alias("of")).withColumn(
         "mark", F.xxhash64("id"))
@@ -349,8 +343,51 @@ def jaccard_components(
             links = store(links.unionAll(_linked(rest, docs, size, num, den)))
             found = components(links)
             tested = tested.unionAll(rest)
-    found = found.groupBy("id").agg(F.min("component").alias("component_id"))
+    found = found.groupBy("id").agg(F.min("component").alias("component"))
     return (
-        sizes.select("doc_id", "n_shingles")
-        .join(found, F.col("doc_id") == F.col("id"), "left").drop("id")
-        .withColumn("component_id", F.coalesce("component_id", "doc_id")))
+        sizes.select("_key", "doc_id", "n_shingles")
+        .join(found, F.col("_key") == F.col("id"), "left").drop("id")
+        .withColumn("component", F.coalesce("component", "_key")))
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
+) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles, component_id``.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct
+    n-grams of ``size`` words, of fewer words the whole sequence. Two documents are linked when
+    ``den * intersection >= num * union``; ``component_id`` is the smallest doc_id that links
+    reach, null where they reach none. Null and empty texts have no n-grams and no links. Rows
+    that repeat an id and a text are one document; rows of one id with other texts, and rows
+    without an id, are documents of their own. Empty tables give no rows.
+    """
+    docs = keyed(docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")))
+    found = _linked_rows(docs, size, num, den)
+    if docs.filter("NOT _key <=> doc_id").isEmpty():
+        return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    found = store(found)
+    lowest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(lowest, "component").select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(
+    docs: DataFrame, size: int = 3, num: int = 90, den: int = 100
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component.
+
+    Rows that repeat an id and a text are copies as well; texts without words are not.
+    """
+    own = docs.columns
+    docs = keyed(docs)
+    read = docs.select("_key", F.col("doc_id").cast("long"), text_of("text").alias("text"))
+    found = store(_linked_rows(read, size, num, den).drop("doc_id"))
+    later = found.filter("_key <> component").select("_key").distinct()
+    kept = docs.join(later, "_key", "left_anti")
+    again = store(
+        found.filter("n_shingles > 0 AND _key = component").groupBy("_key")
+        .agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
+    if not again.isEmpty():
+        kept = kept.join(again, "_key", "left_anti").unionByName(
+            kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*own)

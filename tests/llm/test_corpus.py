@@ -356,6 +356,30 @@ def test_links_of_odd_rows(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_links_of_shared_and_missing_ids(spark):
+    rng = random.Random(11)
+    docs = [(rng.choice([None, *range(12)]), text) for _, text in random_docs(11, 60)] + ODD
+    docs += docs[:5]
+    texts = dict(enumerate(sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))))
+    sets = brute.jaccard([(i, text) for i, (_, text) in texts.items()])
+    members = {}
+    for i, (_, component) in sets.items():
+        members.setdefault(component, []).append(i)
+    want, stay = Counter(), 0
+    for i, row in texts.items():
+        ids = [texts[j][0] for j in members[sets[i][1]] if texts[j][0] is not None]
+        want[(row[0], sets[i][0], min(ids, default=None))] += docs.count(row)
+        stay += docs.count(row) if not sets[i][0] else sets[i][1] == i
+    found = jaccard_join.jaccard_components(frame(spark, docs)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+    left = jaccard_join.without_near_copies(frame(spark, docs)).collect()
+    assert len(left) == stay < len(docs) - 5
+    components_left = Counter(
+        sets[next(i for i, d in texts.items() if d == (r.doc_id, r.text))][1]
+        for r in left if (r.text or "").split())
+    assert set(components_left.values()) == {1}
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 80), (5, 5)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
