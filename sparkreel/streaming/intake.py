@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions
@@ -32,7 +34,11 @@ def newest_transcripts(segments: DataFrame) -> DataFrame:
     seen = F.coalesce(F.collect_list(F.struct("low", "high")).over(newer), F.array())
     current = spans.withColumn("seen", seen).filter(
         ~F.exists("seen", lambda s: (s["low"] <= F.col("high")) & (s["high"] >= F.col("low"))))
-    return segments.join(current.select(*FILE), FILE, "left_semi")
+    # Rows without a source are kept as well, to be set aside with a reason.
+    current = current.select(*[F.col(name).alias(f"current_{name}") for name in FILE])
+    same = reduce(
+        Column.__and__, [F.col(name).eqNullSafe(F.col(f"current_{name}")) for name in FILE])
+    return segments.join(current, same, "left_semi")
 
 
 def unusable_sources(segments: DataFrame) -> DataFrame:

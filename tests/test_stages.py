@@ -262,6 +262,23 @@ def test_intake_of_versions_parts_and_gaps(spark, tmp_path):
     assert {(r.source_id, r.reason) for r in aside} == {(3, "positions are not 0 to n-1")}
 
 
+def test_rows_without_a_source_reach_the_quarantine(spark, tmp_path):
+    rows = [(s, i, i * 10_000, i * 10_000 + 9_000, "Some text.") for s in (1, None) for i in range(3)]
+    spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def scorer(candidates):
+        return candidates.selectExpr(
+            "source_id", "1L eval_pos", "candidate_id", "1D score", "'' reason",
+            "CAST(NULL AS string) suggested_title")
+
+    intake.run_incremental(spark, f"{tmp_path}/in", f"{tmp_path}/out", scorer)
+    aside = spark.read.parquet(f"{tmp_path}/out/quarantine").collect()
+    assert sorted((r.source_id, r.idx, r.reason) for r in aside) == [
+        (None, i, "positions are not 0 to n-1") for i in range(3)]
+    kept = stage_tables.read_stage(spark, f"{tmp_path}/out", "transcript")
+    assert {r.source_id for r in kept.collect()} == {1}
+
+
 def test_wanted_rows_come_from_their_batches_only(spark, tmp_path):
     for batch, source in enumerate((1, 2, 3)):
         rows = spark.createDataFrame([(source, batch)], "source_id bigint, v bigint")
