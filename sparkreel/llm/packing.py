@@ -5,11 +5,14 @@ each group packs its own by best-fit decreasing and compares the number of bins
 from dual feasible functions. A group whose count meets its bound is certified, and only its last
 gap is worth another try; any other group has gaps all over. The bins with gaps are given back,
 the groups exchange what is in them (they are dealt anew into fewer groups), and best-fit
-decreasing runs again, until one group is left or the bound of what is left is met.
+decreasing runs again, until one group is left or the bound of what is left is met. Groups double
+where less than half was settled, up to 2^20 pieces, which a task can hold; groups of that size
+exchange as long as that saves bins.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,7 +27,7 @@ from sparkreel.llm.storage import store, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, kept boolean"
-MOST_ROUNDS = 6
+MOST_PER_GROUP = 1 << 20
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -61,9 +64,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0)
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: the largest value over families of dual feasible functions."""
-    if not len(lengths):
+    return bound_of_counts(*np.unique(lengths.astype(np.int64), return_counts=True), capacity)
+
+
+def bound_of_counts(size: np.ndarray, count: np.ndarray, capacity: int) -> int:
+    """The same of distinct lengths, ascending, and how often each occurs."""
+    if not len(size):
         return 0
-    size, count = np.unique(lengths.astype(np.int64), return_counts=True)
     best = math.ceil(int((size * count).sum()) / capacity)
     # Pieces over capacity - t fill a bin, those under t count nothing.
     total = np.concatenate([[0], np.cumsum(size * count)])
@@ -117,7 +124,7 @@ def _packer(capacity: int, round_no: int, last: bool) -> Callable[..., pd.DataFr
             # Certified: only the emptiest bin, the rounding of the bound, is given back.
             full = np.ones(len(space), bool)
             full[np.argmax(space)] = space.max() == 0
-        rows["sequence_id"] = (round_no << 58) + (int(key[0]) << 24) + bins
+        rows["sequence_id"] = (round_no << 52) + (int(key[0]) << 24) + bins
         rows["offset"] = offsets
         rows["kept"] = True if last else full[bins]
         return rows.drop(columns="group")
@@ -129,15 +136,15 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 4096) -> Data
     """Adds ``sequence_id`` and ``offset`` to pieces (``doc_id, piece, start, length, ids_crc32``).
 
     Every row is placed once, repeated rows and null ids included. Rows are dealt by a random
-    number, so no key can make a group large; a group holds about ``per_group`` rows, whatever
-    the size of the table. Empty tables give no rows.
+    number, so no key can make a group large; a group holds about ``per_group`` rows, in later
+    rounds up to ``MOST_PER_GROUP``, whatever the size of the table. Empty tables give no rows.
     """
     waiting = pieces
     final: list[DataFrame] = []
-    number = waiting.count()
-    for round_no in range(MOST_ROUNDS):
+    number, bins = waiting.count(), None
+    for round_no in itertools.count():
         groups = max(1, math.ceil(number / per_group))
-        last = groups == 1 or round_no == MOST_ROUNDS - 1
+        last = groups == 1
         # A stored table keeps its row numbers, so a repeated task deals its rows alike.
         dealt = waiting.withColumn(
             "group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_no)), groups))
@@ -146,12 +153,21 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_group: int = 4096) -> Data
         final.append(packed.filter("kept").drop("kept"))
         if last:
             break
-        waiting = packed.filter("NOT kept").select(pieces.columns)
-        before, number = number, waiting.count()
-        if not number:
+        rest = packed.filter("NOT kept")
+        counts = sorted(rest.groupBy("length").agg(
+            F.count("*"), F.count_if(F.col("offset") == 0)).collect())
+        size, count, first = np.array(counts, np.int64).reshape(-1, 3).T
+        before, number = number, int(count.sum())
+        bins_before, bins = bins, int(first.sum())
+        large = per_group >= MOST_PER_GROUP and number > before // 2
+        if bins == bound_of_counts(size, count, capacity) or (
+                large and bins_before is not None and bins >= bins_before):
+            final.append(rest.drop("kept"))
             break
+        waiting = rest.select(pieces.columns)
         # Bins with gaps are dealt anew; whole bins' worth of them must be able to meet.
-        per_group = max(per_group, math.ceil(per_group * number / before))
+        if number > before // 2:
+            per_group = max(per_group, min(2 * per_group, MOST_PER_GROUP))
     out = final[0]
     for part in final[1:]:
         out = out.unionAll(part)

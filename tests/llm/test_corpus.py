@@ -276,6 +276,18 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark, []), VOCABULARY).count() == 0
 
 
+def test_packing_goes_on_until_groups_have_met(spark):
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(26, 45, 600).tolist()
+    pieces = spark.createDataFrame(
+        [(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(pieces.repartition(2), 100, per_group=8).toPandas()
+    assert sorted(zip(rows["doc_id"], rows["length"])) == list(enumerate(lengths))
+    assert rows.groupby("sequence_id")["length"].sum().max() <= 100
+    whole = len(packing.best_fit(np.array(lengths), 100)[2])
+    assert rows["sequence_id"].nunique() <= whole + 2
+
+
 def test_bounds_never_exceed_packings():
     rng = np.random.default_rng(7)
     for _ in range(200):
