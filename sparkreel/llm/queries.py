@@ -15,6 +15,7 @@ from sparkreel.llm.jaccard_join import jaccard_components
 from sparkreel.llm.language import fit_languages, identify_languages
 from sparkreel.llm.line_dedup import line_dedup
 from sparkreel.llm.packing import pack_documents
+from sparkreel.llm.simhash import simhash_components
 from sparkreel.llm.storage import table
 from sparkreel.llm.substring_dedup import digest, substring_dedup
 from sparkreel.llm.token_counts import count_tokens
@@ -201,3 +202,9 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
 """)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+# SQL has no XXH64 with a seed; the tests hold this query against a plain version.
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), size=3)
