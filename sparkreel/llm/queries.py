@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkreel.llm.conversation_repair import repair_report
 from sparkreel.llm.decontamination import find_contamination
 from sparkreel.llm.exact_dedup import exact_dedup
 from sparkreel.llm.extraction import extract_pages
+from sparkreel.llm.hard_negatives import mine_hard_negatives
 from sparkreel.llm.jaccard_join import jaccard_components
 from sparkreel.llm.language import fit_languages, identify_languages
 from sparkreel.llm.line_dedup import line_dedup
@@ -208,3 +210,130 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash")
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), size=3)
+
+
+# crc32 bit by bit; the costs and least audits run from the last turn to the first, over the states
+# (nothing read, after s, after u, after a), and a second walk spells the repaired turns.
+@query("op12_conversation_repair", r"""
+WITH RECURSIVE
+coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')
+               AS key
+    FROM conversations),
+crc AS (
+    SELECT *, xor(list_reduce(
+        list_prepend(4294967295, flatten(list_transform(
+            range(0, strlen(key)), lambda i: list_transform(
+                range(0, 8), lambda b: (ascii(key[i + 1]) >> b) & 1)))),
+        lambda acc, bit: xor(acc >> 1, CASE WHEN (acc & 1) <> bit THEN 3988292384 ELSE 0 END)),
+        4294967295) % 20 AS code
+    FROM coded),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+           CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                ELSE text END AS text,
+           unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM crc WHERE code <> 0),
+placed AS (
+    SELECT *, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        left(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), 32), copy) AS n
+    FROM damaged),
+faulty AS (
+    SELECT *, NOT regexp_matches(text, '[^ \t-\r]') AS blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+           NOT regexp_matches(text, '[.!?][ \t-\r]*\z') AS unended,
+           left(role, 1) AS initial,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before
+    FROM placed),
+turns AS (
+    SELECT conv_id, turn, n, role, text, initial, blank, again AND NOT blank AS duplicate,
+           unended AND NOT blank AND NOT again AS truncated, blank OR again AS gone,
+           coalesce(before || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+    FROM faulty),
+counts AS (
+    SELECT conv_id, count(*) AS rows,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+           count(*) FILTER (WHERE truncated) AS truncated,
+           count(*) FILTER (WHERE illegal) AS illegal
+    FROM turns GROUP BY conv_id),
+-- best[s] is the least (cost, audit) from state s = 0 (nothing), 1 (s), 2 (u), 3 (a) on.
+walk AS (
+    SELECT conv_id, rows + 1 AS n, [
+        {'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}] AS best
+    FROM counts
+    UNION ALL
+    SELECT e.conv_id, e.n, list_transform([1, 2, 3, 4], lambda s: list_min([
+        e.own[s],
+        {'c': 3 + e.own[[3, 3, 4, 3][s]].c, 'a': 'I' || e.own[[3, 3, 4, 3][s]].a},
+        {'c': 6 + e.own[[4, 4, 3, 4][s]].c, 'a': 'II' || e.own[[4, 4, 3, 4][s]].a}]))
+    FROM (
+        SELECT t.conv_id, t.n, list_transform([1, 2, 3, 4], lambda s: list_min([
+            {'c': 4 + w.best[s].c, 'a': 'D' || w.best[s].a},
+            CASE WHEN NOT t.gone THEN {
+                'c': 3 + (CASE WHEN t.truncated THEN 3 ELSE 0 END) + w.best[[3, 3, 4, 3][s]].c,
+                'a': 'R' || w.best[[3, 3, 4, 3][s]].a} END,
+            CASE WHEN NOT t.gone AND t.initial = ['u', 'u', 'a', 'u'][s] THEN {
+                'c': (CASE WHEN t.truncated THEN 3 ELSE 0 END) + w.best[[3, 3, 4, 3][s]].c,
+                'a': 'K' || w.best[[3, 3, 4, 3][s]].a} END,
+            CASE WHEN NOT t.gone AND t.initial = 's' AND s = 1 THEN {
+                'c': (CASE WHEN t.truncated THEN 3 ELSE 0 END) + w.best[2].c,
+                'a': 'K' || w.best[2].a} END])) AS own
+        FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.n - 1) e),
+cheapest AS (SELECT conv_id, best[1].c AS cost, best[1].a AS audit FROM walk WHERE n = 1),
+spelled AS (
+    SELECT conv_id, audit, 1 AS k, 1 AS n, 0 AS state, [] :: VARCHAR[] AS lines FROM cheapest
+    UNION ALL
+    SELECT s.conv_id, s.audit, s.k + 1, CASE WHEN s.edit = 'I' THEN s.n ELSE s.n + 1 END,
+           CASE WHEN s.edit = 'D' THEN s.state
+                WHEN s.edit = 'K' AND t.initial = 's' THEN 1
+                WHEN s.state = 2 THEN 3 ELSE 2 END,
+           CASE s.edit WHEN 'D' THEN s.lines
+                WHEN 'K' THEN list_append(s.lines, t.role || ':' || t.text)
+                WHEN 'R' THEN list_append(s.lines, s.next || ':' || t.text)
+                ELSE list_append(s.lines, s.next || ':') END
+    FROM (SELECT *, audit[k] AS edit,
+                 CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END AS next
+          FROM spelled WHERE k <= length(audit)) s
+    LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.n = s.n),
+repaired AS (
+    SELECT conv_id, array_to_string(lines, chr(10)) AS whole FROM spelled
+    WHERE k = length(audit) + 1)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN cheapest b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_hard_negatives", """
+WITH good AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+           CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, n.id AS negative_id, positive_score, n.score AS negative_score,
+       CAST(row_number() OVER (
+           PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+FROM positives JOIN scores n USING (anchor_id)
+WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+QUALIFY rank <= 3
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"))
