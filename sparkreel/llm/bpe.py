@@ -17,6 +17,7 @@ import regex
 CHUNK_CHARS = 1 << 20
 CACHE_BITS = 20
 POOL_IDS = 1 << 23
+POOL_CHARS = 1 << 23
 NEVER = np.int32(2**31 - 1)
 
 SPACE, LETTER, NUMBER, OTHER, GAP = 0, 1, 2, 3, 4
@@ -94,6 +95,21 @@ def _cut(text: str) -> list[str]:
     return [*parts, text]
 
 
+def _same(
+    code: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray,
+    width: np.ndarray,
+) -> np.ndarray:
+    """Whether runs of ``width`` characters (one at least) in two arrays are equal."""
+    if not len(width):
+        return np.zeros(0, bool)
+    total = np.cumsum(width)
+    first = total - width
+    step = np.arange(total[-1])
+    differ = code[step + np.repeat(start - first, width)] != other[
+        step + np.repeat(other_start - first, width)]
+    return ~np.logical_or.reduceat(differ, first)
+
+
 class Bpe:
     """A vocabulary file of the `tokenizers` library (byte-level BPE), as arrays."""
 
@@ -125,12 +141,19 @@ class Bpe:
         self.up, self.down = np.multiply.accumulate(steps, axis=1)
 
     def _forget(self) -> None:
-        """An empty cache: slots by hash, each pointing into a pool of ids."""
+        """An empty cache: slots by hash, each pointing into a pool of ids and one of characters.
+
+        Pre-tokens may share a hash; the characters tell them apart.
+        """
         self.known = np.zeros(1 << CACHE_BITS, np.uint64)
         self.at = np.zeros(1 << CACHE_BITS, np.int64)
         self.length = np.zeros(1 << CACHE_BITS, np.int64)
         self.pool = np.zeros(POOL_IDS, np.int32)
         self.used = 0
+        self.width = np.zeros(1 << CACHE_BITS, np.int64)
+        self.spelled = np.zeros(1 << CACHE_BITS, np.int64)
+        self.letters = np.zeros(POOL_CHARS, np.uint32)
+        self.letters_used = 0
 
     # ---- merging ------------------------------------------------------------------------------
 
@@ -195,12 +218,23 @@ class Bpe:
         key ^= key >> np.uint64(32)
         key = (key + width.astype(np.uint64)) * self.mix | np.uint64(1)
         slot = (key >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        hit = self.known[slot] == key
+        hit = (self.known[slot] == key) & (self.width[slot] == width)
+        found = np.flatnonzero(hit)
+        hit[found] = _same(
+            code, start[found], self.letters, self.spelled[slot[found]], width[found])
         missing = np.flatnonzero(~hit)
         new_ids, at, length = None, self.at[slot], self.length[slot]
         if len(missing):
             unique, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
             where = missing[first]
+            one = where[back]
+            alike = width[missing] == width[one]
+            alike[alike] = _same(
+                code, start[missing[alike]], code, start[one[alike]], width[missing[alike]])
+            # Words that share a hash with another one of the batch are merged on their own.
+            back[~alike] = len(where) + np.arange(np.count_nonzero(~alike))
+            first_new = len(where)
+            where = np.concatenate([where, missing[~alike]])
             words = [joined[a : a + b].encode() for a, b in
                      zip(start[where].tolist(), width[where].tolist(), strict=True)]
             new_ids, sizes = self.merge(words)
@@ -216,14 +250,25 @@ class Bpe:
             if new_ids is not None:
                 pool = np.concatenate([pool, new_ids])
             out = pool[np.repeat(at - token[:-1], length) + np.arange(token[-1])]
-        if new_ids is not None and len(new_ids) < POOL_IDS:
-            if self.used + len(new_ids) > POOL_IDS:
-                self._forget()
-            self.pool[self.used : self.used + len(new_ids)] = new_ids
-            to = (unique >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            self.known[to], self.at[to], self.length[to] = unique, offset + self.used, sizes
-            # Two new words in one slot: the last assignment of each array wins for all three.
-            self.used += len(new_ids)
+        if new_ids is not None:
+            where, offset, sizes = where[:first_new], offset[:first_new], sizes[:first_new]
+            wide = width[where]
+            chars = int(wide.sum())
+            if len(new_ids) < POOL_IDS and chars < POOL_CHARS:
+                if (self.used + len(new_ids) > POOL_IDS
+                        or self.letters_used + chars > POOL_CHARS):
+                    self._forget()
+                self.pool[self.used : self.used + len(new_ids)] = new_ids
+                spelled = np.cumsum(wide) - wide
+                step = np.arange(chars)
+                self.letters[self.letters_used : self.letters_used + chars] = code[
+                    step + np.repeat(start[where] - spelled, wide)]
+                to = (unique >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+                self.known[to], self.at[to], self.length[to] = unique, offset + self.used, sizes
+                self.width[to], self.spelled[to] = wide, spelled + self.letters_used
+                # Two new words in one slot: the last assignment of each array wins for all.
+                self.used += len(new_ids)
+                self.letters_used += chars
         return counts, out
 
     def encode(self, texts: list[str], ids: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreel.llm.storage import store
+from sparkreel.llm.storage import discard, store
 
 
 def _stars(edges: DataFrame, of: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
             hung.select(F.col("v").alias("u"), F.col("low").alias("v"))
             .unionAll(hung.select("u", F.col("low").alias("v")))
             .filter("u <> v").distinct())
-        now = store(small)
+        before, now = now, store(small)
+        discard(before, large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if state == seen:
             break

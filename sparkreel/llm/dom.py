@@ -74,6 +74,9 @@ def parse(source: str) -> Page:
     page = Page()
     page.add(-1, "root", (), None, 0, None)
     open_tags: list[tuple[str, int, bool | None]] = [("root", 0, None)]
+    # Depths of the open tags by name, and of those that are blocks, the deepest last.
+    depths: dict[str, list[int]] = {}
+    blocks: list[int] = []
     parts: list[str] = []
     hidden = links = linked = 0
 
@@ -89,20 +92,26 @@ def parse(source: str) -> Page:
 
     def close_from(depth: int) -> None:
         nonlocal hidden, links
-        if any(tag in BLOCK for tag, _, _ in open_tags[depth:]):
+        if blocks and blocks[-1] >= depth:
             flush()
         for tag, _, _ in open_tags[depth:]:
             hidden -= tag in HIDDEN
             links -= tag == "a"
+            depths[tag].pop()
         del open_tags[depth:]
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
 
-    def find(wanted: set[str] | frozenset[str], until: set[str]) -> int:
-        for depth in range(len(open_tags) - 1, 0, -1):
-            if open_tags[depth][0] in wanted:
-                return depth
-            if open_tags[depth][0] in until:
-                break
-        return 0
+    def deepest(tags: set[str]) -> int:
+        return max((depths[tag][-1] for tag in tags if depths.get(tag)), default=0)
+
+    def find(wanted: set[str], until: set[str]) -> int:
+        depth = deepest(wanted)
+        if until is BLOCK:
+            held = blocks[-1] if blocks else 0
+        else:
+            held = deepest(until)
+        return depth if depth >= held else 0
 
     at, end = 0, len(source)
     while at < end:
@@ -151,6 +160,9 @@ def parse(source: str) -> Page:
             marked = marked if own is None else own
             if not hidden:
                 node = page.add(node, tag, names, None, 0, marked)
+        depths.setdefault(tag, []).append(len(open_tags))
+        if tag in BLOCK:
+            blocks.append(len(open_tags))
         open_tags.append((tag, node, marked))
         hidden += tag in HIDDEN
         links += tag == "a"

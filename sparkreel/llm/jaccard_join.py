@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreel.llm.components import components
-from sparkreel.llm.storage import keyed, small, store, text_of
+from sparkreel.llm.storage import discard, folded, keyed, small, store, text_of, unfolded
 from sparkreel.llm.words import scramble, shingles, words_of
 
 BITS = 1024
@@ -150,17 +150,24 @@ def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """``key, id, low``: rows whose key has several ids, and the smallest of them.
+    """``key, id, low``: rows whose key has several ids, and the smallest of them, each once.
 
     Rows come sorted by key and id and are looked through as a stream, so the length of a run does
     not matter; a document has many keys, so one key has a small share of the rows.
     """
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key = low = None
+        last_key = last_id = low = None
         told = False  # whether the first row of the open run has been given out
         for batch in batches:
             key, ident = batch["key"].to_numpy(), batch["id"].to_numpy()
+            if not len(key):
+                continue
+            again = np.concatenate([
+                [key[0] == last_key and ident[0] == last_id],
+                (key[1:] == key[:-1]) & (ident[1:] == ident[:-1])])
+            last_id = ident[-1]
+            key, ident = key[~again], ident[~again]
             if not len(key):
                 continue
             fresh = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
@@ -249,9 +256,11 @@ def _linked(
     contents = store(_contents(docs, wanted, size))
     left = contents.select(F.col("id").alias("a"), F.col("members").alias("members_a"))
     right = contents.select(F.col("id").alias("b"), F.col("members").alias("members_b"))
-    return (
+    linked = store(
         pairs.join(left, "a").join(right, "b").filter(check("members_a", "members_b"))
         .select("a", "b"))
+    discard(wanted, contents)
+    return linked
 
 
 def _apart(members: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
@@ -259,6 +268,7 @@ def _apart(members: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
 
     Two members alone have been compared already.
     """
+    # Narrow rows first: bitmaps join only the members that are still apart.
     placed = store(
         members.join(found.select(F.col("id").alias("v"), "component").distinct(), "v", "left")
         .withColumn("component", F.coalesce("component", "v")))
@@ -266,9 +276,11 @@ def _apart(members: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
         placed.groupBy("key")
         .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
         .filter("x <> y AND m > 2").select("key", F.xxhash64("key").alias("mark")))
-    apart = store(
-        placed.withColumn("mark", F.xxhash64("key")).join(apart, ["key", "mark"], "left_semi"))
-    return store(apart.drop("mark").join(info.withColumnRenamed("id", "v"), "v"))
+    apart = placed.withColumn("mark", F.xxhash64("key")).join(
+        apart, ["key", "mark"], "left_semi").drop("mark")
+    apart = store(apart.join(info.withColumnRenamed("id", "v"), "v"))
+    discard(placed)
+    return apart
 
 
 def _across(
@@ -308,20 +320,11 @@ def _linked_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     copies = store(
         named.withColumn("mark", mark).join(classes, [*name, "mark"])
         .filter("_key <> low").select(F.col("_key").alias("id"), "low").distinct())
-    met = store(_met(_keys(docs, size, num, den)))
-    original = copies.groupBy("id").agg(F.min("low").alias("of")).withColumn(
-        "mark", F.xxhash64("id"))
-
-    def of_original(rows: DataFrame, column: str) -> DataFrame:
-        return (
-            rows.withColumn("id", F.col(column)).withColumn("mark", F.xxhash64("id"))
-            .join(original, ["id", "mark"], "left")
-            .withColumn(column, F.coalesce("of", "id")).drop("of", "mark", "id"))
-
-    first = met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = of_original(of_original(first, "a"), "b").filter("a <> b")
-    first = store(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                  .distinct())
+    copied = small(copies.select("id"), BROADCAST_IDS)
+    originals = docs.join(copied, docs["_key"] == copied["id"], "left_anti")
+    met = store(_met(_keys(originals, size, num, den)))
+    first = store(
+        met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
     info = store(_info(sizes))
     left = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
     right = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
@@ -333,16 +336,18 @@ def _linked_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     # Members of a tile that are still apart: first against a member picked at random in each tile,
     # which connects most of what can be, then across the components that are left, never within.
-    members = store(of_original(
-        met.select("key", "id").withColumnRenamed("id", "v"), "v").distinct())
+    members = met.select("key", F.col("id").alias("v"))
     tested = first
     for picked in (True, False):
-        pairs = _across(_apart(members, found, info), picked, num, den)
+        apart = _apart(members, found, info)
+        pairs = _across(apart, picked, num, den)
         rest = store(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        discard(apart)
         if not rest.isEmpty():
             links = store(links.unionAll(_linked(rest, docs, size, num, den)))
             found = components(links)
             tested = tested.unionAll(rest)
+    discard(met, likely, first)
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     return (
         sizes.select("_key", "doc_id", "n_shingles")
@@ -379,7 +384,7 @@ def without_near_copies(
     Rows that repeat an id and a text are copies as well; texts without words are not.
     """
     own = docs.columns
-    docs = keyed(docs)
+    docs = keyed(folded(docs))
     read = docs.select("_key", F.col("doc_id").cast("long"), text_of("text").alias("text"))
     found = store(_linked_rows(read, size, num, den).drop("doc_id"))
     later = found.filter("_key <> component").select("_key").distinct()
@@ -390,4 +395,4 @@ def without_near_copies(
     if not again.isEmpty():
         kept = kept.join(again, "_key", "left_anti").unionByName(
             kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return kept.select(*own)
+    return kept.select(*unfolded(own))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkreel.llm.storage import keyed, store, text_of
+from sparkreel.llm.storage import discard, folded, keyed, store, text_of, unfolded
 
 LINE_FEED = "\n"
 ROOT = 0
@@ -102,7 +102,8 @@ def earlier_runs(lines: DataFrame) -> DataFrame:
         left = inside.filter("own AND NOT is_first").select("doc", "pos", "own")
         stays = moved.select("doc", "pos", "ca", "cb", "length", "own").join(
             left, ["doc", "pos", "own"], "left_anti")
-        now = store(deeper.unionByName(stays))
+        before, now = now, store(deeper.unionByName(stays))
+        discard(before, moved, inside)
     return now.filter("own AND length > 0").join(
         active.select("doc", "pos", "chars"), ["doc", "pos"]).select(
         "doc", "pos", "length", "chars")
@@ -137,8 +138,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     alike; rows of one id with other texts are documents of their own, in the order of a hash of
     the text; rows without an id come first. Empty tables give no rows.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
-    docs = keyed(docs.select(*own))
+    added = ("n_lines", "n_removed", "kept_text")
+    own = [c for c in docs.columns if c not in added]
+    docs = keyed(folded(docs, without=added))
     gone = deleted_lines(docs.select("_key", text_of("text").alias("text")), min_chars)
     gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"))
     lines = F.split(text_of("text"), LINE_FEED)
@@ -148,7 +150,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40) -> DataFrame:
         docs.join(gone, F.col("_key") == F.col("_doc"), "left")
         .withColumn("_lines", lines)
         .select(
-            *own, F.size("_lines").cast("long").alias("n_lines"),
+            *unfolded(own), F.size("_lines").cast("long").alias("n_lines"),
             F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
             F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("kept_text")))
 

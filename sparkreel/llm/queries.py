@@ -114,11 +114,13 @@ doc_words AS (
     SELECT doc_id, string_split(trim(regexp_replace(
         lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 items AS (
-    SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
-    FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+    SELECT DISTINCT item_id, array_to_string(w[i : i + n - 1], ' ') AS s
+    FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM (SELECT *, least(len(w), 5) AS n FROM item_words WHERE w <> ['']))),
 docs AS (
-    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
-    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + n - 1], ' ') AS s
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM doc_words, (SELECT DISTINCT least(len(w), 5) AS n FROM item_words WHERE w <> ['']))),
 sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id),
 shared AS (
     SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (s)

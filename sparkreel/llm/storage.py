@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,50 @@ BLANKS = r"[ \t-\r]+"
 NO_ID = -(2**63)
 
 
+# Folders of the open scopes, the innermost last; tables are stored there.
+_scopes: list[str] = []
+
+
+def _new_folder(spark: SparkSession) -> str:
+    inside = _scopes[-1] if _scopes else f"{shared_folder(spark).rstrip('/')}/tables"
+    return f"{inside}/{uuid.uuid4().hex}"
+
+
 def store(rows: DataFrame) -> DataFrame:
     """Rows written to the shared folder and read back: cut lineage that outlives any executor."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = _new_folder(spark)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more: what was made of them is stored itself."""
+    for rows in tables:
+        path = getattr(rows, "stored_at", None)
+        if path is not None:
+            remove(rows.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables stored inside the scope.
+
+    It outlives the scope, as results may still read it; whoever has stored them calls ``remove``.
+    """
+    folder = _new_folder(spark)
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +92,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     ).drop("_id", "_of", "_hash")
 
 
+def folded(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, _others``: all other columns in one, so that no name of theirs clashes."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", *without)]
+    return docs.select("doc_id", "text", F.struct(*others).alias("_others"))
+
+
+def unfolded(columns: list[str]) -> list[Column]:
+    """The columns of ``folded`` documents under their own names, in the given order."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col(f"_others.`{c}`") for c in columns]
+
+
 def small(rows: DataFrame, most: int) -> DataFrame:
     """A stored table, marked for broadcast if it has ``most`` rows at the most; else as it is."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -5,8 +5,9 @@ with the same minimiser form a super-k-mer. Equal windows have equal minimisers,
 compared only within the bucket of a minimiser, and a minimiser that occurs once needs no look at
 its words. First only minimisers and places travel; the super-k-mers of repeated ones then go to
 their bucket as packed strings. Equal strings are pre-aggregated to their first place: every later
-string is repeated as a whole. In buckets with several strings, windows are sorted and all but the
-first of each run are repeats.
+string is repeated as a whole. The windows of strings that are not alone in their bucket are then
+sorted by name, and all but the first of each run are repeats. Buckets are counted before the
+shuffle and joined, never dealt as a whole: a minimiser may stand in a third of all places.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.llm.storage import keyed, store, text_of
 from sparkreel.llm.streams import runs
-from sparkreel.llm.words import scramble, shingles, words_of
+from sparkreel.llm.words import shingles, words_of
 
 SHIFT = 64  # a place is start * SHIFT + number of windows
 
@@ -104,13 +105,13 @@ def _windows(strings: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for begin in range(0, len(batch), 2000):
                 part = batch.iloc[begin : begin + 2000]
-                words = words_of([p.decode() for p in part["packed"]])
+                words = words_of([p.decode() for p in part["packed"]], more=True)
                 number = part["place"].to_numpy() % SHIFT
                 names = [], []
                 for i in range(len(part)):
-                    keys = words.key[words.first[i] : words.first[i + 1]]
-                    names[0].append(shingles(keys, window))
-                    names[1].append(shingles(scramble(keys, 5), window))
+                    own = slice(words.first[i], words.first[i + 1])
+                    names[0].append(shingles(words.key[own], window))
+                    names[1].append(shingles(words.more[own], window))
                 step = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
                 yield pd.DataFrame({
                     "a": np.concatenate(names[0]).view(np.int64),
@@ -147,7 +148,10 @@ def repeated_windows(docs: DataFrame, window: int = 20, m: int = 6) -> DataFrame
     # A place that is not the first of its string is repeated throughout.
     later = places.select("doc", "place").join(
         strings.select("doc", "place"), ["doc", "place"], "left_anti")
-    several = runs(strings, ["minimiser"], ["doc", "place"], first=True)
+    shared = (
+        strings.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1")
+        .select("minimiser", mark))
+    several = strings.select("*", mark).join(shared, ["minimiser", "mark"], "left_semi")
     single = runs(_windows(several, window), ["a", "b"], ["doc", "start"], first=False)
     return later.unionAll(single.select("doc", (F.col("start") * SHIFT + 1).alias("place")))
 

@@ -49,6 +49,7 @@ class ToxicityModel:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    fitted: bool = True
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +123,24 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Weights from the labelled rows (``labels``: ``doc_id, toxic``) of ``docs``.
 
-    At most ``options.max_rows`` labelled ids are used, those with the smallest hashes. Labels of
-    an id listed twice count as toxic if one is; null labels and ids are left out. Without any
-    labelled row the model gives every text a score of 0.5.
+    Of the labelled ids that ``docs`` holds at most ``options.max_rows`` are used, those with the
+    smallest hashes. Labels of an id listed twice count as toxic if one is; of several texts of an
+    id the first in order is learnt from; null labels and ids are left out. Without any labelled
+    row the model is not ``fitted`` and gives every text a score of 0.5.
     """
+    present = docs.select(F.col("doc_id").alias("_present")).distinct()
     sample = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        .join(present, F.col("doc_id") == F.col("_present"), "left_semi")
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("_id", F.lit(options.seed)), "_id").limit(options.max_rows))
     # The sample is bounded by max_rows, so it may be broadcast.
     sample = store(sample)
     shards = max(1, -(-sample.count() // options.shard_rows))
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    rows = (
+        docs.select("doc_id", text_of("text").alias("text"))
+        .join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     shard = F.pmod(F.xxhash64("doc_id", F.lit(options.seed + 1)), shards)
     weights = (
         rows.select("doc_id", "text", "toxic", shard.alias("shard"))
@@ -142,12 +148,16 @@ def fit_toxicity(
             lambda rows: _fitter(options)(rows), "bucket long, weight double"))
     weights = store(weights)
     count = weights.filter("bucket = -1").count()
-    found = weights.groupBy("bucket").agg(F.sum("weight").alias("weight")).toPandas()
+    # Added in order, so that a run repeated gives the same sums.
+    in_order = F.aggregate(
+        F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda total, w: total + w)
+    found = weights.groupBy("bucket").agg(in_order.alias("weight")).toPandas()
     found = found.sort_values("bucket")
     bias = found.loc[found["bucket"] == -1, "weight"].sum() / max(count, 1)
     found = found[found["bucket"] >= 0]
     return ToxicityModel(
-        found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(float) / max(count, 1), bias)
+        found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(float) / max(count, 1), bias,
+        count > 0)
 
 
 @functools.cache

@@ -13,7 +13,6 @@ _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64)
 _ODD = _RANDOM.integers(1, 2**63, 8, np.uint64) | U(1)
 _POWER = _ODD[0]
-_INVERSE = U(pow(int(_POWER), -1, 2**64))
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,16 +23,6 @@ _LOWER = np.arange(256)
 _LOWER[0x41:0x5B] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.ones((2, n), np.uint64)
-    steps[0, 1:], steps[1, 1:] = _POWER, _INVERSE
-    up, down = np.multiply.accumulate(steps, axis=1)
-    return up, down
-
-
-_UP, _DOWN = _powers(2 * SEGMENT_BYTES)
-
-
 def scramble(values: np.ndarray, turn: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that mixes all bits."""
     values = values ^ (values >> U(32))
@@ -44,23 +33,30 @@ def scramble(values: np.ndarray, turn: int = 0) -> np.ndarray:
 @dataclass
 class Words:
     """``data``: the bytes of all texts; ``start``, ``end``: of each word in them; ``key``: its
-    hash; words ``first[i]`` up to ``first[i + 1]`` belong to text ``i``."""
+    hash; ``more``: a second one, if asked for; words ``first[i]`` up to ``first[i + 1]`` belong to
+    text ``i``."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     key: np.ndarray
     first: np.ndarray
+    more: np.ndarray | None = None
+
 
+def words_of(
+    texts: list[str], apart: np.ndarray = BLANK, lower: bool = False, more: bool = False
+) -> Words:
+    """Words are longest runs of bytes not in ``apart`` (which holds the line feed).
 
-def words_of(texts: list[str], apart: np.ndarray = BLANK, lower: bool = False) -> Words:
-    """Words are longest runs of bytes not in ``apart`` (which holds the line feed)."""
+    Each byte is mixed with its place in the word before the sum, so that no word, however regular,
+    has the sum of another by rule.
+    """
     encoded = [t.encode() for t in texts]
     ends = np.cumsum([len(t) + 1 for t in encoded])
     data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     table = (_BYTE[_LOWER] if lower else _BYTE).copy()
-    table[apart] = 0
-    starts, stops, keys = [], [], []
+    starts, stops, keys, others = [], [], [], []
     begin = 0
     while begin < len(data):
         end = min(begin + SEGMENT_BYTES, len(data))
@@ -72,18 +68,26 @@ def words_of(texts: list[str], apart: np.ndarray = BLANK, lower: bool = False) -
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
         start, stop = edge[0::2], edge[1::2]
         if len(start):
-            up, down = (_UP, _DOWN) if len(part) <= len(_UP) else _powers(len(part))
-            value = table[part] * up[: len(part)]
+            words = part[start[0] : stop[-1]]
+            at = start - start[0]
+            place = np.arange(len(words)) - np.repeat(at, np.diff(np.append(at, len(words))))
+            value = scramble(table[words] + place.view(np.uint64) * _ODD[7])
+            value[gap[start[0] : stop[-1]]] = 0
             starts.append(start + begin)
             stops.append(stop + begin)
-            keys.append(scramble(np.add.reduceat(value, start) * down[start]))
+            keys.append(scramble(np.add.reduceat(value, at)))
+            if more:
+                # Bytes between words are 0 and stay so.
+                others.append(scramble(np.add.reduceat(scramble(value, 5), at), 4))
         begin = end
     if not starts:
         empty = np.zeros(0, np.int64)
-        return Words(data, empty, empty, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
+        none = np.zeros(0, np.uint64)
+        return Words(data, empty, empty, none, np.zeros(len(texts) + 1, np.int64), none)
     start = np.concatenate(starts)
     first = np.concatenate([[0], np.searchsorted(start, ends)])
-    return Words(data, start, np.concatenate(stops), np.concatenate(keys), first)
+    return Words(data, start, np.concatenate(stops), np.concatenate(keys), first,
+                 np.concatenate(others) if more else None)
 
 
 def shingles(keys: np.ndarray, size: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql.functions import expr as F_expr
 from tokenizers import Tokenizer
 
 from llm import brute
@@ -77,6 +79,39 @@ def test_tokens_equal_the_library(spark):
     assert token_counts.count_tokens(frame(spark, []), VOCABULARY).count() == 0
 
 
+def alternating():
+    """Two words of 1,024 letters whose letters change places by one rule."""
+    turn = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[t] for t in turn), "".join("ba"[t] for t in turn)
+
+
+def test_regular_words_are_told_apart(spark):
+    one, other = alternating()
+    library = Tokenizer.from_file(VOCABULARY)
+    for texts in ([one, other], [other, one, one], ["x " + other, one + " y"]):
+        own = bpe.Bpe(VOCABULARY)
+        for _ in range(2):  # the second time from the cache
+            counts, ids = own.encode(texts)
+            assert [i.tolist() for i in ids] == [
+                e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    words = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{words} {one}"), (2, f"{words} {other}")], DOCS)
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {0}
+    found = jaccard_join.jaccard_components(docs, 3, 90, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 2)}
+
+
+def test_shared_hash_in_the_token_cache(monkeypatch):
+    """Pre-tokens that share a hash, in one batch and across batches, keep their own ids."""
+    own = bpe.Bpe(VOCABULARY)
+    own.mix = np.uint64(0)
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = ["alpha beta gamma", "delta gamma alpha", "alpha", "omega beta"]
+    for batch in (texts, texts[::-1], texts[1:3]):
+        assert [i.tolist() for i in own.encode(batch)[1]] == [
+            e.ids for e in library.encode_batch(batch, add_special_tokens=False)]
+
+
 # ---- 2: line dedup ----------------------------------------------------------------------------
 
 
@@ -141,6 +176,60 @@ def test_no_labels_give_one_half(spark):
     assert {r.score for r in toxicity.score_toxicity(frame(spark, ODD), model).collect()} == {0.5}
 
 
+def test_labels_without_documents(spark):
+    """Labels of other documents do not push those of the documents at hand out of the sample."""
+    docs = spark.createDataFrame(
+        [(i, f"zorrk text {i}" if i % 2 else f"quiet text {i}") for i in range(200)]
+        + [(1, "zorrk again")] * 30, DOCS)
+    labels = spark.range(20_000).select(
+        "id", (F_expr("id % 2")).alias("toxic")).withColumnRenamed("id", "doc_id")
+    options = toxicity.FtrlOptions(max_rows=100, l1=0.1)
+    model = toxicity.fit_toxicity(docs, labels, options)
+    again = toxicity.fit_toxicity(docs.repartition(3), labels, options)
+    assert model.fitted and len(model.weights) > 0
+    assert (model.weights == again.weights).all() and model.bias == again.bias
+    rows = toxicity.score_toxicity(docs, model).collect()
+    assert sum(r.predicted == ("zorrk" in r.text) for r in rows) > 0.9 * len(rows)
+    none = toxicity.fit_toxicity(docs, labels.filter("doc_id > 5000"), options)
+    assert not none.fitted and len(none.weights) == 0
+
+
+def test_weights_against_plain_ftrl():
+    """One shard against updates of one coordinate after another."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["good", "bad", "ugly", "plain", "odd"]) for _ in range(6))
+             for _ in range(40)]
+    labels = np.array([float("bad" in t) for t in texts])
+    options = toxicity.FtrlOptions(epochs=3, l1=0.5)
+    found = toxicity._fit(texts, labels, options)
+    owner, bucket = toxicity.features(texts)
+    sets = [set(bucket[owner == i].tolist()) for i in range(len(texts))]
+    seen = Counter(b for own in sets for b in own)
+    z, n = Counter(), Counter()
+
+    def weight(b):
+        l1 = 0.0 if b == -1 else options.l1
+        if abs(z[b]) <= l1:
+            return 0.0
+        rate = (options.beta + math.sqrt(n[b])) / options.alpha
+        return -math.copysign(abs(z[b]) - l1, z[b]) / rate
+
+    order = np.random.default_rng(options.seed)
+    for _ in range(options.epochs):
+        for i in order.permutation(len(texts)).tolist():
+            at = [b for b in sorted(sets[i]) if seen[b] >= options.least_texts] + [-1]
+            own = {b: weight(b) for b in at}
+            g = 1 / (1 + math.exp(-sum(own.values()))) - labels[i]
+            for b in at:
+                step = (math.sqrt(n[b] + g * g) - math.sqrt(n[b])) / options.alpha
+                z[b] += g - step * own[b]
+                n[b] += g * g
+    want = {b: weight(b) for b in list(z) if b == -1 or weight(b)}
+    got = dict(zip(found["bucket"].tolist(), found["weight"].tolist()))
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(math.isclose(got[b], want[b], rel_tol=1e-9, abs_tol=1e-12) for b in want)
+
+
 # ---- 4: exact dedup ---------------------------------------------------------------------------
 
 
@@ -170,6 +259,7 @@ def test_items_in_documents(spark):
     words = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(3, 60)))) for i in range(30)]
     items += [(30, None), (31, ""), (None, "one two three four five six"), (2, items[2][1])]
+    items += [(32, "FIVE, six!"), (33, "w3"), (34, "w1 w2 w3 w4"), (35, "never-seen here")]
     docs = list(ODD)
     for i in range(60):
         own = rng.choice(items[:30])[1].split()
@@ -179,16 +269,19 @@ def test_items_in_documents(spark):
         docs.append((100 + i, " ".join([*filler, *own, *filler]).upper()))
     docs.append((300, "ONE, two; three-four five six!"))
 
-    def grams(text):
+    def grams(text, item):
         found = brute.re.findall(r"[^\W_]+", (text or "").lower())
-        return {tuple(found[i : i + 5]) for i in range(len(found) - 4)}
+        of_item = brute.re.findall(r"[^\W_]+", (item or "").lower())
+        n = min(len(of_item), 5)
+        return {tuple(found[i : i + n]) for i in range(len(found) - n + 1)} if n else set()
 
     want = set()
     for item, text in items:
         for doc, whole in docs:
-            shared = len(grams(text) & grams(whole))
-            if shared and 5 * shared >= 4 * len(grams(text)):
-                want.add((doc, item, shared, len(grams(text))))
+            own = grams(text, text)
+            shared = len(own & grams(whole, text))
+            if shared and 5 * shared >= 4 * len(own):
+                want.add((doc, item, shared, len(own)))
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.find_contamination(frame(spark, docs), bench).collect()
     assert sorted(map(str, [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in found])) == sorted(
@@ -251,6 +344,47 @@ def test_extraction_of_odd_pages(spark):
     assert texts[(2, None)] == ("", 0) and texts[(6, pages[5][2])] == ("", 0)
 
 
+PAGES = [
+    # (page, what stays of it, block by block)
+    ("<html><head><title>T</title><style>p{}</style></head><body>"
+     "<nav class='menu'><a href=/>Home</a> <a href=/a>About</a></nav>"
+     "<article><h1>The &amp; headline</h1><p>First   paragraph with\n several words in it, long "
+     "enough to be read.</p><p>Second paragraph, also of some length and with a full stop.</p>"
+     "</article><footer><p>Copyright 2020. All rights reserved.</p></footer></body></html>",
+     ["The & headline", "First paragraph with several words in it, long enough to be read.",
+      "Second paragraph, also of some length and with a full stop."]),
+    ("<div class=content><p>Only text of the page, told in one plain and rather long sentence.<p>"
+     "And another one that nobody closed, which goes on for a good while.</div>"
+     "<script>var a = '<p>no</p>';</script>"
+     "<div class='sidebar'><ul><li><a href=x>Link</a></ul></div>",
+     ["Only text of the page, told in one plain and rather long sentence.",
+      "And another one that nobody closed, which goes on for a good while."]),
+]
+
+
+@pytest.mark.parametrize("page,want", PAGES)
+def test_pages_block_by_block(spark, page, want):
+    table = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    text = extraction.extract_pages(table).first().text
+    assert text.split("\n\n") == want
+
+
+def test_odd_pages(spark):
+    from pyspark.sql import functions as F
+
+    deep = "<span><div>" * 20_000 + "deep text"
+    rows = [(1, "u", None), (2, "u", ""), (3, None, "<" * 5000), (4, "u", deep), (4, "u", deep),
+            (5, "u", "<p>" + "long words " * 200_000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn(
+        "text", F.lit("x")).withColumn("n_chars", F.lit("x"))
+    began = time.monotonic()
+    found = extraction.extract_pages(table).select("page_id", "text", "n_chars").collect()
+    assert time.monotonic() - began < 60
+    assert sorted(r.page_id for r in found) == [1, 2, 3, 4, 4, 5]
+    assert all(r.n_chars == len(r.text) for r in found)
+    assert extraction.extract_pages(table.limit(0)).count() == 0
+
+
 # ---- 7: packing -------------------------------------------------------------------------------
 
 
