@@ -8,6 +8,8 @@ from __future__ import annotations
 
 SEGMENT = "idx BIGINT, start_ms BIGINT, end_ms BIGINT, text STRING"
 SEGMENTS = f"source_id BIGINT, {SEGMENT}"
+# As files bring them: rows of a version of a transcript and how many segments that version has.
+VERSIONED_SEGMENTS = f"{SEGMENTS}, version BIGINT, n_segments BIGINT"
 CANDIDATES = (
     "source_id BIGINT, candidate_id BIGINT, start_ms BIGINT, end_ms BIGINT, "
     "start_idx BIGINT, end_idx BIGINT"

@@ -1,111 +1,201 @@
-"""New transcript rows, taken in once and carried through all stages."""
+"""New transcript rows, taken in once and carried through all stages.
 
-from __future__ import annotations
+A transcript comes in versions. A version is a closed set of rows: all its files carry its number
+(``version``, growing) and the number of segments it has (``n_segments``), so it is known when the
+set is whole, in whatever order the files arrive. What is not whole waits in a holding table from one
+batch to the next. Files that tell no version are versions of their own, numbered by their time.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions
 from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
 from sparkreel.operators.planning import PlanningOptions
-from sparkreel.operators.segments import order_violations, with_text_flag
 from sparkreel.operators.providers import Responder
+from sparkreel.operators.segments import order_violations, with_text_flag
 from sparkreel.plans.incremental import (
     ALL_STAGES, Scorer, run_missing_packaging, run_missing_stages,
 )
 from sparkreel.plans.lineage import cut_lineage
-from sparkreel.schemas import SEGMENTS
-from sparkreel.sources.stage_tables import next_batch, write_stage
+from sparkreel.schemas import VERSIONED_SEGMENTS
+from sparkreel.sources.stage_tables import commit_projects, next_batch, read_stage, write_rows
 
-FILE = ["source_id", "file_time", "file"]
+ROW = ["source_id", "version", "n_segments", "idx", "start_ms", "end_ms", "text"]
+VERSION = ["source_id", "version"]
+# Beside the transcripts: which version of each is stored, and rows that wait for the rest.
+TAKEN, HELD = "transcript_version", "held"
+GAPS = "positions are not 0 to n-1"
+BACK = "segment ends go back"
+UNCOUNTED = "version without its number of segments"
+
+
+def numbered_versions(arrived: DataFrame) -> DataFrame:
+    """Rows as ``ROW`` plus ``waits``: a version for files that tell none, from their time.
+
+    Such files of a source are one version if no two of them cover the same positions, which is how
+    a transcript split over files looks when all arrive together; else each is one by itself. They
+    never wait for others. ``arrived`` has ``file`` and ``file_time``.
+    """
+    if "version" not in arrived.columns:
+        arrived = arrived.withColumn("version", F.lit(None).cast("bigint")).withColumn(
+            "n_segments", F.lit(None).cast("bigint"))
+    told = arrived.filter("version IS NOT NULL")
+    untold = arrived.filter("version IS NULL").drop("n_segments")
+    file = ["source_id", "file_time", "file"]
+    spans = untold.groupBy(*file).agg(
+        F.min("idx").alias("low"), F.max("idx").alias("high"), F.count("*").alias("rows"))
+    along = Window.partitionBy("source_id").orderBy("low", "high", "file")
+    before = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    by_source = Window.partitionBy("source_id")
+    by_time = Window.partitionBy("source_id", "file_time").orderBy("file")
+    number = F.unix_micros("file_time") * 1000
+    apart = F.max(F.coalesce(before >= F.col("low"), F.lit(False))).over(by_source)
+    spans = spans.withColumn("apart", apart).select(
+        *[F.col(name).alias(f"of_{name}") for name in file],
+        F.when(F.col("apart"), number + F.least(F.row_number().over(by_time), F.lit(999)))
+        .otherwise(F.max(number).over(by_source)).alias("version"),
+        F.when(F.col("apart"), F.col("rows")).otherwise(F.sum("rows").over(by_source))
+        .alias("n_segments"))
+    same = F.lit(True)
+    for name in file:  # rows without a source are kept, to be set aside with a reason
+        same = same & F.col(name).eqNullSafe(F.col(f"of_{name}"))
+    untold = untold.drop("version").join(spans, same)
+    rows = [r.select(*ROW, F.lit(w).alias("waits")) for r, w in ((told, True), (untold, False))]
+    return rows[0].unionAll(rows[1])
 
 
-def newest_transcripts(segments: DataFrame) -> DataFrame:
-    """Rows of each source's newest transcript; ``segments`` tells ``file`` and ``file_time``.
+def judged_versions(rows: DataFrame) -> DataFrame:
+    """``source_id, version, whole, reason`` of every version in ``rows`` (``ROW, waits``).
 
-    A transcript may be spread over files as long as these cover different positions. A file whose
-    positions overlap with those of a newer file of its source is an older version and left out.
+    ``whole`` tells that all positions are there, once each. A version with a ``reason`` can never
+    become usable; one that is neither whole nor has a reason waits for more rows.
     """
-    spans = segments.groupBy(*FILE).agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
-    newer = Window.partitionBy("source_id").orderBy(F.desc("file_time"), F.desc("file"))
-    newer = newer.rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.collect_list(F.struct("low", "high")).over(newer), F.array())
-    current = spans.withColumn("seen", seen).filter(
-        ~F.exists("seen", lambda s: (s["low"] <= F.col("high")) & (s["high"] >= F.col("low"))))
-    # Rows without a source are kept as well, to be set aside with a reason.
-    current = current.select(*[F.col(name).alias(f"current_{name}") for name in FILE])
-    same = reduce(
-        Column.__and__, [F.col(name).eqNullSafe(F.col(f"current_{name}")) for name in FILE])
-    return segments.join(current, same, "left_semi")
-
-
-def unusable_sources(segments: DataFrame) -> DataFrame:
-    """``source_id, reason``: transcripts with gaps or repeated positions, or ends that go back."""
-    counted = segments.groupBy("source_id").agg(
-        F.count("*").alias("n"), F.countDistinct("idx").alias("places"),
-        F.min("idx").alias("low"), F.max("idx").alias("high"))
-    gaps = counted.filter(
-        "source_id IS NULL OR low IS NULL OR low <> 0 OR high <> n - 1 OR places <> n"
-    ).select("source_id", F.lit("positions are not 0 to n-1").alias("reason"))
-    back = order_violations(segments).select(
-        "source_id", F.lit("segment ends go back").alias("reason")).distinct()
-    return gaps.unionByName(back).groupBy("source_id").agg(F.min("reason").alias("reason"))
+    counted = rows.groupBy(*VERSION).agg(
+        F.count("*").alias("rows"), F.countDistinct("idx").alias("places"),
+        F.min("idx").alias("low"), F.max("idx").alias("high"), F.max("waits").alias("waits"),
+        F.min("n_segments").alias("n"), F.max("n_segments").alias("most"))
+    whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("places") == F.col("n"))
+    whole = F.coalesce(whole & (F.col("rows") == F.col("n")) & (F.col("n") == F.col("most")), F.lit(False))
+    # More rows than places, or places beyond the last, do not go away with more rows.
+    spoilt = F.coalesce(
+        (F.col("rows") > F.col("places")) | (F.col("low") < 0) | (F.col("high") >= F.col("n"))
+        | (F.col("n") != F.col("most")), F.lit(True))
+    reason = (
+        F.when(F.col("source_id").isNull(), GAPS)
+        .when(F.col("n").isNull(), UNCOUNTED)
+        .when(~whole & (spoilt | ~F.col("waits")), GAPS))
+    judged = counted.select(*VERSION, whole.alias("whole"), reason.alias("reason"))
+    falling = order_violations(
+        rows.withColumn("source_id", F.struct("source_id", "version"))
+    ).select("source_id.*").distinct().withColumn("falls", F.lit(True))
+    both = [judged[name].eqNullSafe(falling[name]) for name in VERSION]
+    return judged.join(falling, both[0] & both[1], "left").select(
+        judged["source_id"], judged["version"], "whole",
+        F.coalesce("reason", F.when(F.col("whole") & F.col("falls"), BACK)).alias("reason"))
+
+
+def take_in(
+    spark: SparkSession, arrived: DataFrame, root: str, batch_id: int
+) -> None:
+    """Stores what has become the newest whole version of its source; the rest waits or is set aside.
+
+    Late files of a version older than the stored one change nothing, and files that come twice
+    count once. Working on a batch again after a failure leads to the same tables.
+    """
+    batch = next_batch(spark, root, [*ALL_STAGES, TAKEN, HELD])
+    fresh = cut_lineage(numbered_versions(arrived))
+    touched = cut_lineage(fresh.select("source_id").filter("source_id IS NOT NULL").distinct())
+    held = read_stage(spark, root, HELD, wanted=touched)
+    told = fresh.filter("waits")
+    if held is not None:
+        told = told.unionByName(held.withColumn("waits", F.lit(True)))
+    # Distinct, as a file may be sent twice, or worked on again after it was held.
+    rows = told.distinct().unionByName(fresh.filter("NOT waits"))
+    taken = read_stage(spark, root, TAKEN, wanted=touched)
+    if taken is not None:
+        stored = taken.select("source_id", F.col("version").alias("stored"))
+        rows = rows.join(stored, "source_id", "left").filter(
+            "stored IS NULL OR version > stored").drop("stored")
+    rows = cut_lineage(rows)
+    judged = cut_lineage(judged_versions(rows))
+    newest = (
+        judged.filter("whole AND reason IS NULL")
+        .groupBy("source_id").agg(F.max("version").alias("version")))
+    newest = cut_lineage(newest)
+
+    bad = judged.filter("reason IS NOT NULL").select(
+        F.col("source_id").alias("s"), F.col("version").alias("v"), "reason")
+    aside = rows.join(bad, rows["source_id"].eqNullSafe(F.col("s")) & rows["version"].eqNullSafe(
+        F.col("v"))).drop("s", "v", "waits")
+    if not bad.isEmpty():
+        aside.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+
+    chosen = rows.join(newest, VERSION, "left_semi")
+    # The flag is stored so that discovery need not read the text.
+    flagged = with_text_flag(chosen.select("source_id", "idx", "start_ms", "end_ms", "text"))
+    waiting = (
+        rows.join(bad, rows["source_id"].eqNullSafe(F.col("s")) & rows["version"].eqNullSafe(
+            F.col("v")), "left_anti")
+        .join(newest.withColumnRenamed("version", "newest"), "source_id", "left")
+        .filter("newest IS NULL OR version > newest").select(*ROW))
+    # The transcript's commit comes last: until then the batch can be worked on again.
+    write_rows(newest, root, TAKEN, batch)
+    write_rows(waiting, root, HELD, batch)
+    write_rows(flagged, root, "transcript", batch)
+    commit_projects(newest, root, "transcript", batch)
+    commit_projects(newest, root, TAKEN, batch)
+    commit_projects(touched, root, HELD, batch)
 
 
 def run_incremental(
     spark: SparkSession,
     incoming: str,
     root: str,
-    scorer: Scorer,
+    scorer: Scorer | None,
     *,
     file_format: str = "parquet",
-    schema: str = SEGMENTS,
+    schema: str = VERSIONED_SEGMENTS,
     checkpoint: str | None = None,
     discovery: DiscoveryOptions = DEFAULTS,
     planning: PlanningOptions = PLAN_DEFAULTS,
     packager: Responder | None = None,
     sources: DataFrame | None = None,
+    files_per_batch: int | None = None,
 ) -> None:
     """Processes all files of ``incoming`` not seen before, then stops.
 
-    The files of one transcript are to arrive together; where several versions wait, the newest is
-    taken. A transcript that comes again replaces the old one and makes everything after it stale.
-    Transcripts with gaps, repeated positions or falling ends are set aside, with the reason, under
-    ``quarantine`` and change nothing. The stream's checkpoint remembers the files, stage tables
-    hold the results. With a ``packager`` and the table of ``sources`` clips are packaged and their
-    thumbnails planned as well. A batch repeated after a failure is written under a newer number and replaces
-    itself.
+    Of every source the newest whole version is stored (see ``take_in``); it replaces an older one
+    and makes everything after it stale. Versions with repeated positions or falling ends are set
+    aside, with the reason, under ``quarantine`` and change nothing. The stream's checkpoint
+    remembers the files, stage tables hold the results. Without a ``scorer`` transcripts are only
+    taken in. With a ``packager`` and the table of ``sources`` clips are packaged and their
+    thumbnails planned as well. A batch repeated after a failure is written under a newer number
+    and replaces itself. ``files_per_batch`` bounds the files that one batch takes.
     """
     if packager is not None and sources is None:
         raise ValueError("packaging needs the table of sources")
 
-    def take_in(arrived: DataFrame, batch_id: int) -> None:
+    def work(arrived: DataFrame, batch_id: int) -> None:
         session = arrived.sparkSession
-        batch = next_batch(session, root, ALL_STAGES)
-        newest = newest_transcripts(arrived).drop("file", "file_time")
-        bad = cut_lineage(unusable_sources(newest))
-        same = newest["source_id"].eqNullSafe(bad["source_id"])
-        if not bad.isEmpty():
-            newest.join(bad, same).drop(bad["source_id"]).write.mode("overwrite").parquet(
-                f"{root}/quarantine/batch={batch_id}")
-        # The flag is stored so that discovery need not read the text.
-        flagged = with_text_flag(newest.join(bad, same, "left_anti"))
-        write_stage(flagged, flagged.select("source_id"), root, "transcript", batch)
-        run_missing_stages(session, root, scorer, discovery=discovery, planning=planning)
+        take_in(session, arrived, root, batch_id)
+        if scorer is not None:
+            run_missing_stages(session, root, scorer, discovery=discovery, planning=planning)
         if packager is not None:
             run_missing_packaging(session, root, packager, sources)
 
+    rows = spark.readStream
+    if files_per_batch is not None:
+        rows = rows.option("maxFilesPerTrigger", files_per_batch)
+    rows = rows.schema(schema).format(file_format).load(incoming).select(
+        "*", F.col("_metadata.file_modification_time").alias("file_time"),
+        F.col("_metadata.file_path").alias("file"))
     query = (
-        spark.readStream.schema(schema)
-        .format(file_format)
-        .load(incoming)
-        .select("*", F.col("_metadata.file_modification_time").alias("file_time"),
-                F.col("_metadata.file_path").alias("file"))
-        .writeStream.trigger(availableNow=True)
+        rows.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint or f"{root}/_checkpoint")
-        .foreachBatch(take_in)
+        .foreachBatch(work)
         .start()
     )
     query.awaitTermination()

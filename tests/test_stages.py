@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from sparkreel.operators import providers, responses
 from sparkreel.plans import incremental, stages
-from sparkreel.schemas import CLIPS, SEGMENTS
+from sparkreel.schemas import CLIPS, SEGMENTS, VERSIONED_SEGMENTS
 from sparkreel.sources import documents, manifests, stage_tables
 from sparkreel.streaming import intake
 from sparkreel.streaming.intake import run_incremental
@@ -262,6 +264,69 @@ def test_intake_of_versions_parts_and_gaps(spark, tmp_path):
     assert {(r.source_id, r.reason) for r in aside} == {(3, "positions are not 0 to n-1")}
 
 
+def test_untold_versions_do_not_mix(spark, tmp_path):
+    """An old transcript in two files and a newer one in a single file that covers the first."""
+    def drop(low, high, tag):
+        rows = [(1, i, i * 10_000, i * 10_000 + 9_000, f"{tag}{i}") for i in range(low, high)]
+        spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.parquet(
+            f"{tmp_path}/in", mode="append")
+
+    drop(0, 10, "old")
+    drop(10, 20, "old")
+    time.sleep(1.1)
+    drop(0, 10, "new")
+    intake.run_incremental(spark, f"{tmp_path}/in", f"{tmp_path}/out", None)
+    kept = stage_tables.read_stage(spark, f"{tmp_path}/out", "transcript").collect()
+    assert sorted(r.text for r in kept) == sorted(f"new{i}" for i in range(10))
+
+
+def test_every_order_of_arrival(spark, tmp_path):
+    """Parts of three versions in random order and batches: always the newest whole version."""
+    rng = random.Random(6)
+    root, sizes = f"{tmp_path}/out", {1: 6, 2: 4, 3: 7}
+    sent = {source: set() for source in range(8)}
+    parts = [(source, version, part) for source in sent for version in sizes for part in range(2)]
+    rng.shuffle(parts)
+    parts = [p for p in parts if p != (3, 3, 0)] + parts[:4]  # one never comes, some come twice
+    for begin in range(0, len(parts), 9):
+        rows = []
+        for source, version, part in parts[begin : begin + 9]:
+            n = sizes[version]
+            rows += [(source, i, i * 1000, i * 1000 + 900, f"v{version}", version, n)
+                     for i in range(n) if (i >= n // 2) == bool(part)]
+            sent[source].add((version, part))
+        spark.createDataFrame(rows, VERSIONED_SEGMENTS).repartition(3).write.parquet(
+            f"{tmp_path}/in", mode="append")
+        intake.run_incremental(spark, f"{tmp_path}/in", root, None)
+        want = Counter()
+        for source, have in sent.items():
+            whole = [v for v in sizes if {(v, 0), (v, 1)} <= have]
+            if whole:
+                want[(source, f"v{max(whole)}")] = sizes[max(whole)]
+        kept = stage_tables.read_stage(spark, root, "transcript")
+        found = Counter((r.source_id, r.text) for r in kept.collect())
+        assert found == want
+    held = stage_tables.read_stage(spark, root, intake.HELD).collect()
+    assert {(r.source_id, r.version) for r in held} == {(3, 3)}
+
+
+def test_spoilt_versions_are_set_aside(spark, tmp_path):
+    good = [(1, i, i * 1000, i * 1000 + 900, "good", 1, 3) for i in range(3)]
+    twice = [(1, i % 3, i * 1000, i * 1000 + 900, "twice", 2, 3) for i in range(4)]
+    falling = [(1, i, 0, 5000 - i, "falls", 3, 3) for i in range(3)]
+    uncounted = [(1, i, i * 1000, i * 1000 + 900, "no count", 4, None) for i in range(3)]
+    beyond = [(1, 5, 5000, 5900, "beyond", 5, 3)]
+    rows = good + twice + falling + uncounted + beyond
+    spark.createDataFrame(rows, VERSIONED_SEGMENTS).write.parquet(f"{tmp_path}/in")
+    intake.run_incremental(spark, f"{tmp_path}/in", f"{tmp_path}/out", None)
+    kept = stage_tables.read_stage(spark, f"{tmp_path}/out", "transcript").collect()
+    assert {r.text for r in kept} == {"good"}
+    aside = spark.read.parquet(f"{tmp_path}/out/quarantine").collect()
+    assert {(r.text, r.reason) for r in aside} == {
+        ("twice", intake.GAPS), ("falls", intake.BACK), ("no count", intake.UNCOUNTED),
+        ("beyond", intake.GAPS)}
+
+
 def test_rows_without_a_source_reach_the_quarantine(spark, tmp_path):
     rows = [(s, i, i * 10_000, i * 10_000 + 9_000, "Some text.") for s in (1, None) for i in range(3)]
     spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.parquet(f"{tmp_path}/in")

@@ -201,3 +201,37 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in parts[1:]:
         found = found.union(part)
     return found
+
+
+# What arrives by source_id % 10: run, version (0: none told), and which rows of it.
+ARRIVALS = [
+    (0, 1, 1, "true"), (1, 1, 1, "true"), (1, 2, 2, "true"),
+    (2, 1, 1, "idx < n div 2"), (2, 1, 1, "idx >= n div 2"),
+    (2, 2, 2, "idx >= n div 2"), (2, 2, 2, "idx < n div 2"),
+    (3, 1, 2, "true"), (3, 2, 1, "true"), (4, 1, 1, "true"), (4, 2, 3, "idx < n - 1"),
+    (5, 1, 2, "idx >= n div 2"), (5, 1, 1, "true"), (5, 2, 2, "idx < n div 2"),
+    (6, 1, 1, "idx < n div 2"), (6, 2, 1, "true"), (7, 1, 1, "true"), (7, 2, 2, "true"),
+    (8, 1, 0, "true"), (9, 1, 0, "idx >= n div 2"), (9, 1, 0, "idx < n div 2"),
+]
+
+
+def transcript_versions(segments: DataFrame, run: int) -> DataFrame:
+    """Files of a run: version 2 is one segment shorter, and falls where source_id ends in 7."""
+    sizes = segments.groupBy("source_id").agg(F.count("*").alias("n"))
+    rows = segments.join(sizes, "source_id")
+    arrived = None
+    for digit, at, version, which in ARRIVALS:
+        if at != run:
+            continue
+        size = F.expr("greatest(1, n - 1)") if version == 2 else F.col("n")
+        end = F.col("end_ms") - F.when(
+            F.lit(digit == 7 and version == 2), F.col("idx") * 10**9).otherwise(0)
+        part = rows.filter(F.col("source_id") % 10 == digit).filter(which).filter(
+            F.col("idx") < size
+        ).select(
+            "source_id", "idx", "start_ms", end.alias("end_ms"),
+            F.concat(F.lit(f"v{version} "), "text").alias("text"),
+            F.lit(version or None).cast("bigint").alias("version"),
+            F.when(F.lit(version > 0), size).cast("bigint").alias("n_segments"))
+        arrived = part if arrived is None else arrived.unionAll(part)
+    return arrived

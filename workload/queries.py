@@ -842,6 +842,25 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_tables.read_stage(spark, f"{root}/tables", "clip_plan")
 
 
+@query("intake_versions", """
+SELECT source_id, idx, start_ms, 'v' || v || ' ' || text AS text
+FROM (
+    SELECT *, CASE WHEN m IN (0, 4, 6) OR m = 7 AND n > 2 THEN 1 WHEN m >= 8 THEN 0 ELSE 2 END AS v
+    FROM (SELECT *, source_id % 10 AS m, count(*) OVER (PARTITION BY source_id) AS n FROM segments))
+WHERE v <> 2 OR idx < greatest(1, n - 1)
+""")
+def intake_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions old and new, whole and split, early, late, incomplete and falling, in two runs."""
+    t = Inputs(spark, sf_dir)
+    root = t.folder()
+    for run in (1, 2):
+        files = fx.transcript_versions(t.segments.drop("has_text"), run)
+        files.write.mode("append").parquet(f"{root}/incoming")
+        run_incremental(spark, f"{root}/incoming", f"{root}/tables", None)
+    return stage_tables.read_stage(spark, f"{root}/tables", "transcript").select(
+        "source_id", "idx", "start_ms", "text")
+
+
 def _scoring() -> providers.Responder:
     def answer(title: str, payload: str) -> str:
         import json
