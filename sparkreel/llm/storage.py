@@ -95,6 +95,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def folded(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, _others``: all other columns in one, so that no name of theirs clashes."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", *without)]
+    # A struct needs a field.
+    others = others or [F.lit(None).cast("int").alias("none")]
     return docs.select("doc_id", "text", F.struct(*others).alias("_others"))
 
 

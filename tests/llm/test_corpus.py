@@ -353,11 +353,11 @@ PAGES = [
      "</article><footer><p>Copyright 2020. All rights reserved.</p></footer></body></html>",
      ["The & headline", "First paragraph with several words in it, long enough to be read.",
       "Second paragraph, also of some length and with a full stop."]),
-    ("<div class=content><p>Only text of the page, told in one plain and rather long sentence.<p>"
+    ("<div id=main><h1>A headline</h1><p>Only text of the page, told in one plain and rather long sentence.<p>"
      "And another one that nobody closed, which goes on for a good while.</div>"
      "<script>var a = '<p>no</p>';</script>"
      "<div class='sidebar'><ul><li><a href=x>Link</a></ul></div>",
-     ["Only text of the page, told in one plain and rather long sentence.",
+     ["A headline", "Only text of the page, told in one plain and rather long sentence.",
       "And another one that nobody closed, which goes on for a good while."]),
 ]
 
