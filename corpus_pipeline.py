@@ -23,7 +23,7 @@ from sparkreel.llm.jaccard_join import without_near_copies
 from sparkreel.llm.line_dedup import line_dedup
 from sparkreel.llm.packing import pack_documents
 from sparkreel.llm.queries import VOCABULARY, toxicity_model
-from sparkreel.llm.storage import discard, folded, remove, scratch, store, table, unfolded
+from sparkreel.llm.storage import discard, folded, remove, scratch, store, table, text_of, unfolded
 from sparkreel.llm.toxicity import toxicity_score
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -57,7 +57,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(spark, docs.select("doc_id", "text"), sf_dir)
     if not model.fitted:
         return docs
-    empty = F.coalesce(F.trim("text"), F.lit("")) == ""
+    empty = text_of("text").rlike(r"\A[ \t-\r]*\z")
     return docs.filter(empty | (toxicity_score(docs, F.col("text"), model) < 0.5))
 
 
