@@ -61,8 +61,8 @@ def words_of(
     while begin < len(data):
         end = min(begin + SEGMENT_BYTES, len(data))
         while end < len(data) and not apart[data[end - 1]]:
-            more = np.flatnonzero(apart[data[end : end + SEGMENT_BYTES]])
-            end = end + int(more[0]) + 1 if len(more) else min(end + SEGMENT_BYTES, len(data))
+            ahead = np.flatnonzero(apart[data[end : end + SEGMENT_BYTES]])
+            end = end + int(ahead[0]) + 1 if len(ahead) else min(end + SEGMENT_BYTES, len(data))
         part = data[begin:end]
         gap = apart[part]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))

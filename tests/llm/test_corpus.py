@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from llm import brute
 from sparkreel.llm import bpe, decontamination, exact_dedup, extraction, jaccard_join, language
-from sparkreel.llm import line_dedup, packing, substring_dedup, token_counts, toxicity
+from sparkreel.llm import line_dedup, packing, substring_dedup, token_counts, toxicity, words
 from sparkreel.llm.components import components
 from sparkreel.llm.labelled_pages import labelled_pages
 
@@ -101,6 +101,17 @@ def test_regular_words_are_told_apart(spark):
     assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 2)}
 
 
+def test_words_of_large_batches(monkeypatch):
+    """Cutting a batch in segments changes no word and no hash."""
+    texts = ["some words " * 300, "", "x" * 5000 + " end", " a  b\tc", "ü" * 700]
+    whole = words.words_of(texts, more=True)
+    monkeypatch.setattr(words, "SEGMENT_BYTES", 512)
+    cut = words.words_of(texts, more=True)
+    for name in ("start", "end", "key", "more", "first"):
+        assert (getattr(whole, name) == getattr(cut, name)).all()
+    assert len(whole.key) == 600 + 2 + 3 + 1 and len(set(whole.key.tolist())) == 8
+
+
 def test_shared_hash_in_the_token_cache(monkeypatch):
     """Pre-tokens that share a hash, in one batch and across batches, keep their own ids."""
     own = bpe.Bpe(VOCABULARY)
