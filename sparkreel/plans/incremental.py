@@ -16,6 +16,7 @@ from sparkreel.operators.providers import Responder, package_clips
 from sparkreel.operators.responses import TEXT_FIELDS, clip_transcripts
 from sparkreel.operators.thumbnails import thumbnail_plans
 from sparkreel.plans.lineage import cut_lineage
+from sparkreel.sources import files
 from sparkreel.sources.stage_tables import (
     commit_projects, commits, next_batch, read_stage, write_rows, write_stage,
 )
@@ -24,15 +25,21 @@ STAGES = ["transcript", "candidates", "evaluations", "clip_plan", "captions"]
 # Packaging follows the clip plan, beside captions.
 PACKAGED = [*STAGES[:4], "packaging", "thumbnails"]
 ALL_STAGES = [*STAGES, *PACKAGED[4:]]
+# Where projects with work to do are noted, so that a run need not look at all the others.
+OPEN = "_open"
 Scorer = Callable[[DataFrame], DataFrame]
 
 
 def fresh_stages(
-    spark: SparkSession, root: str, chain: list[str] | None = None
+    spark: SparkSession, root: str, chain: list[str] | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """``project_id, stage`` of what is stored and not older than anything it was made from."""
+    """``project_id, stage`` of what is stored and not older than anything it was made from.
+
+    With ``wanted`` (``source_id``) of these projects, whose commits alone are read.
+    """
     chain = chain or STAGES
-    stored = commits(spark, root, chain)
+    stored = commits(spark, root, chain, wanted=wanted)
     if stored is None:
         return spark.createDataFrame([], "project_id bigint, stage string")
     batches = stored.groupBy("source_id").agg(
@@ -57,9 +64,12 @@ def run_missing_stages(
     *,
     discovery: DiscoveryOptions = DEFAULTS,
     planning: PlanningOptions = PLAN_DEFAULTS,
+    projects: DataFrame | None = None,
 ) -> None:
     """Brings every project with a stored transcript up to date, stage by stage.
 
+    With ``projects`` (``source_id``) only these are looked at.
+
     ``scorer`` turns candidates with text into evaluations; a project is only committed when all
     its candidates have one. Each stage reads what the one before has written, so nothing is
     computed twice and a restart goes on where the last run ended.
@@ -84,7 +94,8 @@ def run_missing_stages(
 
     makers = {"candidates": make_candidates, "clip_plan": make_clips, "captions": make_captions}
     for before, stage in zip(STAGES, STAGES[1:]):
-        fresh = fresh_stages(spark, root).withColumnRenamed("project_id", "source_id")
+        fresh = fresh_stages(spark, root, wanted=projects).withColumnRenamed(
+            "project_id", "source_id")
         # Ids only; written out because every step below reads them again.
         wanted = cut_lineage(
             fresh.groupBy("source_id")
@@ -107,17 +118,51 @@ def run_missing_stages(
             write_stage(makers[stage](wanted), wanted, root, stage, batch)
 
 
+def open_projects(spark: SparkSession, root: str) -> DataFrame | None:
+    """Projects noted as having work to do (``source_id``); None if there are none."""
+    folders = [f"{root}/{OPEN}/{name}" for name in files.names(spark, f"{root}/{OPEN}")]
+    if not folders:
+        return None
+    return spark.read.schema("source_id BIGINT").parquet(*folders).distinct()
+
+
+def note_open(projects: DataFrame, root: str, name: str) -> None:
+    """Notes projects before their transcripts are committed, so that none is forgotten."""
+    projects.select("source_id").write.mode("overwrite").parquet(f"{root}/{OPEN}/{name}")
+
+
+def close_finished(spark: SparkSession, root: str, packaged: bool, batch: int) -> None:
+    """Forgets projects whose stages are all up to date; the others stay noted."""
+    folders = list(files.names(spark, f"{root}/{OPEN}"))
+    noted = open_projects(spark, root)
+    if noted is None:
+        return
+    noted = cut_lineage(noted)
+    for chain in [STAGES, PACKAGED] if packaged else [STAGES]:
+        done = fresh_stages(spark, root, chain, wanted=noted).groupBy("project_id").count()
+        done = done.filter(F.col("count") == len(chain)).select(
+            F.col("project_id").alias("source_id"))
+        left = noted.join(done, "source_id", "left_anti")
+        note_open(left, root, f"rest={batch}-{len(chain)}-{'packaging' in chain}")
+    for name in folders:
+        if not name.startswith(f"rest={batch}-"):
+            files.remove(spark, f"{root}/{OPEN}/{name}")
+
+
 def run_missing_packaging(
-    spark: SparkSession, root: str, packager: Responder, sources: DataFrame
+    spark: SparkSession, root: str, packager: Responder, sources: DataFrame,
+    projects: DataFrame | None = None,
 ) -> None:
     """Packages every planned clip that has no valid packaging, then plans its thumbnails.
 
+    With ``projects`` (``source_id``) only these are looked at.
+
     Valid packaging made from the current clip plan is kept; clips whose packaging is missing,
     damaged or was refused are asked for (again). Clips without text are never asked for.
     """
     batch = next_batch(spark, root, ALL_STAGES)
     fresh = cut_lineage(
-        fresh_stages(spark, root, PACKAGED).withColumnRenamed("project_id", "source_id"))
+        fresh_stages(spark, root, PACKAGED, projects).withColumnRenamed("project_id", "source_id"))
     clips = read_stage(spark, root, "clip_plan", wanted=fresh.filter("stage = 'clip_plan'"))
     if clips is None:
         return
@@ -140,7 +185,8 @@ def run_missing_packaging(
         if kept is not None:
             rows = rows.unionByName(kept.join(touched, "source_id", "left_semi"))
         write_stage(rows, touched, root, "packaging", batch)
-    state = fresh_stages(spark, root, PACKAGED).withColumnRenamed("project_id", "source_id")
+    state = fresh_stages(spark, root, PACKAGED, projects).withColumnRenamed(
+        "project_id", "source_id")
     wanted = cut_lineage(
         state.filter("stage = 'packaging'").select("source_id").join(
             state.filter("stage = 'thumbnails'").select("source_id"), "source_id", "left_anti"))

@@ -17,7 +17,8 @@ from sparkreel.operators.planning import PlanningOptions
 from sparkreel.operators.providers import Responder
 from sparkreel.operators.segments import order_violations, with_text_flag
 from sparkreel.plans.incremental import (
-    ALL_STAGES, Scorer, run_missing_packaging, run_missing_stages,
+    ALL_STAGES, Scorer, close_finished, note_open, open_projects, run_missing_packaging,
+    run_missing_stages,
 )
 from sparkreel.plans.lineage import cut_lineage
 from sparkreel.schemas import VERSIONED_SEGMENTS
@@ -145,6 +146,7 @@ def take_in(
     write_rows(newest, root, TAKEN, batch)
     write_rows(waiting, root, HELD, batch)
     write_rows(flagged, root, "transcript", batch)
+    note_open(newest, root, f"batch={batch}")
     commit_projects(newest, root, "transcript", batch)
     commit_projects(newest, root, TAKEN, batch)
     commit_projects(touched, root, HELD, batch)
@@ -181,10 +183,17 @@ def run_incremental(
     def work(arrived: DataFrame, batch_id: int) -> None:
         session = arrived.sparkSession
         take_in(session, arrived, root, batch_id)
-        if scorer is not None:
-            run_missing_stages(session, root, scorer, discovery=discovery, planning=planning)
+        if scorer is None:
+            return
+        todo = open_projects(session, root)
+        if todo is None:
+            return
+        todo = cut_lineage(todo)
+        run_missing_stages(
+            session, root, scorer, discovery=discovery, planning=planning, projects=todo)
         if packager is not None:
-            run_missing_packaging(session, root, packager, sources)
+            run_missing_packaging(session, root, packager, sources, todo)
+        close_finished(session, root, packager is not None, batch_id)
 
     rows = spark.readStream
     if files_per_batch is not None:

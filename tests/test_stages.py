@@ -8,12 +8,13 @@ import random
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkreel.operators import providers, responses
 from sparkreel.plans import incremental, stages
 from sparkreel.schemas import CLIPS, SEGMENTS, VERSIONED_SEGMENTS
-from sparkreel.sources import documents, manifests, stage_tables
+from sparkreel.sources import documents, files, manifests, stage_tables
 from sparkreel.streaming import intake
 from sparkreel.streaming.intake import run_incremental
 
@@ -121,6 +122,123 @@ def test_newer_batch_replaces_whole_projects(spark, tmp_path):
     assert stage_tables.next_batch(spark, root, ["s", "none"]) == 4
 
 
+def numbers(spark, *values):
+    return spark.createDataFrame(list(values), "source_id bigint, v int")
+
+
+def test_many_batches_leave_few_runs(spark, tmp_path, monkeypatch):
+    """Merged runs give what all batches gave; old folders go once no reader needs them."""
+    monkeypatch.setattr(stage_tables, "FAN", 3)
+    merge = stage_tables.merge_runs
+    monkeypatch.setattr(
+        stage_tables, "merge_runs", lambda s, r, n, k: merge(s, r, n, k, fan=3))
+    root, want, active = str(tmp_path), {}, []
+    reader = None
+    for batch in range(14):
+        keys = [batch % 5, 10 + batch]
+        rows = [(k, batch * 10 + i) for k in keys for i in range(2)]
+        if batch == 9:
+            rows = rows[:2]  # the second project ends up empty
+        stage_tables.write_stage(
+            numbers(spark, *rows), numbers(spark, *[(k, 0) for k in keys]), root, "s", batch)
+        want |= {k: sorted(v for key, v in rows if key == k) for k in keys}
+        active.append(len(stage_tables._newest(spark, root, "s")[1]["runs"]))
+        if batch == 6:
+            reader = stage_tables.read_stage(spark, root, "s"), dict(want)
+    found = {k: [] for k in want}
+    for row in stage_tables.read_stage(spark, root, "s").collect():
+        found[row.source_id].append(row.v)
+    assert {k: sorted(v) for k, v in found.items()} == want
+    # A reader that began before the later merges still sees what it saw.
+    seen = {k: [] for k in reader[1]}
+    for row in reader[0].collect():
+        seen[row.source_id].append(row.v)
+    assert {k: sorted(v) for k, v in seen.items()} == reader[1]
+    assert max(active) <= 6 and stage_tables.next_batch(spark, root, ["s"]) == 14
+    stage_tables.remove_superseded(spark, root, "s", retain_seconds=3600)
+    assert len(files.names(spark, f"{root}/s/rows")) > 14
+    stage_tables.remove_superseded(spark, root, "s", retain_seconds=-1)
+    assert len(files.names(spark, f"{root}/s/rows")) == active[-1]
+    assert len(files.names(spark, f"{root}/s/manifest")) <= 2  # with its checksum
+    wanted = spark.createDataFrame([(3,), (19,)], "source_id bigint")
+    rows = stage_tables.read_stage(spark, root, "s", wanted=wanted)
+    assert sorted(r.v for r in rows.collect()) == want[3]
+    newest = {r.source_id: r.batch for r in
+              stage_tables.committed_projects(spark, root, "s").collect()}
+    assert newest[19] == 9 and newest[3] == 13 and len(newest) == len(want)
+
+
+def test_a_merge_cut_short_loses_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    for batch in range(4):
+        stage_tables.write_stage(numbers(spark, (batch, batch)), numbers(spark, (batch, 0)),
+                                 root, "s", batch)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(stage_tables, "_publish", killed)
+    with pytest.raises(RuntimeError):
+        stage_tables.merge_runs(spark, root, "s", fan=4)
+    monkeypatch.undo()
+    rows = stage_tables.read_stage(spark, root, "s").collect()
+    assert sorted(r.v for r in rows) == [0, 1, 2, 3]
+    assert stage_tables.merge_runs(spark, root, "s", fan=4)
+    assert not stage_tables.merge_runs(spark, root, "s", fan=4)
+    rows = stage_tables.read_stage(spark, root, "s").collect()
+    assert sorted(r.v for r in rows) == [0, 1, 2, 3]
+    with pytest.raises(FileExistsError):
+        files.publish_text(spark, f"{root}/s/manifest/{0:012d}.json", "{}")
+
+
+def test_merged_stage_without_rows(spark, tmp_path):
+    root = str(tmp_path)
+    for batch in range(2):
+        stage_tables.write_stage(numbers(spark, (1, 5)).limit(0), numbers(spark, (1, 0)),
+                                 root, "s", batch)
+    assert stage_tables.merge_runs(spark, root, "s", fan=2)
+    rows = stage_tables.read_stage(spark, root, "s")
+    assert rows.count() == 0 and set(rows.columns) == {"source_id", "v"}
+
+
+def test_runs_look_at_open_projects_only(spark, tmp_path, monkeypatch):
+    """Unfinished projects are taken up again; finished ones are not looked at."""
+    looked = []
+    inner = incremental.fresh_stages
+
+    def watched(spark, root, chain=None, wanted=None):
+        looked.append({r.source_id for r in wanted.collect()})
+        return inner(spark, root, chain, wanted)
+
+    monkeypatch.setattr(incremental, "fresh_stages", watched)
+    answered = {1}
+
+    def scorer(candidates):
+        return candidates.filter(F.col("source_id").isin(sorted(answered))).selectExpr(
+            "source_id", "candidate_id AS eval_pos", "candidate_id", "9.0D AS score",
+            "'' AS reason", "CAST(NULL AS STRING) AS suggested_title")
+
+    def run(source):
+        spark.createDataFrame(
+            [(source, i, i * 9000, i * 9000 + 8000, f"t {i}") for i in range(10)],
+            SEGMENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        looked.clear()
+        intake.run_incremental(spark, f"{tmp_path}/in", f"{tmp_path}/out", scorer)
+        clips = stage_tables.read_stage(spark, f"{tmp_path}/out", "clip_plan")
+        return {r.source_id for r in clips.collect()}, set().union(*looked)
+
+    assert run(1) == ({1}, {1})
+    assert run(2) == ({1}, {2})
+    answered.update({2, 3})
+    assert run(3) == ({1, 2, 3}, {2, 3})
+    assert open_left(spark, f"{tmp_path}/out") == set()
+
+
+def open_left(spark, root):
+    left = incremental.open_projects(spark, root)
+    return set() if left is None else {r.source_id for r in left.collect()}
+
+
 def test_incremental_run_does_each_project_once(spark, tmp_path):
     calls = []
 
