@@ -13,7 +13,7 @@ from sparkreel.operators.candidates import BATCH_SIZE, batch_number, evaluation_
 from sparkreel.operators.catalog import packaging_title, scoring_title
 from sparkreel.operators.responses import (
     TEXT_FIELDS, as_text, clip_transcripts, field, last_key_wins, packaging_errors,
-    parse_evaluations,
+    parse_evaluations, whole_document,
 )
 from sparkreel.plans.lineage import cut_lineage
 
@@ -145,7 +145,7 @@ def package_requests(clips: DataFrame, content: DataFrame, sources: DataFrame) -
 def read_packaging_responses(responses: DataFrame) -> DataFrame:
     """Valid responses as packaging rows; invalid ones carry ``errors`` and no values."""
     last_key_wins(responses.sparkSession)
-    document = F.try_parse_json("raw")
+    document = whole_document(F.col("raw"))
     checked = responses.withColumn("errors", packaging_errors(F.col("raw")))
     valid = F.size("errors") == 0
     return checked.select(

@@ -40,10 +40,26 @@ def last_key_wins(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def whole_document(raw: Column) -> Column:
+    """The JSON value that a text consists of, NULL if it is none or anything stands behind it.
+
+    The parser stops after the first value, so the text is read inside brackets, where more than
+    one value shows, and under a name, where closing the brackets early does not help.
+    """
+    inside = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    return F.when(F.size(inside) == 1, F.try_variant_get(named, "$.v", "variant"))
+
+
+# No shorter text fills a parsed value or holds a string beyond the parser's limit.
+LARGE_BYTES = 1 << 24
+
+
 def parse_error(raw: Column) -> Column:
     """Why text did not become a document: too large for one value, or no JSON at all."""
-    valid = F.get_json_object(raw, "$").isNotNull()
-    return F.when(valid, "document too large").otherwise("invalid JSON")
+    large = (F.octet_length(raw) >= LARGE_BYTES) & F.get_json_object(raw, "$").isNotNull()
+    return F.when(large, "document too large").otherwise("invalid JSON")
 
 
 def field(document: Column, name: str, kind: str) -> Column:
@@ -91,7 +107,7 @@ def parse_evaluations(responses: DataFrame) -> DataFrame:
     """
     last_key_wins(responses.sparkSession)
     kept = [name for name in responses.columns if name != "raw"]
-    parsed = responses.withColumn("document", F.try_parse_json("raw")).withColumn(
+    parsed = responses.withColumn("document", whole_document(F.col("raw"))).withColumn(
         "items", _items(F.col("document"))
     )
     wrong = F.filter(F.transform("items", _item_error), lambda error: error.isNotNull())
@@ -144,7 +160,7 @@ def packaging_errors(raw: Column) -> Column:
     """Everything wrong with a packaging response; an empty array means valid."""
     # Bound to a lambda variable, the document is parsed once for all the checks.
     return F.transform(
-        F.array(F.try_parse_json(raw)),
+        F.array(whole_document(raw)),
         lambda document: _packaging_errors(document, missing_fields(raw)),
     )[0]
 
@@ -208,7 +224,7 @@ def invalid_packaging(stored: DataFrame) -> DataFrame:
     """Stored packaging (``raw``) that has to be made again, with the reason."""
     last_key_wins(stored.sparkSession)
     return stored.withColumn(
-        "error", stored_packaging_error(F.try_parse_json("raw"))
+        "error", stored_packaging_error(whole_document(F.col("raw")))
     ).filter(F.col("error").isNotNull()).drop("raw")
 
 

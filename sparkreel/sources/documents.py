@@ -18,7 +18,8 @@ from sparkreel.functions import timing
 from sparkreel.functions.identity import source_identity
 from sparkreel.functions.text import strip
 from sparkreel.operators.responses import (
-    TEXT_FIELDS, as_text, field, kind_of, last_key_wins, parse_error, stored_packaging_error,
+    LARGE_BYTES, TEXT_FIELDS, as_text, field, kind_of, last_key_wins, parse_error,
+    stored_packaging_error, whole_document,
 )
 from sparkreel.operators.segments import number_rows
 
@@ -45,8 +46,6 @@ BESIDE_ITEMS = (
     "source", "duration", "language", "total_candidates", "source_type", "location", "clip_id",
     *TEXT_FIELDS, "hashtags",
 )
-# No shorter text fills a parsed value or holds a string beyond the parser's limit.
-LARGE_BYTES = 1 << 24
 # JSON as strict as that of whole values, strings of any length.
 IN_PARTS = {
     "columnNameOfCorruptRecord": "_broken", "maxStringLen": str(2**31 - 1),
@@ -74,7 +73,7 @@ def read_documents(spark: SparkSession, path: str, *, per_line: bool = False) ->
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("value").alias("raw"),
-            F.try_parse_json("value").alias("document"),
+            whole_document(F.col("value")).alias("document"),
         )
         .withColumn("in_parts", F.col("document").isNull() & (F.octet_length("raw") >= LARGE_BYTES))
         .withColumn("document", F.when(F.col("in_parts"), _beside_items(F.col("raw")))
@@ -93,7 +92,13 @@ def _beside_items(raw: Column) -> Column:
         present = F.filter(fields, lambda f: f["value"].isNotNull())
         return F.when(parts["_broken"].isNull(), F.to_variant_object(F.map_from_entries(present)))
 
-    return _once(F.from_json(raw, schema, IN_PARTS), put_together)
+    # A large text is held against the same two frames as a small one (see `whole_document`).
+    inside = F.from_json(
+        F.concat(F.lit("["), raw, F.lit("]")), "array<struct<_none string>>", IN_PARTS)
+    named = F.from_json(
+        F.concat(F.lit('{"v":'), raw, F.lit("}")), "_none string, _broken string", IN_PARTS)
+    alone = (F.size(inside) == 1) & named["_broken"].isNull()
+    return F.when(alone, _once(F.from_json(raw, schema, IN_PARTS), put_together))
 
 
 def _readable(value: Column, name: str) -> Column:

@@ -62,7 +62,9 @@ def test_documents_beyond_one_parsed_value(spark, tmp_path):
     text = json.dumps(whole, ensure_ascii=False)
     assert len(text) > 128 << 20
     bad = text.replace('"start": 3', '"start": "x"')
-    docs = stored(spark, tmp_path, text, text[:-1], bad)
+    tail = json.dumps({"source": SOURCE, "language": "en", "duration": 1, "segments": segments[1:2]})
+    assert len(tail) > documents.LARGE_BYTES
+    docs = stored(spark, tmp_path, text, text[:-1], bad, tail + " garbage", tail + "]", tail + tail)
     rows = documents.read_segments(docs).select(
         "project_id", "idx", "id", "start_ms", "end_ms", F.sha2("text", 256)).orderBy("idx").collect()
     sha = [hashlib.sha256(w.encode()).hexdigest() for w in (*words, "None")]
@@ -70,7 +72,7 @@ def test_documents_beyond_one_parsed_value(spark, tmp_path):
         ("p", i, s["id"], s["start"] * 1000, s["end"] * 1000, sha[k])
         for i, (s, k) in enumerate(zip(whole["segments"], (0, 1, 0, 1, 2, 0)))]
     errors = documents.corrupt_documents(docs, "transcript").select("error").collect()
-    assert sorted(r.error for r in errors) == ["bad segments.start", "invalid JSON"]
+    assert sorted(r.error for r in errors) == ["bad segments.start"] + ["invalid JSON"] * 4
 
 
 def test_packaging_round_trip(spark, tmp_path):
@@ -311,6 +313,38 @@ def test_one_bad_item_rejects_the_response(spark):
                    (3, "item is not an object", None, None, None)]
 
 
+# One value and something behind it, in every shape that a lenient reader takes.
+TRAILING = [
+    '[{"candidate_id":1,"score":5}] and some prose', '[{"candidate_id":1,"score":5}][1]',
+    '[{"candidate_id":1,"score":5}],[2]', '[{"candidate_id":1,"score":5}]]', '[] x', '[],"v":[]',
+    '[]],[[]', '[]},{"v":[]', "",
+]
+
+
+def test_text_behind_a_response_is_refused(spark):
+    rows = [(n, raw) for n, raw in enumerate(TRAILING)] + [
+        (100, ' \n[{"candidate_id":1,"score":5}]\t ')]
+    got = {r.source_id: r.error for r in responses.parse_evaluations(
+        spark.createDataFrame(rows, "source_id bigint, raw string")).collect()}
+    assert got == {n: "invalid JSON" for n in range(len(TRAILING))} | {100: None}
+    good = json.dumps({name: "x" for name in responses.TEXT_FIELDS} | {"hashtags": ["a"]})
+    rows = [(1, 1, good), (1, 2, good + " {}"), (1, 3, good + good), (1, 4, "null"), (1, 5, good + "}")]
+    table = spark.createDataFrame(rows, "source_id bigint, clip_id bigint, raw string")
+    found = {r.clip_id: r.errors for r in responses.validate_packaging(table).collect()}
+    assert found == {1: [], 2: ["invalid JSON"], 3: ["invalid JSON"], 4: ["not an object"],
+                     5: ["invalid JSON"]}
+    assert {r.clip_id for r in responses.invalid_packaging(table).collect()} >= {2, 3, 5}
+    read = providers.read_packaging_responses(table).filter("title IS NOT NULL").collect()
+    assert [r.clip_id for r in read] == [1]
+
+
+def test_text_behind_a_document_is_refused(spark, tmp_path):
+    whole = json.dumps({"source": SOURCE, "evaluations": []})
+    docs = stored(spark, tmp_path, whole, whole + " garbage", whole + "\n" + whole, whole + "]")
+    errors = documents.corrupt_documents(docs, "evaluations").collect()
+    assert [r.error for r in errors] == ["invalid JSON"] * 3
+
+
 def test_column_scorer(spark):
     content = spark.createDataFrame([(1, 1, 3.0), (1, 2, 30.0)],
                                     "source_id bigint, candidate_id bigint, s double")

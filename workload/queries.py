@@ -262,6 +262,46 @@ over(
     t.staged(_broken(manifests.transcript_documents(t.sources, t.segments))), "transcript"
 ).groupBy("error").agg(F.count(F.lit(1)).alias("documents")))
 
+# One JSON value or not, read from the raw text alone; the texts themselves are the strings in it.
+over(
+    "strict_documents",
+    """SELECT doc_id, json_valid(raw) AS valid FROM (
+         SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN j WHEN 1 THEN j || ' and some prose'
+                  WHEN 2 THEN j || j WHEN 3 THEN j || ',' || j WHEN 4 THEN j || '}'
+                  WHEN 5 THEN '  ' || j || chr(10) WHEN 6 THEN '[' || j || ']],[' || j
+                  WHEN 7 THEN substr(j, 1, length(j) - 1) ELSE '[' || j || ',' || j || ']' END AS raw
+         FROM (SELECT doc_id, CAST(json_object('text', text) AS VARCHAR) AS j FROM documents))""",
+)(lambda t: fx.table(t.spark, t.sf_dir, "documents").select(
+    "doc_id", F.to_json(F.struct("text")).alias("j")).selectExpr(
+    "doc_id", "CASE doc_id % 9 WHEN 0 THEN j WHEN 1 THEN j || ' and some prose' WHEN 2 THEN j || j"
+    " WHEN 3 THEN j || ',' || j WHEN 4 THEN j || '}' WHEN 5 THEN '  ' || j || char(10)"
+    " WHEN 6 THEN '[' || j || ']],[' || j WHEN 7 THEN substr(j, 1, length(j) - 1)"
+    " ELSE '[' || j || ',' || j || ']' END AS raw",
+).select("doc_id", response_ops.whole_document(F.col("raw")).isNotNull().alias("valid")))
+
+over(
+    "missing_artifacts",
+    """SELECT doc_id AS project_id, CASE WHEN l.doc_id IS NULL THEN 'artifact does not exist'
+              WHEN doc_id % 5 = 1 THEN 'invalid JSON' ELSE 'bad evaluations.score' END AS error
+       FROM documents LEFT JOIN (SELECT DISTINCT doc_id, true AS has FROM labels) l USING (doc_id)
+       WHERE has IS NULL OR doc_id % 5 IN (1, 2)""".replace("l.doc_id IS NULL", "has IS NULL"),
+)(lambda t: _absent_or_broken(t))
+
+
+def _absent_or_broken(t: Inputs) -> DataFrame:
+    """Evaluation documents of labelled projects, written and read back; some end too late."""
+    labels = fx.table(t.spark, t.sf_dir, "labels").select("doc_id").distinct()
+    every = fx.table(t.spark, t.sf_dir, "documents").select(F.col("doc_id").alias("project_id"))
+    written = labels.join(every.withColumnRenamed("project_id", "doc_id"), "doc_id").select(F.expr(
+        "concat('{\"source\":{\"source_type\":\"local\",\"location\":\"/v/', doc_id, '.mp4\"},',"
+        " '\"evaluations\":[{\"candidate_id\":', doc_id, ',\"score\":', IF(doc_id % 5 = 2, 'null', '7'), '}]}',"
+        " IF(doc_id % 5 = 1, ' end', ''))").alias("document"))
+    found = t.staged(written).withColumn(
+        "project_id", F.regexp_extract("raw", r"/v/(-?\d+)\.mp4", 1).cast("bigint"))
+    return docs.missing_documents(found, every).unionByName(
+        docs.corrupt_documents(found, "evaluations")).select("project_id", "error")
+
+
 over(
     "normalize_segments",
     "SELECT source_id, idx, start_ms, end_ms, text FROM segments",
