@@ -7,8 +7,9 @@ agree in a tile are candidates, and nothing else needs to be looked at. Candidat
 hashed bitmaps first (their common bits bound the overlap from above), then by intersecting the
 sorted arrays.
 
-Groups of thousands of near copies agree in the same tiles. Each tile first compares its members
-with its smallest one only; pairs that these links have not connected yet are compared afterwards.
+Groups of thousands of near copies agree in the same tiles. Each tile first pairs its members with
+its smallest one only, and each set is compared with the one it is paired with most often; pairs
+that these links have not connected yet are compared afterwards.
 So no link between components is lost, and a group costs as many comparisons as it has members.
 """
 
@@ -283,6 +284,15 @@ def _apart(members: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
     return apart
 
 
+def _apart_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that no path of links connects yet."""
+    of = found.groupBy("id").agg(F.min("component").alias("c"))
+    for end in ("a", "b"):
+        mine = of.select(F.col("id").alias(end), F.col("c").alias("c_" + end))
+        pairs = pairs.join(mine, end, "left").withColumn("c_" + end, F.coalesce("c_" + end, end))
+    return pairs.filter("c_a <> c_b").select("a", "b")
+
+
 def _across(
     both: DataFrame, picked: bool, num: int, den: int
 ) -> DataFrame:
@@ -324,20 +334,30 @@ def _linked_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     originals = docs.join(copied, docs["_key"] == copied["id"], "left_anti")
     met = store(_met(_keys(originals, size, num, den)))
     first = store(
-        met.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+        met.filter("id <> low").groupBy(F.col("low").alias("a"), F.col("id").alias("b"))
+        .agg(F.count("*").alias("tiles")))
     info = store(_info(sizes))
     left = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
     right = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
     possible = may_link(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), num, den)
-    likely = store(first.join(left, "a").join(right, "b").filter(possible).select("a", "b"))
+    likely = store(
+        first.join(left, "a").join(right, "b").filter(possible).select("a", "b", "tiles"))
     same = copies.select(F.col("id").alias("a"), F.col("low").alias("b"))
-    links = store(_linked(likely, docs, size, num, den).unionAll(same))
+    # Each set is compared with the one it shares most tiles with; that connects most of what can
+    # be. Pairs within a component then need no look at their sets.
+    best = store(
+        likely.groupBy("b").agg(F.max(F.struct("tiles", "a")).alias("one")).select("one.a", "b"))
+    links = store(_linked(best, docs, size, num, den).unionAll(same))
     found = components(links)
+    open_pairs = store(_apart_pairs(likely.join(best, ["a", "b"], "left_anti"), found))
+    if not open_pairs.isEmpty():
+        links = store(links.unionAll(_linked(open_pairs, docs, size, num, den)))
+        found = components(links)
 
     # Members of a tile that are still apart: first against a member picked at random in each tile,
     # which connects most of what can be, then across the components that are left, never within.
     members = met.select("key", F.col("id").alias("v"))
-    tested = first
+    tested = first.select("a", "b")
     for picked in (True, False):
         apart = _apart(members, found, info)
         pairs = _across(apart, picked, num, den)
@@ -347,7 +367,7 @@ def _linked_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             links = store(links.unionAll(_linked(rest, docs, size, num, den)))
             found = components(links)
             tested = tested.unionAll(rest)
-    discard(met, likely, first)
+    discard(met, likely, first, best, open_pairs)
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     return (
         sizes.select("_key", "doc_id", "n_shingles")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -41,11 +42,18 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes stored tables that nothing reads any more: what was made of them is stored itself."""
+    """Removes stored tables that nothing reads any more: what was made of them is stored itself.
+
+    Spark keeps the shuffle files of finished steps until their plans are collected as garbage on
+    the driver, which it may not need to do for hours; so that is asked for here as well.
+    """
     for rows in tables:
         path = getattr(rows, "stored_at", None)
         if path is not None:
             remove(rows.sparkSession, path)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 @contextmanager
