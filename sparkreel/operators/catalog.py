@@ -64,6 +64,15 @@ def output_paths(clips: DataFrame) -> DataFrame:
     )
 
 
+def document_paths(clips: DataFrame) -> DataFrame:
+    """Where the documents of a clip lie in an export: ``subtitle_path``, ``packaging_path``."""
+    project = F.concat(F.lit("project_id="), F.col("source_id").cast("string"), F.lit("/"))
+    subtitles = F.regexp_replace("file_path", r"\.mp4$", ".ass")
+    return output_paths(clips).select(
+        "source_id", "clip_id", F.concat(project, subtitles).alias("subtitle_path"),
+        F.concat(project, "packaging_path").alias("packaging_path"))
+
+
 def section_ranges(clips: DataFrame, sources: DataFrame) -> DataFrame:
     """The media ranges to fetch, one per clip, with the range expression of each."""
     start, end = (timing.seconds(F.col(name)) for name in ("start_ms", "end_ms"))

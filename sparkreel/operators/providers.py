@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,27 +14,76 @@ from sparkreel.functions import timing
 from sparkreel.operators.candidates import BATCH_SIZE, batch_number, evaluation_payloads
 from sparkreel.operators.catalog import packaging_title, scoring_title
 from sparkreel.operators.responses import (
-    TEXT_FIELDS, as_text, clip_transcripts, field, last_key_wins, packaging_errors,
-    parse_evaluations, whole_document,
+    TEXT_FIELDS, as_text, classify_failures, clip_transcripts, field, last_key_wins,
+    packaging_errors, parse_evaluations, whole_document,
 )
 from sparkreel.plans.lineage import cut_lineage
 
 Responder = Callable[[str, str], str]
+# Fixed value: how often a service is asked for one answer.
+ATTEMPTS = 3
 
 
 def _asking(
     respond: Responder, title: str, payload: str
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Runs a responder over the requests of a partition, one Arrow batch at a time."""
+    """Runs a responder over the requests of a partition, one Arrow batch at a time.
+
+    A batch is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``. A call that fails becomes
+    a row with the ``message`` of the failure.
+    """
+
+    def ask(t: str, p: str) -> tuple[str | None, str | None]:
+        try:
+            return respond(t, p), None
+        except Exception as error:  # whatever a service may raise is a row, not a lost task
+            return None, f"{type(error).__name__}: {error}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            raw = [respond(t, p) for t, p in zip(frame[title], frame[payload], strict=True)]
-            yield frame.drop(columns=[title, payload]).assign(raw=raw)
+            got = [ask(t, p) for t, p in zip(frame[title], frame[payload], strict=True)]
+            yield frame.drop(columns=[title, payload]).assign(
+                raw=pd.Series([raw for raw, _ in got], frame.index, dtype=object),
+                message=pd.Series([message for _, message in got], frame.index, dtype=object))
 
     return run
 
 
+@dataclass(frozen=True)
+class Asked:
+    """``answers``: keys and ``raw``; ``failed``: keys and ``message`` of requests that got no
+    answer; ``attempts``: every call, with its number and its ``message`` where it failed."""
+
+    answers: DataFrame
+    failed: DataFrame
+    attempts: DataFrame
+
+
+def ask(requests: DataFrame, responder: Responder, most: int = ATTEMPTS) -> Asked:
+    """Asks ``responder`` for every request (``title, payload`` beside its keys), inside the tasks.
+
+    Failures that may pass (see ``classify_failures``) are asked again, ``most`` times in all; each
+    round is stored before the next, so nobody is asked twice for an answer that has come.
+    """
+    keys = [name for name in requests.columns if name not in ("title", "payload")]
+    kinds = ", ".join(f"{name} {requests.schema[name].dataType.simpleString()}" for name in keys)
+    waiting, rounds = requests, []
+    for attempt in range(1, most + 1):
+        got = cut_lineage(waiting.mapInPandas(
+            _asking(responder, "title", "payload"), f"{kinds}, raw string, message string"))
+        rounds.append(got.withColumn("attempt", F.lit(attempt)))
+        again = classify_failures(got.filter("message IS NOT NULL")).filter("retryable").select(*keys)
+        if attempt == most or again.isEmpty():
+            break
+        waiting = requests.join(again, keys, "left_semi")
+    every = reduce(DataFrame.unionAll, rounds)
+    last = every.groupBy(*keys).agg(F.max_by("message", "attempt").alias("message"))
+    return Asked(
+        every.filter("message IS NULL").select(*keys, "raw"),
+        last.filter("message IS NOT NULL"),
+        every.select(*keys, "attempt", "message"))
+
+
 def score_requests(
     content: DataFrame, sources: DataFrame, batch_size: int = BATCH_SIZE
 ) -> DataFrame:
@@ -77,14 +128,12 @@ def score_candidates(
             along = Window.partitionBy("source_id").orderBy("raw")
             responses = responses.withColumn("batch", F.row_number().over(along).cast("bigint"))
         scope = ["source_id"]
+        responses, failed = cut_lineage(responses), None
     else:
-        responses = score_requests(content, sources, batch_size).mapInPandas(
-            _asking(scorer, "title", "payload"),
-            "source_id bigint, batch bigint, raw string",
-        )
+        asked = ask(score_requests(content, sources, batch_size), scorer)
+        responses, failed = asked.answers, asked.failed
         scope = ["source_id", "batch"]
-    # Stored, so that nobody is asked twice.
-    parsed = parse_evaluations(cut_lineage(responses))
+    parsed = parse_evaluations(responses)
     left_out = _left_out(content, parsed, scope, batch_size)
     along = Window.partitionBy("source_id").orderBy("batch", "item_pos")
     accepted = (
@@ -93,11 +142,20 @@ def score_candidates(
     refused = left_out.join(parsed.filter("error IS NULL").select(*scope).distinct(), scope)
     names = ["source_id", "eval_pos", "candidate_id", "score", "reason", "suggested_title", "error"]
     nothing = F.lit(None)
-    return accepted.select(*names).unionByName(refused.select(
-        "source_id", nothing.cast("bigint").alias("eval_pos"),
-        nothing.cast("bigint").alias("candidate_id"), nothing.cast("double").alias("score"),
-        nothing.cast("string").alias("reason"), nothing.cast("string").alias("suggested_title"),
-        F.concat(F.lit("missing candidate ids: "), "ids").alias("error")))
+
+    def without_values(rows: DataFrame, error: Column) -> DataFrame:
+        return rows.select(
+            "source_id", nothing.cast("bigint").alias("eval_pos"),
+            nothing.cast("bigint").alias("candidate_id"), nothing.cast("double").alias("score"),
+            nothing.cast("string").alias("reason"),
+            nothing.cast("string").alias("suggested_title"), error.alias("error"))
+
+    found = accepted.select(*names).unionByName(
+        without_values(refused, F.concat(F.lit("missing candidate ids: "), "ids")))
+    if failed is None:
+        return found
+    return found.unionByName(
+        without_values(failed, F.concat(F.lit("no answer: "), "message")))
 
 
 def _left_out(
@@ -166,13 +224,16 @@ def package_clips(
     per_request: bool = True,
 ) -> DataFrame:
     """Publishing metadata of clips: a responder per clip, or (``per_request=False``) a function
-    from requests to ``source_id, clip_id, raw``."""
+    from requests to ``source_id, clip_id, raw``.
+
+    Answers are stored before they are read. What was refused or never answered is a row with
+    ``errors`` and without values.
+    """
     requests = package_requests(clips, content, sources)
     if not per_request:
-        return read_packaging_responses(packager(requests))
-    return read_packaging_responses(
-        requests.mapInPandas(
-            _asking(packager, "title", "payload"),
-            "source_id bigint, clip_id bigint, raw string",
-        )
-    )
+        return read_packaging_responses(cut_lineage(packager(requests)))
+    asked = ask(requests, packager)
+    read = read_packaging_responses(asked.answers)
+    failed = asked.failed.select(
+        "source_id", "clip_id", F.array(F.concat(F.lit("no answer: "), "message")).alias("errors"))
+    return read.unionByName(failed, allowMissingColumns=True)

@@ -25,6 +25,8 @@ STAGES = ["transcript", "candidates", "evaluations", "clip_plan", "captions"]
 # Packaging follows the clip plan, beside captions.
 PACKAGED = [*STAGES[:4], "packaging", "thumbnails"]
 ALL_STAGES = [*STAGES, *PACKAGED[4:]]
+# Clips without packaging and why.
+REFUSED = "packaging_refused"
 # Where projects with work to do are noted, so that a run need not look at all the others.
 OPEN = "_open"
 Scorer = Callable[[DataFrame], DataFrame]
@@ -123,7 +125,7 @@ def open_projects(spark: SparkSession, root: str) -> DataFrame | None:
     folders = [f"{root}/{OPEN}/{name}" for name in files.names(spark, f"{root}/{OPEN}")]
     if not folders:
         return None
-    return spark.read.schema("source_id BIGINT").parquet(*folders).distinct()
+    return spark.read.parquet(*folders).distinct()
 
 
 def note_open(projects: DataFrame, root: str, name: str) -> None:
@@ -180,8 +182,13 @@ def run_missing_packaging(
         with_text = clip_transcripts(clips.join(due, ["source_id", "clip_id"], "left_semi"), content)
         due = with_text.filter("error IS NULL").select("source_id", "clip_id")
         asked = clips.join(due, ["source_id", "clip_id"], "left_semi")
-        rows = package_clips(asked, content, packager, sources).filter(
-            F.size("errors") == 0).drop("errors")
+        answered = cut_lineage(package_clips(asked, content, packager, sources))
+        refused = answered.filter(F.size("errors") > 0).select("source_id", "clip_id", "errors")
+        silent = with_text.filter("error IS NOT NULL").select(
+            "source_id", "clip_id", F.array("error").alias("errors"))
+        # Every refusal is a row, with its reasons; a later run replaces them.
+        write_stage(refused.unionByName(silent), touched, root, REFUSED, batch)
+        rows = answered.filter(F.size("errors") == 0).drop("errors")
         if kept is not None:
             rows = rows.unionByName(kept.join(touched, "source_id", "left_semi"))
         write_stage(rows, touched, root, "packaging", batch)

@@ -19,7 +19,7 @@ from sparkreel.operators import segments as segment_ops
 from sparkreel.plans import stages as stage_ops
 from sparkreel.plans.lineage import shared_folder
 from sparkreel.sources import documents as docs
-from sparkreel.sources import manifests, stage_tables
+from sparkreel.sources import keyed_files, manifests, stage_tables
 from sparkreel.streaming.intake import run_incremental
 from workload import fixtures as fx
 from workload.oracle import ass_time, cs, near_dup, safe_name, sql
@@ -589,6 +589,30 @@ over(
           AS document
         FROM clips c LEFT JOIN captions k USING (source_id, clip_id) GROUP BY 1, 2""",
 )(lambda t: caption_ops.subtitle_documents(t.clips, t.captions))
+over(
+    "subtitle_files",
+    f"""SELECT 'project_id=' || o.source_id || '/' || replace(o.file_path, '.mp4', '.ass') AS path,
+               sha256(document) AS document_sha256
+        FROM outputs o JOIN (
+          SELECT c.source_id, c.clip_id, '{TOP}' || coalesce(string_agg(
+            'Dialogue: 0,' || {ass_time('start_time')} || ',' || {ass_time('end_time')}
+            || ',Default,,0,0,0,,' || {ESCAPED} || chr(10), '' ORDER BY idx, chunk_idx), '')
+            AS document
+          FROM clips c LEFT JOIN captions k USING (source_id, clip_id) GROUP BY 1, 2)
+          USING (source_id, clip_id)""",
+)(lambda t: _subtitle_files(t))
+
+
+def _subtitle_files(t: Inputs) -> DataFrame:
+    """Subtitles written as one file per clip and read back."""
+    root = t.folder()
+    rows = caption_ops.subtitle_documents(t.clips, t.captions).join(
+        catalog.document_paths(t.clips), ["source_id", "clip_id"])
+    keyed_files.write_files(rows.select(F.col("subtitle_path").alias("path"), "document"), root)
+    return keyed_files.read_files(t.spark, root).select(
+        "path", F.sha2("document", 256).alias("document_sha256"))
+
+
 over(
     "returned_ids",
     """SELECT source_id, (response_candidate_id - 1) // 40 + 1 AS batch,
