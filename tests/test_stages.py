@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkreel.operators import providers, responses
+from sparkreel.operators import batches, providers, responses
 from sparkreel.plans import incremental, stages
 from sparkreel.schemas import CLIPS, SEGMENTS, VERSIONED_SEGMENTS
 from sparkreel.sources import documents, files, manifests, stage_tables
@@ -241,6 +241,22 @@ def open_left(spark, root):
     return set() if left is None else {r.source_id for r in left.collect()}
 
 
+def test_deliveries_in_any_order(spark, tmp_path):
+    rng = random.Random(8)
+    sent = [[(1, c, n, float(rng.randrange(10))) for c in rng.sample(range(6), 3)] for n in range(5)]
+    want = {c: (n, score) for rows in sent for _, c, n, score in rows}
+    kind = "source_id bigint, candidate_id bigint, sent bigint, score double"
+    for trial in range(2):
+        order = sent + [sent[1], [(2, None, 9, 1.0)]]
+        rng.shuffle(order)
+        root = f"{tmp_path}/{trial}"
+        for rows in order:
+            batches.merge_into_stage(spark, root, "e", spark.createDataFrame(rows, kind))
+        found = stage_tables.read_stage(spark, root, "e").collect()
+        assert {r.candidate_id: (r.sent, r.score) for r in found} == want
+        assert len(found) == len(want)
+
+
 def test_incremental_run_does_each_project_once(spark, tmp_path):
     calls = []
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
 from sparkreel.functions.text import escape_dialogue, safe_filename
+from sparkreel.operators import batches
 from sparkreel.operators import candidates as content_ops
 from sparkreel.operators import captions as caption_ops
 from sparkreel.operators import catalog, discovery, planning, providers, thumbnails
@@ -743,6 +744,29 @@ over("union_origins", "SELECT source_id, candidate_id, origin, start_ms, end_ms
         .select("source_id", "candidate_id", "origin", "start_ms", "end_ms")
         for origin in ("chain", "tail", "whole")]))
 
+over(
+    "merged_batches",
+    """SELECT source_id, candidate_id, sent, CASE WHEN sent = 2 THEN 10 - score ELSE score END AS score,
+              row_number() OVER (PARTITION BY source_id ORDER BY candidate_id) AS eval_pos
+       FROM (SELECT *, CASE WHEN candidate_id % 5 = 0 THEN 3 WHEN candidate_id % 2 = 0 THEN 2
+                            WHEN candidate_id % 3 <> 0 THEN 1 END AS sent FROM evaluations)
+       WHERE sent IS NOT NULL""",
+)(lambda t: _merged_batches(t))
+
+
+def _merged_batches(t: Inputs) -> DataFrame:
+    """Deliveries in part, out of order and one of them twice, merged into a stage table."""
+    root = t.folder()
+    deliveries = {
+        1: ("candidate_id % 3 <> 0", "score"), 2: ("candidate_id % 2 = 0", "10 - score"),
+        3: ("candidate_id % 5 = 0", "score")}
+    for sent in (2, 1, 3, 1):
+        which, score = deliveries[sent]
+        batches.merge_into_stage(t.spark, root, "evaluations", t.evaluations.filter(which).selectExpr(
+            "source_id", "candidate_id", f"CAST({sent} AS BIGINT) AS sent", f"{score} AS score"))
+    return batches.numbered(stage_tables.read_stage(t.spark, root, "evaluations"))
+
+
 # ---- scalars and validation -------------------------------------------------------------------
 
 over(
