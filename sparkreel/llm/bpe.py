@@ -14,10 +14,10 @@ import json
 import numpy as np
 import regex
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 CACHE_BITS = 20
 POOL_IDS = 1 << 23
-POOL_CHARS = 1 << 23
+POOL_CHARS = 1 << 22
 NEVER = np.int32(2**31 - 1)
 
 SPACE, LETTER, NUMBER, OTHER, GAP = 0, 1, 2, 3, 4
