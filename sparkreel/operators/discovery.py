@@ -387,44 +387,41 @@ def tail_bounds(
     """Window over what follows a covered time: ``covered(source_id, covered_ms)``.
 
     Starts at the first segment at or after that time and ends with the last segment that stays
-    within ``max_ms``; no row where even the first segment is too long. Located through the index
-    of runs, then read from one run and from the time buckets of the window.
+    within ``max_ms``; no row where even the first segment is too long. The index tells the run of
+    the first segment and how far the window can reach, so one scan reads the few runs of it.
     """
     index = segment_index(segments) if index is None else index
-    timed = _timed(segments)
-    run = F.floor(F.col("idx") / INDEX_RUN)
-    first_run = (
-        index.select("source_id", "run", "latest_start_ms")
-        .join(covered.select("source_id", "covered_ms"), "source_id")
+    runs = index.select("source_id", "run", "first_start_ms", "latest_start_ms")
+    first = (
+        runs.join(covered.select("source_id", "covered_ms"), "source_id")
         .filter(F.col("latest_start_ms") >= F.col("covered_ms"))
         .groupBy("source_id")
-        .agg(F.min("run").alias("run"), F.first("covered_ms").alias("covered_ms"))
-    )
-    starts = (
-        timed.select("source_id", run.alias("run"), "idx", "start_ms")
-        .join(first_run, ["source_id", "run"])
-        .filter(F.col("start_ms") >= F.col("covered_ms"))
-        .groupBy("source_id")
-        .agg(
-            F.min("idx").alias("tail_idx"), F.min_by("start_ms", "idx").alias("tail_start_ms")
-        )
-    )
-    bucket = F.floor(F.col("tail_start_ms") / max_ms)
-    probes = starts.withColumn("bucket", F.explode(F.sequence(bucket, bucket + 1)))
+        .agg(F.min(F.struct("run", "latest_start_ms")).alias("first"),
+             F.first("covered_ms").alias("covered_ms"))
+    )
+    # A window starts at the latest start of its first run or before, and no end precedes its start.
+    wanted = (
+        runs.join(first, "source_id")
+        .filter((F.col("run") == F.col("first.run")) | (F.col("run") > F.col("first.run")) & (
+            F.col("first_start_ms") <= F.col("first.latest_start_ms") + max_ms))
+        .select("source_id", "run", "covered_ms", (F.col("run") == F.col("first.run")).alias("opens"))
+    )
+    rows = _timed(segments).withColumn("run", F.floor(F.col("idx") / INDEX_RUN)).join(
+        wanted, ["source_id", "run"])
+    may_open = F.col("opens") & (F.col("start_ms") >= F.col("covered_ms"))
+    opening = F.min(F.when(may_open, F.struct("idx", "start_ms"))).over(
+        Window.partitionBy("source_id"))
     return (
-        timed.withColumn("bucket", F.floor(F.col("end_ms") / max_ms))
-        .join(probes, ["source_id", "bucket"])
-        .filter(
-            (F.col("idx") >= F.col("tail_idx"))
-            & (F.col("end_ms") - F.col("tail_start_ms") <= max_ms)
-        )
-        .groupBy("source_id", "tail_idx", "tail_start_ms")
+        rows.withColumn("tail", opening)
+        .filter((F.col("idx") >= F.col("tail.idx"))
+                & (F.col("end_ms") - F.col("tail.start_ms") <= max_ms))
+        .groupBy("source_id", F.col("tail.idx").alias("start_idx"),
+                 F.col("tail.start_ms").alias("start_ms"))
         .agg(
             F.max("idx").alias("end_idx"),
             F.max_by("end_ms", "idx").alias("end_ms"),
             F.bool_or("has_text").alias("has_text"),
         )
-        .withColumnsRenamed({"tail_idx": "start_idx", "tail_start_ms": "start_ms"})
     )
 
 
@@ -438,7 +435,8 @@ def discover_candidates(
     without any text has no row (see ``unusable_transcripts``). Starts and chains are computed when
     this is called and kept in the shared folder.
     """
-    index = segment_index(segments)
+    # One row per run, read by the chain and by the tails.
+    index = cut_lineage(segment_index(segments))
     empty = F.array().cast(f"array<{_WINDOW}>")
     # Both the tails and the result read the chain; it is walked once.
     chained = cut_lineage(

@@ -80,6 +80,8 @@ def as_text(document: Column, name: str, default: str | None = None) -> Column:
         F.when(kind.isNull(), F.lit(default))
         .when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(value))
+        # A number written with a point keeps it, as in 5.0.
+        .when(kind.startswith("DECIMAL") & ~value.contains("."), F.concat(value, F.lit(".0")))
         .otherwise(value)
     )
 
@@ -138,6 +140,12 @@ def parse_evaluations(responses: DataFrame) -> DataFrame:
     )
 
 
+def returned_ids(evaluations: DataFrame, batch: Column) -> DataFrame:
+    """``source_id, batch, ids``: the distinct ids that came back in each batch, in order."""
+    return evaluations.groupBy("source_id", batch.alias("batch")).agg(
+        F.sort_array(F.collect_set("candidate_id")).alias("ids"))
+
+
 def incomplete_batches(
     candidates: DataFrame, evaluations: DataFrame, batch_size: int = 40
 ) -> DataFrame:

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkreel.operators import catalog, providers, responses
-from sparkreel.schemas import CLIPS
+from sparkreel.schemas import CLIPS, SEGMENTS, VERSIONED_SEGMENTS
 from sparkreel.sources import documents, files, keyed_files, manifests, stage_tables
 from sparkreel.plans import incremental
+from sparkreel.streaming import intake
 
 
 def rows(spark, *pairs):
@@ -169,3 +170,25 @@ def test_refused_packaging_is_a_row(spark, tmp_path):
                        4: ["candidate has no text"]}
     assert [r.clip_id for r in stage_tables.read_stage(spark, root, "packaging").collect()] == [1]
     assert calls(f"{tmp_path}/log", (1, 2, 3)) == {1: 1, 2: 1, 3: 3}
+
+
+def test_named_projects_through_a_run(spark, tmp_path):
+    """Project names as keys from incoming files to packaging, by the same stages."""
+    named = SEGMENTS.replace("source_id BIGINT", "source_id STRING")
+    table = [("youtube_abc", i, i * 9000, i * 9000 + 8000, f"t {i}") for i in range(10)]
+    spark.createDataFrame(table, named).coalesce(1).write.parquet(f"{tmp_path}/in")
+    sources = spark.createDataFrame(
+        [("youtube_abc", "A", "x")], "source_id string, title string, location string")
+
+    def scorer(candidates):
+        return providers.score_candidates(candidates, F.lit(9.0)).drop("error")
+
+    def packager(title, payload):
+        return json.dumps({n: "x" for n in responses.TEXT_FIELDS} | {"hashtags": []})
+
+    intake.run_incremental(
+        spark, f"{tmp_path}/in", f"{tmp_path}/out", scorer, packager=packager, sources=sources,
+        schema=VERSIONED_SEGMENTS.replace("source_id BIGINT", "source_id STRING"))
+    for stage in ("clip_plan", "captions", "packaging", "thumbnails"):
+        found = stage_tables.read_stage(spark, f"{tmp_path}/out", stage)
+        assert {r.source_id for r in found.collect()} == {"youtube_abc"}, stage

@@ -319,14 +319,17 @@ def test_packaging_errors(spark):
 
 def test_one_bad_item_rejects_the_response(spark):
     rows = [(1, '[{"candidate_id": 1, "score": 3.5}, {"candidate_id": 2, "score": 12}]'),
-            (2, '[{"candidate_id": "7", "score": "7.5", "reason": null}]'), (3, '["x"]')]
+            (2, '[{"candidate_id": "7", "score": "7.5", "reason": null}]'), (3, '["x"]'),
+            (4, '[{"candidate_id": 8, "score": 1, "reason": 5.0}]'),
+            (5, '[{"candidate_id": 9, "score": 1, "reason": 5}]')]
     got = sorted(
         ((r.source_id, r.error, r.candidate_id, r.score, r.reason) for r in
          responses.parse_evaluations(
              spark.createDataFrame(rows, "source_id bigint, raw string")).collect()),
         key=str)
     assert got == [(1, "score out of range", None, None, None), (2, None, 7, 7.5, "None"),
-                   (3, "item is not an object", None, None, None)]
+                   (3, "item is not an object", None, None, None), (4, None, 8, 1.0, "5.0"),
+                   (5, None, 9, 1.0, "5")]
 
 
 # One value and something behind it, in every shape that a lenient reader takes.

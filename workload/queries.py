@@ -619,10 +619,9 @@ over(
     """SELECT source_id, (response_candidate_id - 1) // 40 + 1 AS batch,
               array_to_string(list_sort(list(DISTINCT candidate_id)), ',') AS ids
        FROM parsed WHERE error IS NULL GROUP BY 1, 2""",
-)(lambda t: _scored(t).groupBy(
-    "source_id",
-    (F.floor((F.col("response_candidate_id") - 1) / 40) + 1).cast("bigint").alias("batch"),
-).agg(as_lines(F.sort_array(F.collect_set("candidate_id"))).alias("ids")))
+)(lambda t: response_ops.returned_ids(
+    _scored(t), (F.floor((F.col("response_candidate_id") - 1) / 40) + 1).cast("bigint"),
+).select("source_id", "batch", as_lines(F.col("ids")).alias("ids")))
 over(
     "run_summary",
     """SELECT s.source_id, count(o.clip_id) AS clips, coalesce(string_agg(
