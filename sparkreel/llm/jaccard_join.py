@@ -31,6 +31,7 @@ from sparkreel.llm.words import scramble, shingles, words_of
 
 BITS = 1024
 BROADCAST_IDS = 500_000
+PER_PART = 256
 U = np.uint64
 
 
@@ -192,27 +193,37 @@ def _met(keys: DataFrame) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``id, members``: sorted hashes of the wanted documents."""
+    """``id, members``: sorted hashes of the wanted documents, which ``docs`` lists once."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["id", "n", "name_a", "name_b", "members"]
         for batch in batches:
-            rows = []
+            ids, sets = [], []
             for i, members in _sets(batch, size):
-                rows.append((batch["_key"].iloc[i], *_names(members), members.tobytes()))
-                if len(rows) == 500:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                ids.append(batch["_key"].iloc[i])
+                sets.append(members.tobytes())
+                if len(ids) == 100:
+                    yield pd.DataFrame({"id": ids, "members": sets})
+                    ids, sets = [], []
+            if ids:
+                yield pd.DataFrame({"id": ids, "members": sets})
 
-    # Rows that share a key hold the same text; one of them is enough, here as in `_info`.
     return (
         docs.select("_key", "text")
         .join(small(wanted, BROADCAST_IDS), F.col("_key") == wanted["id"], "left_semi")
-        .mapInPandas(fetch, "id long, n long, name_a long, name_b long, members binary")
-        .groupBy("id").agg(F.min(F.struct("n", "name_a", "name_b", "members")).alias("one"))
-        .select("id", "one.members")
-    )
+        .mapInPandas(fetch, "id long, members binary"))
+
+
+def _listed_once(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``docs`` with one row for each key; rows that share a key hold the same text."""
+    again = store(
+        sizes.groupBy(F.col("_key").alias("id")).agg(F.count("*").alias("n")).filter("n > 1"))
+    if again.isEmpty():
+        return docs
+    several = small(again.select("id"), BROADCAST_IDS)
+    same = docs["_key"] == several["id"]
+    return store(
+        docs.join(several, same, "left_anti").unionByName(
+            docs.join(several, same, "left_semi").dropDuplicates(["_key"])))
 
 
 def _info(sizes: DataFrame) -> DataFrame:
@@ -239,28 +250,61 @@ def may_link(
         & (size_a * den >= size_b * num) & (size_b * den >= size_a * num))
 
 
+def _turned(pairs: DataFrame) -> DataFrame:
+    """``centre, part, other``: the pairs ``a, b``, dealt by the end that more of them share.
+
+    A centre's pairs go to parts of about ``PER_PART``, so that none is too large for a task.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    degree = store(ends.groupBy("id").agg(F.count("*").alias("n")))
+    for end in ("a", "b"):
+        pairs = pairs.join(
+            degree.select(F.col("id").alias(end), F.col("n").alias("n_" + end)), end)
+    parts = F.floor(F.greatest("n_a", "n_b") / PER_PART) + 1
+    turned = store(
+        pairs.withColumn("centre", F.when(F.col("n_b") > F.col("n_a"), F.col("b")).otherwise(F.col("a")))
+        .withColumn("other", F.when(F.col("n_b") > F.col("n_a"), F.col("a")).otherwise(F.col("b")))
+        .select("centre", F.pmod(F.xxhash64("other"), parts).alias("part"), "other"))
+    discard(degree)
+    return turned
+
+
 def _linked(
     pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int
 ) -> DataFrame:
-    """The pairs ``a, b`` that are linked, by intersecting the sorted arrays."""
-
-    @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(a, b, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(den * common >= num * (len(p) + len(q) - common))
-        return pd.Series(out, dtype=bool)
-
-    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    contents = store(_contents(docs, wanted, size))
-    left = contents.select(F.col("id").alias("a"), F.col("members").alias("members_a"))
-    right = contents.select(F.col("id").alias("b"), F.col("members").alias("members_b"))
+    """The pairs ``a, b`` that are linked, by intersecting the sorted arrays.
+
+    A set travels once for each pair in which it is not the centre, and a centre once for each of
+    its parts. Rows come sorted, a centre before the others of its part, and are looked through.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            found = []
+            for centre, ident, members in zip(
+                    batch["centre"], batch["id"], batch["members"], strict=True):
+                members = np.frombuffer(members, np.uint64)
+                if ident == centre:
+                    held = members
+                    continue
+                common = len(np.intersect1d(held, members, assume_unique=True))
+                if den * common >= num * (len(held) + len(members) - common):
+                    found.append((min(centre, ident), max(centre, ident)))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    turned = _turned(pairs)
+    asked = store(
+        turned.select("centre", "part", F.col("other").alias("id")).unionAll(
+            turned.select("centre", "part", F.col("centre").alias("id")).distinct()))
+    wanted = store(asked.select("id").distinct())
+    sets = (
+        _contents(docs, wanted, size).join(small(asked, BROADCAST_IDS), "id")
+        .select("centre", "part", (F.col("id") != F.col("centre")).alias("later"), "id", "members"))
     linked = store(
-        pairs.join(left, "a").join(right, "b").filter(check("members_a", "members_b"))
-        .select("a", "b"))
-    discard(wanted, contents)
+        sets.repartition("centre", "part").sortWithinPartitions("centre", "part", "later")
+        .select("centre", "id", "members").mapInPandas(compare, "a long, b long"))
+    discard(turned, asked, wanted)
     return linked
 
 
@@ -330,6 +374,7 @@ def _linked_rows(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     copies = store(
         named.withColumn("mark", mark).join(classes, [*name, "mark"])
         .filter("_key <> low").select(F.col("_key").alias("id"), "low").distinct())
+    docs = _listed_once(docs, sizes)
     copied = small(copies.select("id"), BROADCAST_IDS)
     originals = docs.join(copied, docs["_key"] == copied["id"], "left_anti")
     met = store(_met(_keys(originals, size, num, den)))
