@@ -17,7 +17,7 @@ from sparkreel.operators.responses import (
     TEXT_FIELDS, as_text, classify_failures, clip_transcripts, field, last_key_wins,
     packaging_errors, parse_evaluations, whole_document,
 )
-from sparkreel.plans.lineage import cut_lineage
+from sparkreel.plans.lineage import computed_once, cut_lineage
 
 Responder = Callable[[str, str], str]
 # Fixed value: how often a service is asked for one answer.
@@ -203,8 +203,9 @@ def package_requests(clips: DataFrame, content: DataFrame, sources: DataFrame) -
 def read_packaging_responses(responses: DataFrame) -> DataFrame:
     """Valid responses as packaging rows; invalid ones carry ``errors`` and no values."""
     last_key_wins(responses.sparkSession)
-    document = whole_document(F.col("raw"))
-    checked = responses.withColumn("errors", packaging_errors(F.col("raw")))
+    document = F.col("document")
+    parsed = computed_once(responses, "document", whole_document(F.col("raw")))
+    checked = computed_once(parsed, "errors", packaging_errors(F.col("raw"), document))
     valid = F.size("errors") == 0
     return checked.select(
         "source_id",

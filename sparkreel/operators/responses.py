@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.functions.text import has_text, strip
 from sparkreel.operators.candidates import missing_per_batch
+from sparkreel.plans.lineage import computed_once
 
 # Fields of a packaging response.
 TEXT_FIELDS = ["title", "hook", "caption", "description", "thumbnail_text", "content_angle"]
@@ -40,16 +41,27 @@ def last_key_wins(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def whole_document(raw: Column) -> Column:
-    """The JSON value that a text consists of, NULL if it is none or anything stands behind it.
+def framed(raw: Column) -> Column:
+    """A text parsed as the first of two elements, the second of which is its own digest.
 
-    The parser stops after the first value, so the text is read inside brackets, where more than
-    one value shows, and under a name, where closing the brackets early does not help.
+    The parser stops after the first value; another value or an early end in the text moves the
+    digest away or drops it.
     """
-    inside = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
-    return F.when(F.size(inside) == 1, F.try_variant_get(named, "$.v", "variant"))
+    return F.try_parse_json(
+        F.concat(F.lit("["), raw, F.lit(',"'), F.sha2(raw, 256), F.lit('"]')))
+
+
+def unframed(pair: Column, raw: Column) -> Column:
+    """The JSON value that a text consists of, NULL if it is none or anything stands behind it."""
+    return F.when(
+        F.try_variant_get(pair, "$[1]", "string") == F.sha2(raw, 256),
+        F.try_variant_get(pair, "$[0]", "variant"))
+
+
+def whole_document(raw: Column) -> Column:
+    """The JSON value that a text consists of, NULL if it is none or anything stands behind it."""
+    # Bound to a lambda variable, the text is parsed once.
+    return F.transform(F.array(framed(raw)), lambda pair: unframed(pair, raw))[0]
 
 
 # No shorter text fills a parsed value or holds a string beyond the parser's limit.
@@ -109,8 +121,9 @@ def parse_evaluations(responses: DataFrame) -> DataFrame:
     """
     last_key_wins(responses.sparkSession)
     kept = [name for name in responses.columns if name != "raw"]
-    parsed = responses.withColumn("document", whole_document(F.col("raw"))).withColumn(
-        "items", _items(F.col("document"))
+    parsed = computed_once(
+        computed_once(responses, "document", whole_document(F.col("raw"))),
+        "items", _items(F.col("document")),
     )
     wrong = F.filter(F.transform("items", _item_error), lambda error: error.isNotNull())
     error = (
@@ -118,7 +131,7 @@ def parse_evaluations(responses: DataFrame) -> DataFrame:
         .when(F.col("items").isNull(), "not an array")
         .otherwise(F.get(wrong, F.lit(0)))
     )
-    checked = parsed.withColumn("error", error)
+    checked = computed_once(parsed, "error", error)
     return (
         checked.withColumn("items", F.when(F.col("error").isNull(), F.col("items")))
         .select(
@@ -164,13 +177,11 @@ def missing_fields(raw: Column) -> Column:
     return F.array_except(F.array(*[F.lit(name) for name in sorted(REQUIRED_FIELDS)]), present)
 
 
-def packaging_errors(raw: Column) -> Column:
-    """Everything wrong with a packaging response; an empty array means valid."""
-    # Bound to a lambda variable, the document is parsed once for all the checks.
+def packaging_errors(raw: Column, document: Column) -> Column:
+    """Everything wrong with a packaging response and its value; an empty array means valid."""
+    # Bound to a lambda variable, the keys are listed once.
     return F.transform(
-        F.array(whole_document(raw)),
-        lambda document: _packaging_errors(document, missing_fields(raw)),
-    )[0]
+        F.array(missing_fields(raw)), lambda absent: _packaging_errors(document, absent))[0]
 
 
 def _packaging_errors(document: Column, absent: Column) -> Column:
@@ -208,7 +219,9 @@ def _packaging_errors(document: Column, absent: Column) -> Column:
 def validate_packaging(responses: DataFrame) -> DataFrame:
     """Packaging responses (``raw``) with ``errors``."""
     last_key_wins(responses.sparkSession)
-    return responses.withColumn("errors", packaging_errors(F.col("raw")))
+    parsed = computed_once(responses, "document", whole_document(F.col("raw")))
+    return computed_once(
+        parsed, "errors", packaging_errors(F.col("raw"), F.col("document"))).drop("document")
 
 
 def stored_packaging_error(document: Column) -> Column:
@@ -231,9 +244,9 @@ def stored_packaging_error(document: Column) -> Column:
 def invalid_packaging(stored: DataFrame) -> DataFrame:
     """Stored packaging (``raw``) that has to be made again, with the reason."""
     last_key_wins(stored.sparkSession)
-    return stored.withColumn(
-        "error", stored_packaging_error(whole_document(F.col("raw")))
-    ).filter(F.col("error").isNotNull()).drop("raw")
+    parsed = computed_once(stored, "document", whole_document(F.col("raw")))
+    return computed_once(parsed, "error", stored_packaging_error(F.col("document"))).filter(
+        F.col("error").isNotNull()).drop("raw", "document")
 
 
 def clip_transcripts(clips: DataFrame, content: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,12 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return rows.checkpoint()
+
+
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows with one more column that is computed once per row, however often it is mentioned later.
+
+    Spark merges projections and moves filters below them, with a copy of the expression in each
+    place; a generator stays where it is.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))

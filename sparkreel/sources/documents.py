@@ -18,10 +18,11 @@ from sparkreel.functions import timing
 from sparkreel.functions.identity import source_identity
 from sparkreel.functions.text import strip
 from sparkreel.operators.responses import (
-    LARGE_BYTES, TEXT_FIELDS, as_text, field, kind_of, last_key_wins, parse_error,
-    stored_packaging_error, whole_document,
+    LARGE_BYTES, TEXT_FIELDS, as_text, field, framed, kind_of, last_key_wins, parse_error,
+    stored_packaging_error, unframed,
 )
 from sparkreel.operators.segments import number_rows
+from sparkreel.plans.lineage import computed_once
 
 # The fields a document and its items must have, by kind of document.
 REQUIRED = {
@@ -42,6 +43,8 @@ ITEMS = {
 }
 INTEGERS = ("id", "candidate_id", "clip_id")
 TEXTS = ("text", "transcript_text", "language", "source_type", "location", "source")
+# Longer texts, most of which fill a parsed value, are read in parts without trying the whole.
+WHOLE_BYTES = 1 << 26
 BESIDE_ITEMS = (
     "source", "duration", "language", "total_candidates", "source_type", "location", "clip_id",
     *TEXT_FIELDS, "hashtags",
@@ -66,15 +69,17 @@ def read_documents(spark: SparkSession, path: str, *, per_line: bool = False) ->
     )
     directory = F.regexp_extract("file", "project_id=([^/]+)/", 1)
     project = F.when(directory != "", F.try_url_decode(directory)).otherwise(
-        F.coalesce(source_identity(location)["project_id"], F.col("file"))
+        F.coalesce(
+            _once(location, lambda found: source_identity(found)["project_id"]), F.col("file"))
     )
     return (
         rows.filter(F.trim("value") != "")
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("value").alias("raw"),
-            whole_document(F.col("value")).alias("document"),
+            F.when(F.octet_length("value") < WHOLE_BYTES, framed(F.col("value"))).alias("framed"),
         )
+        .withColumn("document", unframed(F.col("framed"), F.col("raw")))
         .withColumn("in_parts", F.col("document").isNull() & (F.octet_length("raw") >= LARGE_BYTES))
         .withColumn("document", F.when(F.col("in_parts"), _beside_items(F.col("raw")))
                     .otherwise(F.col("document")))
@@ -92,7 +97,7 @@ def _beside_items(raw: Column) -> Column:
         present = F.filter(fields, lambda f: f["value"].isNotNull())
         return F.when(parts["_broken"].isNull(), F.to_variant_object(F.map_from_entries(present)))
 
-    # A large text is held against the same two frames as a small one (see `whole_document`).
+    # A large text must be one value inside brackets and under a name: the parser stops after the first.
     inside = F.from_json(
         F.concat(F.lit("["), raw, F.lit("]")), "array<struct<_none string>>", IN_PARTS)
     named = F.from_json(
@@ -105,7 +110,7 @@ def _readable(value: Column, name: str) -> Column:
     if name in INTEGERS:
         return field(value, name, "bigint").isNotNull()
     if name in TEXTS:
-        return kind_of(value, name).isNotNull()
+        return field(value, name, "variant").isNotNull()
     return field(value, name, "double").isNotNull()
 
 
@@ -139,7 +144,7 @@ def _item_error(items: Column, kind: str) -> Column:
     return F.get(errors, F.lit(0))
 
 
-def _error(document: Column, kind: str) -> Column:
+def _error(document: Column, item_error: Column | None, kind: str) -> Column:
     if kind == "packaging":
         return stored_packaging_error(document)
     error = F.when(document.isNull(), F.lit("invalid JSON"))
@@ -149,25 +154,37 @@ def _error(document: Column, kind: str) -> Column:
         for name in REQUIRED["source"]:
             absent = field(document, f"source.{name}", "variant").isNull()
             error = error.when(absent, F.lit(f"missing source.{name}"))
-    if kind in ITEMS:
+    if item_error is not None:
         # Items that are no list, or one that is itself too large for a value.
         unread = F.col("in_parts") & _parts(kind)["_broken"].isNotNull()
-        error = error.when(unread, F.lit("document too large")).otherwise(
-            _once(_items(document, kind), lambda items: _item_error(items, kind))
-        )
+        error = error.when(unread, F.lit("document too large")).otherwise(item_error)
     return error
 
 
-def document_error(kind: str) -> Column:
-    """Why a document of that kind cannot be loaded, NULL if it can."""
-    error = _once(F.col("document"), lambda document: _error(document, kind))
-    return F.when(error == "invalid JSON", parse_error(F.col("raw"))).otherwise(error)
+def _checked(documents: DataFrame, kind: str) -> DataFrame:
+    """Documents with their ``items`` and, in ``error``, why one cannot be loaded; NULL if it can."""
+
+    def checked(item_error: Column | None) -> Column:
+        # Bound to a lambda variable, the document is not copied for every mention.
+        error = _once(F.col("document"), lambda document: _error(document, item_error, kind))
+        return F.when(error == "invalid JSON", parse_error(F.col("raw"))).otherwise(error)
+
+    if kind not in ITEMS:
+        return computed_once(documents, "error", checked(None))
+    items = _items(F.col("document"), kind)
+    large = F.octet_length("raw") >= LARGE_BYTES
+    rows = computed_once(documents.filter(~large), "check", _once(items, lambda bound: F.struct(
+        bound.alias("items"), checked(_item_error(bound, kind)).alias("error")
+    ))).select("*", "check.items", "check.error").drop("check")
+    # Large texts are rather read again than copied from step to step.
+    return rows.unionByName(documents.filter(large).withColumn("items", items).withColumn(
+        "error", checked(_once(items, lambda bound: _item_error(bound, kind)))))
 
 
 def corrupt_documents(documents: DataFrame, kind: str) -> DataFrame:
     """Documents that cannot be loaded, with the reason."""
     return (
-        documents.withColumn("error", document_error(kind))
+        _checked(documents, kind)
         .filter("error IS NOT NULL")
         .select("project_id", "error", "raw")
     )
@@ -183,7 +200,7 @@ def missing_documents(documents: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def _loadable(documents: DataFrame, kind: str) -> DataFrame:
-    return documents.filter(document_error(kind).isNull())
+    return _checked(documents, kind).filter("error IS NULL")
 
 
 def _seconds_ms(value: Column, name: str) -> Column:
@@ -215,7 +232,7 @@ def read_transcripts(documents: DataFrame) -> DataFrame:
         "project_id",
         field(document, "duration", "double").alias("duration"),
         as_text(document, "language").alias("language"),
-        F.size(_items(document, "transcript")).cast("bigint").alias("segments"),
+        F.size("items").cast("bigint").alias("segments"),
     )
 
 
@@ -230,7 +247,7 @@ def _segment_fields(value: Column) -> list[Column]:
 
 def _exploded(documents: DataFrame, kind: str) -> DataFrame:
     return _loadable(documents, kind).select(
-        "project_id", F.posexplode(_items(F.col("document"), kind)).alias("pos", "item")
+        "project_id", F.posexplode("items").alias("pos", "item")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -248,12 +265,11 @@ def read_candidates(documents: DataFrame) -> DataFrame:
         field(item, "segments", "array<variant>"), F.array().cast("array<variant>")
     )
     total = F.coalesce(
-        field(F.col("document"), "total_candidates", "bigint"), F.size(_items(F.col("document"), "candidates"))
-    )
+        field(F.col("document"), "total_candidates", "bigint"), F.size("items"))
     return (
         _loadable(documents, "candidates")
         .select("project_id", total.cast("bigint").alias("total_candidates"),
-                F.posexplode(_items(F.col("document"), "candidates")).alias("pos", "item"))
+                F.posexplode("items").alias("pos", "item"))
         .select(
             "project_id",
             "total_candidates",

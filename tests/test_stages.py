@@ -579,3 +579,32 @@ def test_source_and_packaging_round_trip(spark, tmp_path):
     expected = spark.createDataFrame([("p",), ("q",)], "project_id string")
     assert [tuple(r) for r in documents.missing_documents(found, expected).collect()] == [
         ("q", "artifact does not exist", None)]
+
+
+def test_texts_are_parsed_once(spark, tmp_path):
+    raw = ['{"source":{"source_type":"local","location":"/v/1.mp4"},"duration":1.0,"language":"en",'
+           '"segments":[{"id":0,"start":0.0,"end":1.0,"text":"a"}]}']
+    spark.createDataFrame([(r,) for r in raw], "document string").write.text(f"{tmp_path}/d")
+    found = documents.read_documents(spark, f"{tmp_path}/d", per_line=True)
+    answers = spark.createDataFrame([(1, 1, r) for r in raw], "source_id int, clip_id int, raw string")
+    frames = [
+        documents.read_transcripts(found), documents.read_segments(found),
+        responses.parse_evaluations(answers).filter("error IS NULL"),
+        responses.invalid_packaging(answers), providers.read_packaging_responses(answers),
+    ]
+    for at, frame in enumerate(frames):
+        # Large documents are the second of two branches.
+        plan = frame._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "Union" and at < 2:
+            plan = plan.children().head()
+        plan = plan.children().head() if at < 2 else plan
+        assert plan.toString().count("parseJson") == 1
+
+
+def test_frames_of_a_text_cannot_be_left(spark):
+    bad = ["", " ", "1,2", "1],[2", '1,"x"]', "1}", "{}{}", "[1]],[2", "1,", ",1", "null,null", "x"]
+    good = ["1", " 1\n", "null", "[]", "[1,2]", '{"a":[1,"]"]}', '"],"', '{"a":1,"a":2}']
+    responses.last_key_wins(spark)
+    rows = spark.createDataFrame([(r,) for r in bad + good], "raw string").select(
+        "raw", responses.whole_document(F.col("raw")).isNotNull().alias("whole"))
+    assert {r.raw for r in rows.collect() if r.whole} == set(good)
