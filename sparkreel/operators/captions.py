@@ -12,6 +12,9 @@ from sparkreel.functions.text import escape_dialogue, single_spaced, strip, word
 
 # Clips and segments meet in tiles of this length.
 TILE_MS = 300_000
+# Before they are shuffled, segments are held against a hashed set of the slots that clips touch.
+SLOT_MS = 15_000
+PLACES = 1 << 26
 
 # Subtitle alignment code by horizontal and vertical position.
 ALIGNMENT_CODES = {
@@ -85,11 +88,41 @@ class EditOptions:
 DEFAULTS = CaptionOptions()
 
 
+def _place(slot: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col("source_id").cast("string"), slot.cast("bigint")), F.lit(PLACES))
+
+
+def near_clips(clips: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segments without most of those that no clip overlaps.
+
+    Clips mark the slots in which a segment may begin that is no longer than a slot and overlaps
+    them. The marks are the bits of ``PLACES`` places, 64 to a row, so the broadcast side is bounded
+    for any number of clips; hash collisions and long segments only leave more rows in.
+    """
+    before = F.floor(F.col("start_ms") / SLOT_MS) - 1
+    slots = clips.select("source_id", F.explode(F.sequence(
+        before, F.greatest(before, F.floor(F.col("end_ms") / SLOT_MS)))).alias("slot"))
+    place = F.col("place")
+    marks = slots.select(_place(F.col("slot")).alias("place")).groupBy(
+        F.shiftright(place, 6).alias("word")
+    ).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS INT)))").alias("marks"))
+    marked = F.expr("(marks & shiftleft(1L, CAST(place % 64 AS INT))) <> 0")
+    long = F.col("end_ms") - F.col("start_ms") > SLOT_MS
+    return (
+        segments.withColumn("place", _place(F.floor(F.col("start_ms") / SLOT_MS)))
+        .withColumn("word", F.shiftright(place, 6))
+        .join(F.broadcast(marks), "word", "left")
+        .filter(marked | long)
+        .drop("word", "place", "marks")
+    )
+
+
 def segments_in_clips(clips: DataFrame, segments: DataFrame) -> DataFrame:
     """Each clip with the segments that overlap it in time.
 
     Both sides are spread over the time tiles they touch and meet on (source, tile); a pair is
-    kept in the first tile the two share.
+    kept in the first tile the two share. Clips are read twice, first to leave out most segments
+    before their text is shuffled. A tile holds few clips, so the join hashes them and sorts nothing.
     """
 
     def tiled(rows: DataFrame, start: str, end: str, first: str) -> DataFrame:
@@ -103,11 +136,11 @@ def segments_in_clips(clips: DataFrame, segments: DataFrame) -> DataFrame:
         "clip_start_ms", "clip_end_ms", "clip_tile",
     )
     segment_rows = tiled(
-        segments.select("source_id", "idx", "start_ms", "end_ms", "text"),
+        near_clips(clips, segments.select("source_id", "idx", "start_ms", "end_ms", "text")),
         "start_ms", "end_ms", "segment_tile",
     )
     return (
-        segment_rows.join(clip_rows, ["source_id", "tile"])
+        segment_rows.join(clip_rows.hint("shuffle_hash"), ["source_id", "tile"])
         .filter(
             (F.col("end_ms") > F.col("clip_start_ms"))
             & (F.col("start_ms") < F.col("clip_end_ms"))

@@ -93,3 +93,22 @@ def test_document_has_style_and_dialogue(spark):
         clips, ops.captions(clips, segments)).collect()}
     assert documents[1].endswith("Dialogue: 0,0:00:00.00,0:00:04.00,Default,,0,0,0,,Hi \\{you\\}\n")
     assert documents[2].endswith("Effect, Text\n")
+
+
+def test_segments_far_from_clips_are_not_shuffled(spark):
+    segments = spark.range(20_000).selectExpr(
+        "id % 4 AS source_id", "id div 4 AS idx", "(id div 4) * 4000 - 9000 AS start_ms",
+        "(id div 4) * 4000 - 9000 + IF(id % 41 = 0, 95000, 3000) AS end_ms", "'x' AS text")
+    clips = spark.createDataFrame(
+        [(s, c, c * 900_000 + s * 7_001, c * 900_000 + s * 7_001 + 60_000)
+         for s in range(4) for c in range(5)],
+        "source_id int, clip_id bigint, start_ms bigint, end_ms bigint")
+    kept = ops.near_clips(clips, segments)
+    assert kept.columns == segments.columns and kept.count() < 3_000
+    segments.createOrReplaceTempView("all_segments")
+    clips.createOrReplaceTempView("all_clips")
+    expected = spark.sql(
+        "SELECT s.source_id, clip_id, idx FROM all_segments s JOIN all_clips c"
+        " ON s.source_id = c.source_id AND s.end_ms > c.start_ms AND s.start_ms < c.end_ms")
+    found = ops.segments_in_clips(clips, segments).select("source_id", "clip_id", "idx")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
