@@ -211,7 +211,7 @@ def window_ends(segments: DataFrame, options: DiscoveryOptions = DEFAULTS) -> Da
                 ).otherwise(end_points)
             ),
         )
-        .select("source_id", "point.*", "idx", "start_ms", "bonus", "has_text")
+        .select("source_id", "point.*", "idx", "bonus", "has_text")
     )
     along = Window.partitionBy("source_id", "tile").orderBy("t")
     an_end = ~F.col("is_start")
@@ -227,7 +227,7 @@ def window_ends(segments: DataFrame, options: DiscoveryOptions = DEFAULTS) -> Da
     reached = along.rangeBetween(0, options.max_ms)
     latest = F.max(F.when(an_end, F.struct("idx", F.col("t").alias("end_ms"))))
     ranked = points.select(
-        "source_id", "idx", "start_ms", "is_start",
+        "source_id", "idx", F.col("t").alias("start_ms"), "is_start",
         top(F.col("t") + F.col("bonus")).over(up_to_target).alias("low"),
         top(F.col("bonus") - F.col("t")).over(past_target).alias("high"),
         latest.over(in_range).alias("latest"),
