@@ -9,8 +9,9 @@ grouped: each document is one row, and only one is held at a time.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from pyspark.sql.types import Row, StructType
 from sparkreel.sources import files
 
 CURRENT = "_current"
+# The list of the paths of an export, beside its folder.
+PATHS = "_paths-"
+FILES_PER_TASK = 2_000
+FILES_PER_BATCH = 64
 # A path has no empty, hidden or upward part: Spark's readers skip names that start with _ or dots.
 GOOD_PATH = r"\A(?:[^/._][^/]*/)*[^/._][^/]*\z"
 
@@ -86,6 +91,8 @@ def write_files(rows: DataFrame, root: str) -> str:
     if bad:
         raise ValueError(f"paths that are bad or not unique, such as {[row['path'] for row in bad]}")
     version = f"version={uuid.uuid4().hex}"
+    # Written before the export is named, so an export that counts has its list of paths.
+    rows.select("path").write.parquet(f"{root}/{version.replace('version=', PATHS)}")
     spark.dataSource.register(KeyedFiles)
     rows.sortWithinPartitions("path").write.format("keyed_files").mode("append").option(
         "version", version).save(root)
@@ -103,7 +110,8 @@ def remove_old_exports(spark: SparkSession, root: str) -> None:
     """Removes all exports but the current one; no reader of the others may be running."""
     current = current_export(spark, root)
     for name in files.names(spark, root):
-        if name.startswith("version=") and f"{root}/{name}" != current:
+        folder = f"{root}/{name.replace(PATHS, 'version=')}"
+        if name.startswith(("version=", PATHS)) and folder != current:
             files.remove(spark, f"{root}/{name}")
 
 
@@ -113,10 +121,38 @@ def relative_path() -> Column:
     return F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
 
 
+def _contents(folder: str) -> Callable[[Iterator[pyarrow.RecordBatch]], Iterator[pyarrow.RecordBatch]]:
+    def read(batches: Iterator[pyarrow.RecordBatch]) -> Iterator[pyarrow.RecordBatch]:
+        system, base = _open(folder)
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            for at in range(0, len(paths), FILES_PER_BATCH):
+                some, found = paths[at:at + FILES_PER_BATCH], []
+                for path in some:
+                    with system.open_input_stream(f"{base}/{path}") as stream:
+                        found.append(stream.read())
+                yield pyarrow.RecordBatch.from_pydict({
+                    "path": pyarrow.array(some, pyarrow.string()),
+                    "document": pyarrow.array(found, pyarrow.binary())})
+
+    return read
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame | None:
-    """``path, document`` of the current export; None before the first."""
+    """``path, document`` of the current export; None before the first.
+
+    Tasks open the files that the export lists, so that the driver lists no folders; an export
+    without a list is read by its folders.
+    """
     folder = current_export(spark, root)
     if folder is None:
         return None
+    listed = folder.rsplit("/", 1)[1].replace("version=", PATHS)
+    if listed in files.names(spark, root):
+        paths = spark.read.schema("path string").parquet(f"{root}/{listed}")
+        tasks = spark.sparkContext.defaultParallelism + paths.count() // FILES_PER_TASK
+        return paths.repartition(tasks).mapInArrow(
+            _contents(folder), "path string, document binary"
+        ).select("path", F.col("document").cast("string").alias("document"))
     rows = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     return rows.select(relative_path().alias("path"), F.col("value").alias("document"))

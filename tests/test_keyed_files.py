@@ -192,3 +192,14 @@ def test_named_projects_through_a_run(spark, tmp_path):
     for stage in ("clip_plan", "captions", "packaging", "thumbnails"):
         found = stage_tables.read_stage(spark, f"{tmp_path}/out", stage)
         assert {r.source_id for r in found.collect()} == {"youtube_abc"}, stage
+
+
+def test_many_files_are_opened_by_few_tasks(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(300).selectExpr(
+        "concat('a b+%/', id, '.txt') AS path", "IF(id = 7, NULL, concat('é\\n', id)) AS document")
+    keyed_files.write_files(rows, root)
+    found = keyed_files.read_files(spark, root)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert dict(map(tuple, found.collect())) == {
+        f"a b+%/{i}.txt": "" if i == 7 else f"é\n{i}" for i in range(300)}
