@@ -8,14 +8,16 @@ batch to the next. Files that tell no version are versions of their own, numbere
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkreel.operators.discovery import DEFAULTS, DiscoveryOptions
 from sparkreel.operators.planning import DEFAULTS as PLAN_DEFAULTS
 from sparkreel.operators.planning import PlanningOptions
 from sparkreel.operators.providers import Responder
-from sparkreel.operators.segments import order_violations, with_text_flag
+from sparkreel.operators.segments import with_text_flag
 from sparkreel.plans.incremental import (
     ALL_STAGES, Scorer, close_finished, note_open, open_projects, run_missing_packaging,
     run_missing_stages,
@@ -26,6 +28,10 @@ from sparkreel.sources.stage_tables import commit_projects, next_batch, read_sta
 
 ROW = ["source_id", "version", "n_segments", "idx", "start_ms", "end_ms", "text"]
 VERSION = ["source_id", "version"]
+UNIT = ["source_id", "told", "v", "file_time", "file"]
+PIECE = 16_384
+# Hashed places that units mark, and how many units are taken out again by a broadcast.
+PLACES, MOST_ASTRAY = 1 << 26, 500_000
 # Beside the transcripts: which version of each is stored, and rows that wait for the rest.
 TAKEN, HELD = "transcript_version", "held"
 GAPS = "positions are not 0 to n-1"
@@ -33,21 +39,58 @@ BACK = "segment ends go back"
 UNCOUNTED = "version without its number of segments"
 
 
-def numbered_versions(arrived: DataFrame) -> DataFrame:
-    """Rows as ``ROW`` plus ``waits``: a version for files that tell none, from their time.
+def unit_rows(rows: DataFrame) -> DataFrame:
+    """Rows (``ROW``, of files also ``file`` and ``file_time``) with the ``UNIT`` they came in.
+
+    A unit is a version that is told, or a file that tells none.
+    """
+    if "version" not in rows.columns:
+        rows = rows.withColumn("version", F.lit(None).cast("bigint")).withColumn(
+            "n_segments", F.lit(None).cast("bigint"))
+    told = F.col("version").isNotNull()
+    at, of = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    if "file" in rows.columns:
+        at, of = F.when(~told, F.col("file_time")), F.when(~told, F.col("file"))
+    return rows.select(
+        *ROW, told.alias("told"), F.coalesce("version", F.lit(0)).alias("v"),
+        at.alias("file_time"), of.alias("file"))
+
+
+def pieces_of(rows: DataFrame) -> DataFrame:
+    """One row per unit and run of ``PIECE`` positions: what its version is judged by, no text."""
+    piece = F.floor(F.col("idx") / PIECE)
+    along = Window.partitionBy(*UNIT, "piece").orderBy("idx")
+    before, end_before = F.lag("idx").over(along), F.lag("end_ms").over(along)
+    return (
+        rows.select(*UNIT, "n_segments", "idx", "end_ms", piece.alias("piece"))
+        .withColumn("before", before).withColumn("end_before", end_before)
+        .groupBy(*UNIT, "piece").agg(
+            F.count("*").alias("rows"),
+            F.count(F.when(~F.col("idx").eqNullSafe(F.col("before")), F.col("idx"))).alias("places"),
+            F.min("idx").alias("low"), F.max("idx").alias("high"),
+            F.min("n_segments").alias("n"), F.max("n_segments").alias("most"),
+            F.max(F.coalesce(F.col("end_ms") < F.col("end_before"), F.lit(False))).alias("falls"),
+            F.min_by("end_ms", "idx").alias("first_end"), F.max_by("end_ms", "idx").alias("last_end")))
+
+
+def joined(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Joined where all of ``names`` are equal, null like any other value."""
+    right = right.withColumnsRenamed({name: f"of_{name}" for name in names})
+    equal = reduce(Column.__and__, [F.col(name).eqNullSafe(F.col(f"of_{name}")) for name in names])
+    return left.join(right, equal, how).drop(*[f"of_{name}" for name in names])
+
+
+def numbered_versions(pieces: DataFrame) -> DataFrame:
+    """Pieces with ``version, n, most`` for files that tell none, from their time.
 
     Such files of a source are one version if no two of them cover the same positions, which is how
     a transcript split over files looks when all arrive together; else each is one by itself. They
-    never wait for others. ``arrived`` has ``file`` and ``file_time``.
+    never wait for others.
     """
-    if "version" not in arrived.columns:
-        arrived = arrived.withColumn("version", F.lit(None).cast("bigint")).withColumn(
-            "n_segments", F.lit(None).cast("bigint"))
-    told = arrived.filter("version IS NOT NULL")
-    untold = arrived.filter("version IS NULL").drop("n_segments")
-    file = ["source_id", "file_time", "file"]
-    spans = untold.groupBy(*file).agg(
-        F.min("idx").alias("low"), F.max("idx").alias("high"), F.count("*").alias("rows"))
+    told = pieces.filter("told").withColumn("version", F.col("v"))
+    untold = pieces.filter("NOT told").drop("n", "most")
+    spans = untold.groupBy(*UNIT).agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))
     along = Window.partitionBy("source_id").orderBy("low", "high", "file")
     before = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
     by_source = Window.partitionBy("source_id")
@@ -55,29 +98,26 @@ def numbered_versions(arrived: DataFrame) -> DataFrame:
     number = F.unix_micros("file_time") * 1000
     apart = F.max(F.coalesce(before >= F.col("low"), F.lit(False))).over(by_source)
     spans = spans.withColumn("apart", apart).select(
-        *[F.col(name).alias(f"of_{name}") for name in file],
+        *UNIT,
         F.when(F.col("apart"), number + F.least(F.row_number().over(by_time), F.lit(999)))
         .otherwise(F.max(number).over(by_source)).alias("version"),
-        F.when(F.col("apart"), F.col("rows")).otherwise(F.sum("rows").over(by_source))
-        .alias("n_segments"))
-    same = F.lit(True)
-    for name in file:  # rows without a source are kept, to be set aside with a reason
-        same = same & F.col(name).eqNullSafe(F.col(f"of_{name}"))
-    untold = untold.drop("version").join(spans, same)
-    rows = [r.select(*ROW, F.lit(w).alias("waits")) for r, w in ((told, True), (untold, False))]
-    return rows[0].unionAll(rows[1])
+        F.when(F.col("apart"), F.col("rows")).otherwise(F.sum("rows").over(by_source)).alias("n"))
+    spans = spans.withColumn("most", F.col("n"))
+    return told.unionByName(joined(untold, spans, UNIT))
 
 
-def judged_versions(rows: DataFrame) -> DataFrame:
-    """``source_id, version, whole, reason`` of every version in ``rows`` (``ROW, waits``).
+def judged_versions(pieces: DataFrame) -> DataFrame:
+    """``source_id, version, whole, reason`` of every version in numbered pieces.
 
     ``whole`` tells that all positions are there, once each. A version with a ``reason`` can never
     become usable; one that is neither whole nor has a reason waits for more rows.
     """
-    counted = rows.groupBy(*VERSION).agg(
-        F.count("*").alias("rows"), F.countDistinct("idx").alias("places"),
-        F.min("idx").alias("low"), F.max("idx").alias("high"), F.max("waits").alias("waits"),
-        F.min("n_segments").alias("n"), F.max("n_segments").alias("most"))
+    end_before = F.lag("last_end").over(Window.partitionBy(*VERSION).orderBy("low"))
+    falls = F.col("falls") | F.coalesce(F.col("first_end") < F.col("end_before"), F.lit(False))
+    counted = pieces.withColumn("end_before", end_before).groupBy(*VERSION).agg(
+        F.sum("rows").alias("rows"), F.sum("places").alias("places"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("told").alias("waits"),
+        F.min("n").alias("n"), F.max("most").alias("most"), F.max(falls).alias("falls"))
     whole = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("places") == F.col("n"))
     whole = F.coalesce(whole & (F.col("rows") == F.col("n")) & (F.col("n") == F.col("most")), F.lit(False))
     # More rows than places, or places beyond the last, do not go away with more rows.
@@ -87,15 +127,55 @@ def judged_versions(rows: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("source_id").isNull(), GAPS)
         .when(F.col("n").isNull(), UNCOUNTED)
-        .when(~whole & (spoilt | ~F.col("waits")), GAPS))
-    judged = counted.select(*VERSION, whole.alias("whole"), reason.alias("reason"))
-    falling = order_violations(
-        rows.withColumn("source_id", F.struct("source_id", "version"))
-    ).select("source_id.*").distinct().withColumn("falls", F.lit(True))
-    both = [judged[name].eqNullSafe(falling[name]) for name in VERSION]
-    return judged.join(falling, both[0] & both[1], "left").select(
-        judged["source_id"], judged["version"], "whole",
-        F.coalesce("reason", F.when(F.col("whole") & F.col("falls"), BACK)).alias("reason"))
+        .when(~whole & (spoilt | ~F.col("waits")), GAPS)
+        .when(whole & F.col("falls"), BACK))
+    return counted.select(*VERSION, whole.alias("whole"), reason.alias("reason"))
+
+
+def rows_of(rows: DataFrame, wanted: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of the ``wanted`` units, without a shuffle of their text; ``others`` lists all other units.
+
+    Wanted units mark hashed places, 64 to a row, so the broadcast side is bounded for any number of
+    units. The few others that fall on a marked place are known by name and taken out.
+    """
+    place = F.pmod(F.xxhash64(*UNIT), F.lit(PLACES))
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
+
+    def placed(units: DataFrame) -> DataFrame:
+        return units.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+
+    marks = placed(wanted).groupBy("word").agg(F.bit_or(bit).alias("marks"))
+
+    def marked(units: DataFrame) -> DataFrame:
+        return placed(units).join(F.broadcast(marks), "word").filter(
+            F.col("marks").bitwiseAND(bit) != 0).drop("word", "place", "marks")
+
+    astray = cut_lineage(marked(others.select(*UNIT)))
+    found = marked(rows)
+    many = astray.limit(MOST_ASTRAY + 1).count()
+    if many:
+        found = joined(
+            found, astray.hint("broadcast") if many <= MOST_ASTRAY else astray, UNIT, "left_anti")
+    return found
+
+
+def told_once(rows: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and pieces in which equal rows of a told version count once.
+
+    A file may be sent twice, or worked on again after it was held. Only versions with repeated
+    positions are looked at.
+    """
+    again = F.col("told") & (F.col("rows") > F.col("places"))
+    units = cut_lineage(pieces.groupBy(*UNIT).agg(
+        F.sum("rows").alias("rows"), F.sum("places").alias("places")
+    ).select(*UNIT, again.alias("again")))
+    several, single = units.filter("again"), units.filter("NOT again")
+    if several.isEmpty():
+        return rows, pieces
+    once = cut_lineage(rows_of(rows, several, single).distinct())
+    rest = joined(pieces, several, UNIT, "left_anti")
+    return (rows_of(rows, single, several).unionByName(once),
+            cut_lineage(rest.unionByName(pieces_of(once))))
 
 
 def take_in(
@@ -104,47 +184,56 @@ def take_in(
     """Stores what has become the newest whole version of its source; the rest waits or is set aside.
 
     Late files of a version older than the stored one change nothing, and files that come twice
-    count once. Working on a batch again after a failure leads to the same tables.
+    count once. Working on a batch again after a failure leads to the same tables. Versions are
+    judged without their text, which goes from the files to where it belongs and is not shuffled.
     """
     batch = next_batch(spark, root, [*ALL_STAGES, TAKEN, HELD])
-    fresh = cut_lineage(numbered_versions(arrived))
-    touched = cut_lineage(fresh.select("source_id").filter("source_id IS NOT NULL").distinct())
+    touched = cut_lineage(
+        arrived.select("source_id").filter("source_id IS NOT NULL").distinct())
+    rows = unit_rows(arrived)
     held = read_stage(spark, root, HELD, wanted=touched)
-    told = fresh.filter("waits")
     if held is not None:
-        told = told.unionByName(held.withColumn("waits", F.lit(True)))
-    # Distinct, as a file may be sent twice, or worked on again after it was held.
-    rows = told.distinct().unionByName(fresh.filter("NOT waits"))
+        rows = rows.unionByName(unit_rows(held))
+    rows, pieces = told_once(rows, cut_lineage(pieces_of(rows)))
+    pieces = cut_lineage(numbered_versions(pieces))
+    new = pieces
     taken = read_stage(spark, root, TAKEN, wanted=touched)
     if taken is not None:
         stored = taken.select("source_id", F.col("version").alias("stored"))
-        rows = rows.join(stored, "source_id", "left").filter(
+        new = pieces.join(stored, "source_id", "left").filter(
             "stored IS NULL OR version > stored").drop("stored")
-    rows = cut_lineage(rows)
-    judged = cut_lineage(judged_versions(rows))
+    judged = cut_lineage(judged_versions(new))
     newest = (
         judged.filter("whole AND reason IS NULL")
         .groupBy("source_id").agg(F.max("version").alias("version")))
     newest = cut_lineage(newest)
 
-    bad = judged.filter("reason IS NOT NULL").select(
-        F.col("source_id").alias("s"), F.col("version").alias("v"), "reason")
-    aside = rows.join(bad, rows["source_id"].eqNullSafe(F.col("s")) & rows["version"].eqNullSafe(
-        F.col("v"))).drop("s", "v", "waits")
+    fates = judged.join(
+        newest.withColumnRenamed("version", "newest"), "source_id", "left"
+    ).select(
+        *VERSION, "reason",
+        F.when(F.col("reason").isNotNull(), "aside").when(F.expr("version = newest"), "store")
+        .when(F.expr("newest IS NULL OR version > newest"), "wait").alias("fate"))
+    units = pieces.groupBy(*UNIT, "version").agg(F.max("n").alias("n"))
+    units = cut_lineage(joined(units, fates, VERSION, "left").withColumn(
+        "fate", F.coalesce("fate", F.lit("old"))))
+
+    def rows_for(fate: str) -> DataFrame:
+        return rows_of(rows, units.filter(F.col("fate") == fate), units.filter(F.col("fate") != fate))
+
+    bad = units.filter("fate = 'aside'")
     if not bad.isEmpty():
-        aside.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+        aside = joined(rows_for("aside").drop("version"), bad, UNIT)
+        number = F.when(F.col("told"), F.col("n_segments")).otherwise(F.col("n"))
+        aside.withColumn("n_segments", number).select(*ROW, "reason").write.mode(
+            "overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
 
-    chosen = rows.join(newest, VERSION, "left_semi")
     # The flag is stored so that discovery need not read the text.
-    flagged = with_text_flag(chosen.select("source_id", "idx", "start_ms", "end_ms", "text"))
-    waiting = (
-        rows.join(bad, rows["source_id"].eqNullSafe(F.col("s")) & rows["version"].eqNullSafe(
-            F.col("v")), "left_anti")
-        .join(newest.withColumnRenamed("version", "newest"), "source_id", "left")
-        .filter("newest IS NULL OR version > newest").select(*ROW))
+    flagged = with_text_flag(
+        rows_for("store").select("source_id", "idx", "start_ms", "end_ms", "text"))
     # The transcript's commit comes last: until then the batch can be worked on again.
     write_rows(newest, root, TAKEN, batch)
-    write_rows(waiting, root, HELD, batch)
+    write_rows(rows_for("wait").select(*ROW), root, HELD, batch)
     write_rows(flagged, root, "transcript", batch)
     note_open(newest, root, f"batch={batch}")
     commit_projects(newest, root, "transcript", batch)
