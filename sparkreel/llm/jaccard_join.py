@@ -4,8 +4,8 @@ A document is its set of n-gram hashes. Sets are banded by size. Two linked sets
 D of their members, where D follows from the largest sizes in the band; so when the hash space is
 cut into more than D tiles, at least one tile holds exactly the same members of both. Sets that
 agree in a tile are candidates, and nothing else needs to be looked at. Candidates are compared by
-hashed bitmaps first (their common bits bound the overlap from above), then by intersecting the
-sorted arrays.
+bitmaps of hashed places with an odd number of members first (a differing bit stands for a member
+that only one set has), then by intersecting the sorted arrays.
 
 Groups of thousands of near copies agree in the same tiles. Each tile first pairs its members with
 its smallest one only, and each set is compared with the one it is paired with most often; pairs
@@ -29,7 +29,8 @@ from sparkreel.llm.components import components
 from sparkreel.llm.storage import discard, folded, keyed, small, store, text_of, unfolded
 from sparkreel.llm.words import scramble, shingles, words_of
 
-BITS = 1024
+# Bits of a set's bitmap, and of one with more members than ``LARGE``.
+BITS, LARGE, LARGE_BITS = 1024, 2048, 4096
 BROADCAST_IDS = 500_000
 PER_PART = 256
 U = np.uint64
@@ -108,23 +109,32 @@ def _names(members: np.ndarray) -> tuple[int, int, int]:
     return len(members), int(_signed(sums[0])[0]), int(_signed(sums[1])[0])
 
 
+def _parities(members: np.ndarray) -> np.ndarray:
+    """Bitmap of the places with an odd number of members.
+
+    Members of both sets cancel out, so two bitmaps differ by what the sets do not share, however
+    large they are; a bitmap of the places taken would fill up.
+    """
+    places = LARGE_BITS if len(members) > LARGE else BITS
+    counts = np.bincount((members % U(places)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sizes(docs: DataFrame, size: int) -> DataFrame:
     """``_key, doc_id, n_shingles, name_a, name_b, bits``: size, name, bitmap of each row's set."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names = np.zeros((len(batch), 3), np.int64)
-            bitmaps = np.zeros((len(batch), BITS // 8), np.uint8)
+            bitmaps = [np.zeros(BITS // 64, np.int64)] * len(batch)
             for i, members in _sets(batch, size):
                 names[i] = _names(members)
-                bits = np.zeros(BITS, np.uint8)
-                bits[(members % U(BITS)).astype(np.int64)] = 1
-                bitmaps[i] = np.packbits(bits)
+                bitmaps[i] = _parities(members)
             yield pd.DataFrame({
                 "_key": batch["_key"], "doc_id": batch["doc_id"].astype("Int64"),
                 "n_shingles": names[:, 0],
                 "name_a": names[:, 1], "name_b": names[:, 2],
-                "bits": list(bitmaps.view(np.int64))})
+                "bits": bitmaps})
 
     return docs.mapInPandas(
         name, "_key long, doc_id long, n_shingles long, name_a long, name_b long, bits array<long>")
@@ -240,14 +250,20 @@ def may_link(
     """False only for pairs that cannot be linked.
 
     Linked sets differ in at most ``(den - num) / (den + num)`` of their summed sizes, and every bit
-    set in one bitmap only stands for at least one member that the other set lacks; so bit counts
-    bound the overlap from above.
+    in which their bitmaps of odd counts differ stands for at least one member that one set lacks;
+    so bit counts bound the overlap from above.
     """
-    differ = reduce(Column.__add__, [
+    few = reduce(Column.__add__, [
         F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(BITS // 64)])
+    many = F.aggregate(
+        F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+        lambda total, bits: total + bits)
+    # Bitmaps of two lengths tell nothing; that is for sets on both sides of the border.
+    differ = F.when((size_a <= LARGE) & (size_b <= LARGE), few).when(
+        (size_a > LARGE) & (size_b > LARGE), many).otherwise(0)
     return (
-        (differ * (den + num) <= (size_a + size_b) * (den - num))
-        & (size_a * den >= size_b * num) & (size_b * den >= size_a * num))
+        (size_a * den >= size_b * num) & (size_b * den >= size_a * num)
+        & (differ * (den + num) <= (size_a + size_b) * (den - num)))
 
 
 def _turned(pairs: DataFrame) -> DataFrame:

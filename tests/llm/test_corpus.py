@@ -542,3 +542,17 @@ def test_components_of_paths(spark):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r.id, r.component) for r in found} == {(i, 0) for i in range(41)} | {
         (100, 80), (90, 80), (80, 80)}
+
+
+@pytest.mark.parametrize("n", [2_000, 5_000])
+def test_bitmaps_of_large_sets_tell_them_apart(spark, n):
+    """Sets with 60 % of their members shared: far from linked, and their bitmaps show it."""
+    texts = [" ".join(f"w{i}" for i in range(begin, begin + n)) for begin in (0, n * 2 // 5, n // 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_key long, text string").selectExpr(
+        "_key", "_key AS doc_id", "text")
+    sizes = jaccard_join._sizes(docs, 3)
+    a, b = (sizes.selectExpr(f"_key {e}", f"n_shingles n{e}", f"bits bits{e}") for e in "ab")
+    may = jaccard_join.may_link(*[F_expr(c) for c in ("bitsa", "bitsb", "na", "nb")], 80, 100)
+    pairs = a.crossJoin(b).filter("a < b").select("a", "b", may)
+    assert {(r[0], r[1]): r[2] for r in pairs.collect()} == {
+        (0, 1): False, (0, 2): True, (1, 2): False}
