@@ -151,17 +151,21 @@ def candidate_end_pairs(
 
 
 def best_end_of_pairs(pairs: DataFrame) -> DataFrame:
-    """Per start: the highest score, ties to the earliest end; else the latest end in range."""
-    end = F.struct("end_idx", "end_ms")
+    """Per start: the highest score, ties to the earliest end; else the latest end in range.
+
+    Scores and positions are ranked as one BIGINT (a score takes less than 32 bits, as does the
+    number of segments in a window), so that pairs are hashed into one row per start, not sorted.
+    """
     scored = F.col("long_enough") & F.col("score_ms").isNotNull()
-    best = F.max_by(
-        F.when(scored, end), F.when(scored, F.struct("score_ms", -F.col("end_idx")))
-    )
-    latest = F.max(F.when(F.col("long_enough"), end))
-    chosen = F.coalesce(best, latest)
+    rank = F.when(
+        scored,
+        F.col("score_ms").cast("bigint") * (1 << 32) - (F.col("end_idx") - F.col("start_idx")))
+    late = F.when(F.col("long_enough"), F.col("end_idx"))
+    chosen = {
+        name: F.coalesce(F.max_by(name, rank), F.max_by(name, late)).alias(name)
+        for name in ("end_idx", "end_ms")}
     return pairs.groupBy("source_id", "start_idx", "start_ms").agg(
-        chosen.getField("end_idx").alias("end_idx"),
-        chosen.getField("end_ms").alias("end_ms"),
+        *chosen.values(),
         F.min(F.when(F.col("has_text"), F.col("end_idx"))).alias("text_idx"),
     )
 

@@ -166,3 +166,18 @@ def test_numbering_across_spans(spark):
     for source in range(3):
         got = [r.n for r in numbered.filter(f"source_id = {source}").orderBy("position").collect()]
         assert got == list(range(len(got)))
+
+
+def test_ends_of_pairs_are_not_sorted(spark):
+    rows = [
+        (1, 0, 0, 4, 30_000, True, True, -500), (1, 0, 0, 5, 31_000, True, True, 200),
+        (1, 0, 0, 6, 31_000, True, True, 200), (1, 0, 0, 7, 32_000, False, True, None),
+        (1, 0, 0, 1, 9_000, False, False, 900), (1, 3, 5, 8, 40_000, False, True, None),
+        (1, 3, 5, 9, 41_000, True, True, None), (2, 0, 0, 1, 5_000, False, False, 7)]
+    pairs = spark.createDataFrame(
+        rows, "source_id long, start_idx long, start_ms long, end_idx long, end_ms long, "
+        "has_text boolean, long_enough boolean, score_ms long")
+    best = discovery.best_end_of_pairs(pairs)
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, best.collect())) == [
+        (1, 0, 0, 5, 31_000, 4), (1, 3, 5, 9, 41_000, 9), (2, 0, 0, None, None, None)]
