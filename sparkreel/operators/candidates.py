@@ -23,15 +23,14 @@ def build_candidates(
     """Candidates with ``transcript_text`` (and their segments); blank windows are dropped.
 
     Joined on (source, run of segments), so a long source is read by many tasks and a window only
-    gathers its own segments.
+    gathers its own segments. A window is gathered where its run is, so texts that were shuffled for
+    the join are not shuffled again; only the few windows in several runs are put together afterwards.
     """
     run = F.floor(F.col("idx") / JOIN_RUN)
-    windows = candidates.select(
-        *WINDOW_COLUMNS,
-        F.explode(
-            F.sequence(F.floor(F.col("start_idx") / JOIN_RUN), F.floor(F.col("end_idx") / JOIN_RUN))
-        ).alias("run"),
-    )
+    first, last = (F.floor(F.col(name) / JOIN_RUN) for name in ("start_idx", "end_idx"))
+    within = candidates.filter(first == last).select(*WINDOW_COLUMNS, first.alias("run"))
+    across = candidates.filter(first < last).select(
+        *WINDOW_COLUMNS, F.explode(F.sequence(first, last)).alias("run"))
     rows = segments.select(
         "source_id",
         run.alias("run"),
@@ -42,11 +41,20 @@ def build_candidates(
     )
     if not with_segments:
         rows = rows.withColumn("segment", F.struct("segment.idx", "segment.text"))
+
+    def gathered(windows: DataFrame) -> DataFrame:
+        return (
+            windows.join(rows, ["source_id", "run"])
+            .filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+            .groupBy(*WINDOW_COLUMNS, "run")
+            .agg(F.collect_list("segment").alias("segments"))
+        )
+
+    whole = gathered(within).drop("run").unionByName(
+        gathered(across).groupBy(*WINDOW_COLUMNS)
+        .agg(F.flatten(F.collect_list("segments")).alias("segments")))
     content = (
-        windows.join(rows, ["source_id", "run"])
-        .filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
-        .groupBy(*WINDOW_COLUMNS)
-        .agg(F.sort_array(F.collect_list("segment")).alias("segments"))
+        whole.withColumn("segments", F.sort_array("segments"))
         .withColumn(
             "transcript_text",
             strip(F.array_join(F.transform("segments", lambda s: s["text"]), " ")),

@@ -34,6 +34,8 @@ RETRYABLE_MARKERS = [
 PACKAGING_RETRY_MARKERS = [
     "503", "502", "504", "429", "408", "unavailable", "timeout", "timed out",
 ]
+# Hashed places that clips mark.
+PLACES = 1 << 26
 
 
 def last_key_wins(spark: SparkSession) -> None:
@@ -249,11 +251,29 @@ def invalid_packaging(stored: DataFrame) -> DataFrame:
         F.col("error").isNotNull()).drop("raw", "document")
 
 
+def _near(clips: DataFrame, content: DataFrame) -> DataFrame:
+    """The content without most of the candidates that are no clip, before its text is shuffled.
+
+    Clips mark hashed places, 64 to a row, so the broadcast side is bounded for any number of them.
+    """
+    place = F.pmod(
+        F.xxhash64(F.col("source_id").cast("string"), F.col("candidate_id").cast("string")),
+        F.lit(PLACES))
+    bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
+    marks = (
+        clips.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.bit_or(bit).alias("marks")))
+    return (
+        content.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+        .join(F.broadcast(marks), "word").filter(F.col("marks").bitwiseAND(bit) != 0)
+        .drop("word", "place", "marks"))
+
+
 def clip_transcripts(clips: DataFrame, content: DataFrame) -> DataFrame:
     """Clips with the text of their candidate and, where that is missing or blank, the error."""
     order = [name for name in ("candidate_pos", "start_ms", "end_ms") if name in content.columns]
     first = F.struct(*order, "transcript_text")  # the first candidate given under an id
-    texts = content.groupBy("source_id", "candidate_id").agg(
+    texts = _near(clips, content).groupBy("source_id", "candidate_id").agg(
         F.min_by("transcript_text", first).alias("transcript_text")
     )
     error = F.when(F.col("transcript_text").isNull(), "candidate not found").when(
