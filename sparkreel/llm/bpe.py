@@ -33,13 +33,14 @@ def _byte_letters() -> list[str]:
 @functools.cache
 def _classes() -> np.ndarray:
     """SPACE, LETTER, NUMBER or OTHER of every code point."""
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    at = np.array(points)
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((SPACE, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for found in regex.finditer(pattern, text):
-            out[at[found.start() : found.end()]] = kind
+    for begin in range(0, 0x110000, 0x800):
+        if 0xD800 <= begin < 0xE000:
+            continue
+        text = "".join(map(chr, range(begin, begin + 0x800)))
+        for kind, pattern in ((SPACE, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for found in regex.finditer(pattern, text):
+                out[begin + found.start() : begin + found.end()] = kind
     return out
 
 
@@ -146,12 +147,12 @@ class Bpe:
         Pre-tokens may share a hash; the characters tell them apart.
         """
         self.known = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.at = np.zeros(1 << CACHE_BITS, np.int64)
-        self.length = np.zeros(1 << CACHE_BITS, np.int64)
+        self.at = np.zeros(1 << CACHE_BITS, np.int32)
+        self.length = np.zeros(1 << CACHE_BITS, np.int32)
         self.pool = np.zeros(POOL_IDS, np.int32)
         self.used = 0
-        self.width = np.zeros(1 << CACHE_BITS, np.int64)
-        self.spelled = np.zeros(1 << CACHE_BITS, np.int64)
+        self.width = np.zeros(1 << CACHE_BITS, np.int32)
+        self.spelled = np.zeros(1 << CACHE_BITS, np.int32)
         self.letters = np.zeros(POOL_CHARS, np.uint32)
         self.letters_used = 0
 

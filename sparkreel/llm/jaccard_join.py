@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from sparkreel.llm.components import components
 from sparkreel.llm.storage import discard, folded, keyed, small, store, text_of, unfolded
 from sparkreel.llm.words import scramble, shingles, words_of
+from sparkreel.llm.workers import parts_of, tidy
 
 # Bits of a set's bitmap, and of one with more members than ``LARGE``.
 BITS, LARGE, LARGE_BITS = 1024, 2048, 4096
@@ -90,8 +91,7 @@ def tile_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _sets(batch: pd.DataFrame, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct n-gram hashes of each text that has words."""
-    for begin in range(0, len(batch), 500):
-        texts = batch["text"].iloc[begin : begin + 500].tolist()
+    for begin, texts in parts_of(batch["text"]):
         words = words_of(texts, lower=True)
         for i in range(len(texts)):
             keys = words.key[words.first[i] : words.first[i + 1]]
@@ -137,7 +137,7 @@ def _sizes(docs: DataFrame, size: int) -> DataFrame:
                 "bits": bitmaps})
 
     return docs.mapInPandas(
-        name, "_key long, doc_id long, n_shingles long, name_a long, name_b long, bits array<long>")
+        tidy(name), "_key long, doc_id long, n_shingles long, name_a long, name_b long, bits array<long>")
 
 
 def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _keys(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 yield pd.DataFrame({"key": _signed(np.concatenate(keys)),
                                     "id": np.concatenate(ids)})
 
-    return docs.select("_key", "text").mapInPandas(emit, "key long, id long")
+    return docs.select("_key", "text").mapInPandas(tidy(emit), "key long, id long")
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _met(keys: DataFrame) -> DataFrame:
 
     return (
         keys.repartition("key").sortWithinPartitions("key", "id")
-        .mapInPandas(runs, "key long, id long, low long")
+        .mapInPandas(tidy(runs), "key long, id long, low long")
     )
 
 
@@ -220,7 +220,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return (
         docs.select("_key", "text")
         .join(small(wanted, BROADCAST_IDS), F.col("_key") == wanted["id"], "left_semi")
-        .mapInPandas(fetch, "id long, members binary"))
+        .mapInPandas(tidy(fetch), "id long, members binary"))
 
 
 def _listed_once(docs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def _linked(
         .select("centre", "part", (F.col("id") != F.col("centre")).alias("later"), "id", "members"))
     linked = store(
         sets.repartition("centre", "part").sortWithinPartitions("centre", "part", "later")
-        .select("centre", "id", "members").mapInPandas(compare, "a long, b long"))
+        .select("centre", "id", "members").mapInPandas(tidy(compare), "a long, b long"))
     discard(turned, asked, wanted)
     return linked
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.llm import bpe
 from sparkreel.llm.storage import store, text_of
+from sparkreel.llm.workers import parts_of, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, kept boolean"
@@ -41,11 +42,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0)
         engine = bpe.load(vocabulary)
         for batch in batches:
             rows = []
-            # The ids of a few thousand documents at a time are held, not those of a batch.
-            for begin in range(0, len(batch), 1000):
-                part = batch.iloc[begin : begin + 1000]
-                counts, ids = engine.encode(part["text"].tolist())
-                for doc_id, n, tokens in zip(part["doc_id"], counts.tolist(), ids, strict=True):
+            # The ids of some documents at a time are held, not those of a batch.
+            for begin, texts in parts_of(batch["text"], 1000, 4 * bpe.CHUNK_CHARS):
+                counts, ids = engine.encode(texts)
+                of = batch["doc_id"].iloc[begin : begin + len(texts)]
+                for doc_id, n, tokens in zip(of, counts.tolist(), ids, strict=True):
                     all_ids = np.append(tokens, end_id).astype("<u4")
                     total = n + 1
                     at, size = 0, (total - 1) % capacity + 1
@@ -59,7 +60,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0)
             yield out
 
     return docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).mapInPandas(
-        cut, PIECES)
+        tidy(cut), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

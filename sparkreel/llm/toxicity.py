@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.llm.storage import store, text_of
 from sparkreel.llm.words import MARK, scramble, stems, words_of
+from sparkreel.llm.workers import give_back, parts_of, tidy
 
 BITS = 22
 STEMS = (4, 5, 6, 7)
@@ -73,8 +74,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _fit(texts: list[str], labels: np.ndarray, options: FtrlOptions) -> pd.DataFrame:
     """Weights that are not zero; bucket -1 is the bias."""
     rows = []
-    for begin in range(0, len(texts), 200):
-        part = texts[begin : begin + 200]
+    for _, part in parts_of(texts, 200):
         owner, bucket = features(part)
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(1, len(part)))
@@ -83,10 +83,13 @@ def _fit(texts: list[str], labels: np.ndarray, options: FtrlOptions) -> pd.DataF
     for row in rows:
         seen[row] += 1
     # What few texts of the shard have tells nothing about others.
-    rows = [row[seen[row] >= options.least_texts] for row in rows]
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    bias = size - 1
+    known = np.flatnonzero(seen >= options.least_texts)
+    # From here on a bucket goes by its place among these, and `seen` holds the places.
+    kept = seen >= options.least_texts
+    seen[known] = np.arange(len(known))
+    rows = [seen[row[kept[row]]] for row in rows]
+    bias = len(known)
+    z, n = np.zeros(bias + 1), np.zeros(bias + 1)
     rng = np.random.default_rng(options.seed)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -103,17 +106,18 @@ def _fit(texts: list[str], labels: np.ndarray, options: FtrlOptions) -> pd.DataF
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / options.alpha
             z[at] += g - step * w
             n[at] += g * g
-    at = np.arange(size)
-    w = weights(at)
-    kept = w != 0
-    kept[bias] = True
-    return pd.DataFrame({"bucket": np.where(at[kept] == bias, -1, at[kept]), "weight": w[kept]})
+    w = weights(np.arange(bias + 1))
+    found = w != 0
+    found[bias] = True
+    return pd.DataFrame({"bucket": np.append(known, -1)[found], "weight": w[found]})
 
 
 def _fitter(options: FtrlOptions) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit_shard(rows):
         rows = rows.sort_values(["doc_id", "text"])
-        return _fit(rows["text"].tolist(), rows["toxic"].to_numpy(float), options)
+        weights = _fit(rows["text"].tolist(), rows["toxic"].to_numpy(float), options)
+        give_back()
+        return weights
 
     return fit_shard
 
@@ -169,7 +173,6 @@ def toxicity_score(docs: DataFrame, text: Column, model: ToxicityModel) -> Colum
     """Probability that a text is toxic; the model goes to the executors as one broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.bias))
 
-    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets, weights, bias = shared.value
         table = _table()
@@ -177,15 +180,14 @@ def toxicity_score(docs: DataFrame, text: Column, model: ToxicityModel) -> Colum
         table[buckets] = weights
         for batch in batches:
             out = np.full(len(batch), float(bias))
-            texts = batch.tolist()
-            for begin in range(0, len(texts), 500):
-                owner, bucket = features(texts[begin : begin + 500])
+            for begin, texts in parts_of(batch):
+                owner, bucket = features(texts)
                 at = np.flatnonzero(table[bucket])
                 once = np.unique(owner[at] << BITS | bucket[at])
                 np.add.at(out, begin + (once >> BITS), table[once & ((1 << BITS) - 1)])
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
 
-    return score(F.coalesce(text, F.lit("")))
+    return F.pandas_udf(tidy(score), "double")(F.coalesce(text, F.lit("")))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 U = np.uint64
 
 _RANDOM = np.random.default_rng(20240229)
