@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkreel.functions import timing
 from sparkreel.functions.text import escape_dialogue, single_spaced, strip, word_count
+from sparkreel.plans.lineage import computed_once
 
 # Clips and segments meet in tiles of this length.
 TILE_MS = 300_000
@@ -179,9 +180,14 @@ def chunked(text: Column, max_words: int, max_characters: int) -> Column:
     than a whole chunk stands alone. One regular expression packs the text, then only the chunks
     are folded to count the words before each.
     """
+    return packed(single_spaced(text), max_words, max_characters)
+
+
+def packed(spaced: Column, max_words: int, max_characters: int) -> Column:
+    """The same of a text whose words are parted by one space each."""
     pieces = F.transform(
         F.regexp_extract_all(
-            single_spaced(text), F.lit(packing_pattern(max_words, max_characters)), F.lit(0)
+            spaced, F.lit(packing_pattern(max_words, max_characters)), F.lit(0)
         ),
         lambda piece: F.rtrim(piece),
     )
@@ -202,11 +208,20 @@ def chunked(text: Column, max_words: int, max_characters: int) -> Column:
 
 def caption_chunks(rows: DataFrame, options: CaptionOptions = DEFAULTS) -> DataFrame:
     """Text rows split into caption chunks, ``chunk_idx`` counting from 0 within each row."""
-    return rows.select(
-        "*",
-        F.posexplode(chunked(F.col("text"), options.max_words, options.max_characters))
-        .alias("chunk_idx", "chunk"),
-    ).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
+    return _with_chunks(rows, options).drop("_spaced")
+
+
+def _with_chunks(rows: DataFrame, options: CaptionOptions) -> DataFrame:
+    """The same with ``_spaced``, the text the chunks were packed from.
+
+    Spark would filter rows by the size of what is exploded, with a copy of the packing in each such
+    filter; so texts are spaced and packed below a generator, once each.
+    """
+    rows = computed_once(rows, "_spaced", single_spaced(F.col("text")))
+    rows = computed_once(
+        rows, "_chunks", packed(F.col("_spaced"), options.max_words, options.max_characters))
+    return rows.select("*", F.posexplode("_chunks").alias("chunk_idx", "chunk")).drop(
+        "_chunks").withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
 
 
 def time_captions(rows: DataFrame, options: CaptionOptions = DEFAULTS) -> DataFrame:
@@ -214,8 +229,7 @@ def time_captions(rows: DataFrame, options: CaptionOptions = DEFAULTS) -> DataFr
 
     Each row's chunks carry the words before them, so the times need no window function.
     """
-    total = word_count(single_spaced(F.col("text")))
-    chunks = caption_chunks(rows.withColumn("total_words", total), options)
+    chunks = _with_chunks(rows, options).withColumn("total_words", word_count(F.col("_spaced")))
     start = timing.seconds(F.col("start_ms"))
     length = timing.seconds(F.col("end_ms")) - start
     total_words = F.nullif(F.col("total_words"), F.lit(0))

@@ -112,3 +112,19 @@ def test_segments_far_from_clips_are_not_shuffled(spark):
         " ON s.source_id = c.source_id AND s.end_ms > c.start_ms AND s.start_ms < c.end_ms")
     found = ops.segments_in_clips(clips, segments).select("source_id", "clip_id", "idx")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_texts_are_packed_once(spark):
+    clips = spark.createDataFrame(
+        [(1, 1, 0, 9000)], "source_id long, clip_id long, start_ms long, end_ms long")
+    segments = spark.createDataFrame(
+        [(1, 0, 0, 4000, "One two  three."), (1, 1, 4000, 8000, None)],
+        "source_id long, idx long, start_ms long, end_ms long, text string")
+    timed = ops.captions(clips, segments)
+    plan = timed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == plan.count("regexp_extract_all") == 1
+    assert [row.text for row in timed.collect()] == ["One two three."]
+    chunks = ops.caption_chunks(segments)
+    assert chunks.columns == [*segments.columns, "chunk_idx", "chunk"]
+    assert [(r.idx, r.chunk_idx, r.chunk.text) for r in chunks.collect()] == [
+        (0, 0, "One two three.")]
