@@ -266,12 +266,18 @@ def _meet(
     blocks: DataFrame, tiles: DataFrame, groups: int,
     search: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
 ) -> DataFrame:
-    """Every block with every tile: each block travels to each group of tiles."""
+    """Every block with every tile: each block travels to each group of tiles.
+
+    The table of blocks is small, but not once it is repeated for every group: that must not be
+    broadcast. Merged, a block meets all tiles of its group in a row, as ``search`` has it best.
+    """
     sent = blocks.select(
         *[F.col(c).alias("b_" + c) for c in blocks.columns],
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     dealt = tiles.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
-    return sent.join(dealt, "part").mapInPandas(search, FOUND)
+    # By number: the rows are few and large in work, so tasks are not to be put together by bytes.
+    sent, dealt = sent.repartition(groups, "part"), dealt.repartition(groups, "part")
+    return sent.hint("merge").join(dealt, "part").mapInPandas(search, FOUND)
 
 
 def _block(row) -> SimpleNamespace:

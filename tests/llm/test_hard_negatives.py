@@ -132,3 +132,12 @@ def test_query(spark, tmp_path):
         f"{tmp_path}/embeddings.parquet")
     found = queries.QUERIES["op13_hard_negatives"](spark, str(tmp_path)).collect()
     assert Counter(tuple(r) for r in found) == plain(rows)
+
+
+def test_repeated_blocks_are_not_broadcast(spark):
+    options = hn.MiningOptions(tile_values=100, block_values=100, group_rows=64)
+    table = spark.createDataFrame([(*r, "x", 1) for r in clusters(6, 300)], SCHEMA)
+    tiles = hn._tiles(hn.valid_rows(table), options)
+    met = hn._meet(hn._blocks(tiles, options), tiles, 5, hn._own_label(options))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
