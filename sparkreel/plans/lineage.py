@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,16 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Asks for the shuffle files of finished steps to be removed.
+
+    They go once their plans are collected as garbage on the driver, which it may not need to do for
+    hours.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """Rows with one more column that is computed once per row, however often it is mentioned later.
 

@@ -18,7 +18,7 @@ from sparkreel.operators import catalog, discovery, planning, providers, thumbna
 from sparkreel.operators import responses as response_ops
 from sparkreel.operators import segments as segment_ops
 from sparkreel.plans import stages as stage_ops
-from sparkreel.plans.lineage import shared_folder
+from sparkreel.plans.lineage import free_shuffles, shared_folder
 from sparkreel.sources import documents as docs
 from sparkreel.sources import keyed_files, manifests, stage_tables
 from sparkreel.streaming.intake import run_incremental
@@ -68,6 +68,7 @@ class Inputs:
         if key not in _STORED:
             path = self.folder()
             make().write.parquet(path)
+            free_shuffles(self.spark)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -128,9 +129,13 @@ class Inputs:
         return f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
 
     def staged(self, documents: DataFrame, column: str = "document") -> DataFrame:
-        """JSON documents written one per line and read back as stored documents."""
+        """JSON documents written one per line and read back as stored documents.
+
+        Texts stand in them plain and again segment by segment, so they are stored compressed.
+        """
         path = self.folder()
-        documents.select(column).write.text(path)
+        documents.select(column).write.text(path, compression="gzip")
+        free_shuffles(self.spark)
         return docs.read_documents(self.spark, path, per_line=True)
 
 
