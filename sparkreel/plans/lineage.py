@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,12 @@ def free_shuffles(spark: SparkSession) -> None:
     """Asks for the shuffle files of finished steps to be removed.
 
     They go once their plans are collected as garbage on the driver, which it may not need to do for
-    hours.
+    hours. A plan that has just ended is still held for a moment, so that is asked for twice.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for pause in (0.5, 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
